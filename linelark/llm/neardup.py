@@ -2,14 +2,17 @@
 
 A document's set holds 64-bit hashes of its word shingles. Equal sets collapse first. Each of ``trees`` independent
 trees splits the rest by the minwise token at a coordinate chosen from the path so far. A node with up to ``leaf``
-sets is compared exhaustively; a larger one branches on (1 or 2 children, 1.25 on average = 1 / 0.8, so a pair at the
-threshold keeps one common child on average). Paths depend only on a set's own sketch, so branching needs no
-gathering: only (path, id) counts are shuffled. At the root every tree keeps a pair of similarity s with probability s,
-so small nodes alone miss a pair with (1 - s) ** trees. Sketch agreement only proposes; full sets confirm each link.
-
-Candidates form groups. A group within ``group_sets`` sets and ``group_hashes`` hashes is settled in one task,
-all its pairs by exact intersection. A larger one is settled by rounds that verify pairs between parts not yet
-linked, each pair in its own row, so a huge group of copies never meets in one task.
+sets is compared exhaustively. In a larger one random pivots are compared with every member; once all members outside
+its largest cluster have been pivots, no pair is left that could connect anything. If too many are outside, the node
+branches on (1 or 2 children, 1.25 on average = 1 / 0.8, so a pair at the threshold keeps one common child on average).
+Paths depend only on a set's own sketch, so branching gathers nothing: only (path, id) rows are shuffled. At the
+root every tree keeps a pair of similarity s with probability s, so small nodes miss it with (1 - s) ** trees. Sketches
+only propose; full sets confirm each link.
+
+Candidates form groups. A group within ``group_sets`` sets and ``group_hashes`` hashes is settled in one task, all its
+pairs by exact intersection. A larger one is dealt in chunks that meet blocks of pivots: random ones first, then
+every member that is not yet in the group's largest component. What is not compared is connected already, and a huge
+group of copies never meets in one task.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, roots as _roots
 from .scratch import arrow_schema, small_batches, table
 from .shingles import mix, shingle_set, text_buffers
 
@@ -33,6 +36,8 @@ SLACK = 0.15
 BROADCAST_IDS = 1_000_000
 #: Levels between two counts of a large node, and the deepest level.
 STEP, DEEPEST = 3, 48
+#: Random pivots of a large node or group, pivots of one block, members of one chunk and hashes of one chunk or block.
+PIVOTS, BLOCK, CHUNK, CHUNK_HASHES = 64, 512, 1024, 1_000_000
 
 _rng = np.random.default_rng(71)
 _XOR = _rng.integers(0, 2**32, (COORDINATES, 1), dtype=np.uint32)
@@ -107,30 +112,7 @@ def _agreement(low: np.ndarray) -> np.ndarray:
     return out / COORDINATES
 
 
-def _roots(n: int, pairs) -> list[int]:
-    parent = list(range(n))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in pairs:
-        a, b = find(a), find(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    return [find(x) for x in range(n)]
-
-
-def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
-def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, trees: int = 16, leaf: int = 128, group_sets: int = 512, group_hashes: int = 2_000_000) -> DataFrame:
+def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, trees: int = 16, leaf: int = 128, group_sets: int = 1024, group_hashes: int = 2_000_000) -> DataFrame:
     """One row for each row of ``documents`` (doc_id, text; other columns are ignored): doc_id, n_shingles, component_id, kept.
 
     Two documents are linked if 100 * intersection >= percent * union of their sets of ``k``-word shingles (A-Z in
@@ -151,46 +133,131 @@ def _group(documents: DataFrame, sets: DataFrame, k: int, percent: int, leaf: in
     """(node, component) of the sets that are linked with another."""
     spark = documents.sparkSession
     threshold = percent / 100 - SLACK
-    lists = table(_leaves(sets, leaf), "lists")
+    lists, edges = _leaves(sets, leaf, threshold)
     rows = _among(sets.select("node", "sketch"), lists.select(F.explode("nodes").alias("node")).distinct())
     rows = lists.select("list", F.explode("nodes").alias("node")).join(rows, "node")
-    members = table(rows.groupBy("list").agg(F.collect_list(F.struct("node", "sketch")).alias("members")), "members")
-    edges = table(members.select("members").mapInPandas(_compare(threshold), "a long, b long").distinct(), "edges")
-    if edges.isEmpty():
+    members = rows.groupBy("list").agg(F.collect_list(F.struct("node", "sketch")).alias("members"))
+    edges.append(members.select("members").mapInPandas(_compare(threshold), "a long, b long"))
+    found = edges[0]
+    for e in edges[1:]:
+        found = found.unionAll(e)
+    groups = components(found)
+    if groups.isEmpty():
         return spark.createDataFrame([], "node long, component long")
-    groups = components(edges).join(sets.groupBy("node").agg(F.sum("n").alias("n")), "node")
+    groups = groups.join(sets.groupBy("node").agg(F.sum("n").alias("n")), "node")
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("hashes"))
-    groups = table(groups.join(sizes, "root").select("node", "root", ((F.col("size") > group_sets) | (F.col("hashes") > group_hashes)).alias("large")), "groups")
+    groups = table(groups.join(sizes, "root").select("node", "root", "size", F.col("hashes").alias("total"), ((F.col("size") > group_sets) | (F.col("hashes") > group_hashes)).alias("large")), "groups")
     with_sets = _sets_of(documents, groups, k)
     if groups.where("large").isEmpty():
         return _settle(with_sets, percent)
     with_sets = table(with_sets, "texts")
-    hot = with_sets.where("large").select("node", "hashes")
-    apart = members.select("list", F.explode("members").alias("m")).select("list", "m.node", "m.sketch").join(groups.where("large").select("node"), "node", "left_semi")
-    return _settle(with_sets.where("not large"), percent).unionAll(_rounds(table(apart, "apart"), hot, threshold, percent))
+    return _settle(with_sets.where("not large"), percent).unionAll(_pivoted(with_sets.where("large"), percent))
 
 
-def _leaves(sets: DataFrame, leaf: int) -> DataFrame:
-    """(list, nodes): the distinct member lists of all trees' nodes of 2 to ``leaf`` sets."""
-    level, lists, depth, hot = sets.select("node", F.explode("paths").alias("path")), None, 1, None
+def _leaves(sets: DataFrame, leaf: int, threshold: float) -> tuple[DataFrame, list[DataFrame]]:
+    """The distinct member lists (list, nodes) of all trees' nodes of 2 to ``leaf`` sets, and the edges found in larger nodes."""
+    level, lists, depth, hot, edges = sets.select("node", F.explode("paths").alias("path")), None, 1, None, []
     while True:
         sizes = level.groupBy("path").agg(F.count("*").alias("size"))
         level = table(level.join(sizes.where("size > 1"), "path"), "level")
         small = level.where(F.col("size") <= leaf).groupBy("path").agg(F.array_sort(F.collect_set("node")).alias("nodes")).select("nodes")
         lists = small if lists is None else lists.unionAll(small)
-        large = level.where(F.col("size") > leaf).select("node", "path")
+        large = level.where(F.col("size") > leaf)
         if large.isEmpty():
             break
-        if depth > DEEPEST:  # sets that agree at every coordinate tried: pieces of a node meet in its first set
-            first = large.groupBy("path").agg(F.min("node").alias("first"), F.count("*").alias("size"))
-            piece = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / leaf))
-            lists = lists.unionAll(large.join(first, "path").groupBy("path", "first", piece.alias("piece")).agg(F.collect_set("node").alias("own")).select(F.array_sort(F.array_union("own", F.array("first"))).alias("nodes")))
-            break
         if hot is None:
-            hot = table(_among(sets.select("node", "sketch"), large.select("node").distinct()), "hot")
-        level = _deeper(large.join(hot, "node")).distinct()
+            hot = table(_among(sets.select("node", F.col("sketch").alias("value")), large.select("node").distinct()), "hot")
+        rows = table(large.join(hot, "node").select(F.col("path").alias("key"), "size", "node", "value"), "rows")
+        rows = rows.withColumn("chunks", F.ceil(F.col("size") / CHUNK))
+        chosen = F.pmod(F.xxhash64("node", "key"), F.col("size")) < PIVOTS
+        edges.append(table(_against(rows, rows.where(chosen).withColumn("blocks", F.lit(1)), _alike(threshold)), "edges"))
+        outside = table(_outside(rows, edges).where(~chosen), "outside")
+        counts = outside.groupBy("key").agg(F.count("*").alias("left"))
+        few = F.lit(True) if depth > DEEPEST else F.col("left") <= BLOCK
+        pivots = outside.join(counts.where(few), "key").withColumn("blocks", F.ceil(F.col("left") / BLOCK))
+        edges.append(table(_against(rows.join(counts.where(few), "key", "left_semi"), pivots, _alike(threshold)), "edges"))
+        level = _deeper(rows.join(counts.where(~few), "key", "left_semi").select("node", F.col("key").alias("path"), F.col("value").alias("sketch"))).distinct()
         depth += STEP
-    return lists.where(F.size("nodes") > 1).distinct().withColumn("list", F.monotonically_increasing_id())
+    return table(lists.where(F.size("nodes") > 1).distinct().withColumn("list", F.monotonically_increasing_id()), "lists"), edges
+
+
+def _outside(rows: DataFrame, edges: list[DataFrame]) -> DataFrame:
+    """``rows`` (key, node, ...) that are not in the largest cluster of their key, clusters being what ``edges`` connect."""
+    found = edges[0]
+    for e in edges[1:]:
+        found = found.unionAll(e)
+    own = rows.join(components(found), "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
+    counts = own.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("largest"))
+    return own.join(counts, "key").where("part <> largest").drop("part", "largest")
+
+
+def _against(members: DataFrame, pivots: DataFrame, compare) -> DataFrame:
+    """Edges that ``compare`` finds between pivots and members (key, node, value, chunks) of the same key.
+
+    Members of a key are dealt to its chunks, its pivots to ``blocks``, and every chunk meets every block in a row of its own.
+    """
+    blocks = pivots.groupBy("key").agg(F.first("blocks").alias("blocks"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
+    own = members.join(blocks, "key").select("key", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), each(F.col("blocks")).alias("block"), "node", "value", F.lit(False).alias("pivot"))
+    met = pivots.select("key", each(F.col("chunks")).alias("chunk"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node", "value", F.lit(True).alias("pivot"))
+    groups = own.unionAll(met).groupBy("key", "chunk", "block").agg(F.collect_list(F.struct("node", "value", "pivot")).alias("members"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            a, b = [], []
+            for members in f["members"]:
+                pivots = [m for m in members if m["pivot"]]
+                others = [m for m in members if not m["pivot"]]
+                if pivots and others:
+                    both, n = [m["node"] for m in pivots + others], len(pivots)
+                    for i, r in enumerate(_roots(len(both), [(int(i), n + int(j)) for i, j in compare(pivots, others)])):
+                        if r != i and both[r] != both[i]:
+                            a.append(both[i]), b.append(both[r])
+            yield pd.DataFrame({"a": a, "b": b}, dtype="int64").drop_duplicates()
+
+    return groups.select("members").mapInPandas(run, "a long, b long")
+
+
+def _alike(threshold: float):
+    def compare(pivots: list, others: list) -> Iterator[tuple[int, int]]:
+        low = np.frombuffer(b"".join(m["value"] for m in others), np.uint32).reshape(len(others), COORDINATES)
+        for i, p in enumerate(pivots):
+            for j in np.flatnonzero((low == np.frombuffer(p["value"], np.uint32)).sum(axis=1) >= threshold * COORDINATES):
+                yield i, j
+
+    return compare
+
+
+def _sharing(percent: int):
+    """Exact links: shared hashes of all pivots are counted for each member at once, from the pivots' postings."""
+
+    def compare(pivots: list, others: list) -> Iterator[tuple[int, int]]:
+        sets = [np.frombuffer(m["value"], np.uint64) for m in pivots]
+        size = np.array([len(s) for s in sets])
+        order = np.argsort(hashes := np.concatenate(sets), kind="stable")
+        hashes, holder = hashes[order], np.repeat(np.arange(len(sets)), size)[order]
+        for j, m in enumerate(others):
+            own = np.frombuffer(m["value"], np.uint64)
+            low, high = np.searchsorted(hashes, own), np.searchsorted(hashes, own, "right")
+            lengths = high - low
+            picks = np.repeat(low - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+            both = np.bincount(holder[picks], minlength=len(sets))
+            for i in np.flatnonzero(100 * both >= percent * (len(own) + size - both)):
+                yield i, j
+
+    return compare
+
+
+def _pivoted(rows: DataFrame, percent: int) -> DataFrame:
+    """Exact components of groups too large for one task (root, node, size, total hashes, hashes)."""
+    rows = rows.select(F.col("root").alias("key"), "node", F.col("hashes").alias("value"), "size", "total", F.greatest(F.ceil(F.col("size") / CHUNK), F.ceil(F.col("total") / CHUNK_HASHES)).alias("chunks"))
+    share = F.least(4 * PIVOTS / F.col("size"), CHUNK_HASHES / F.col("total"))
+    chosen = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < share * (1 << 30)
+    links = [table(_against(rows, rows.where(chosen).withColumn("blocks", F.lit(1)), _sharing(percent)), "links")]
+    outside = table(_outside(rows, links).where(~chosen), "outside")
+    counts = outside.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("value")) / (8 * CHUNK_HASHES))).alias("blocks"))
+    links.append(table(_against(rows, outside.join(counts, "key"), _sharing(percent)), "links"))
+    return components(links[0].unionAll(links[1])).select("node", F.col("root").alias("component"))
 
 
 def _among(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -258,69 +325,3 @@ def _settle(rows: DataFrame, percent: int) -> DataFrame:
 
     groups = rows.groupBy("root").agg(F.collect_list(F.struct("node", "hashes")).alias("members"))
     return groups.select("members").mapInPandas(run, "node long, component long")
-
-
-def _rounds(members: DataFrame, hot: DataFrame, threshold: float, percent: int) -> DataFrame:
-    """Components of groups too large for one task. Each round verifies, in every list, up to ``width`` of the most alike
-    pairs between each two parts that are not linked yet; the last takes all that are left, so none goes unchecked."""
-    spark = members.sparkSession
-    links = tried = labels = None
-    for share, width in ((8, 1), (1, 1), (1, 8), (1, 64), (1, 1 << 20)):
-        rows = members.where(F.pmod(F.xxhash64("list"), F.lit(share)) == 0)
-        rows = rows.join(labels, "node", "left").withColumn("part", F.coalesce("root", "node")) if labels is not None else rows.withColumn("part", F.col("node"))
-        pairs = rows.select("list", "node", "sketch", "part").groupBy("list").applyInPandas(_crossing(threshold, width), "a long, b long").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = table(pairs, "pairs")
-        if pairs.isEmpty():
-            if share == 1 and width > 1:
-                break
-            continue
-        left = pairs.join(hot.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
-        both = left.join(hot.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                ok = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(f["x"], f["y"])]
-                yield f.loc[np.array(ok, bool), ["a", "b"]]
-
-        good = table(both.mapInPandas(run, "a long, b long"), "links")
-        links, tried = (good, pairs) if links is None else (links.unionAll(good), tried.unionAll(pairs))
-        labels = table(components(links), "labels")
-    empty = spark.createDataFrame([], "node long, component long")
-    return empty if labels is None else labels.select("node", F.col("root").alias("component"))
-
-
-def _crossing(threshold: float, width: int):
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.drop_duplicates("node").sort_values("node")
-        node, part = f["node"].to_numpy(), f["part"].to_numpy()
-        low = np.frombuffer(b"".join(f["sketch"]), np.uint32).reshape(len(f), COORDINATES)
-        near = np.triu(_agreement(low), 1)
-        near[part[:, None] == part[None, :]] = 0
-        i, j = np.nonzero(near >= threshold)
-        if not len(i):
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        order = np.argsort(-near[i, j], kind="stable")
-        i, j = i[order], j[order]
-        if width == 1:  # a spanning forest over the parts
-            kept, parent = [], {}
-
-            def find(x):
-                while parent.setdefault(x, x) != x:
-                    x = parent[x]
-                return x
-
-            for n, (a, b) in enumerate(zip(part[i], part[j])):
-                a, b = find(a), find(b)
-                if a != b:
-                    parent[a] = b
-                    kept.append(n)
-            i, j = i[kept], j[kept]
-        else:
-            between = pd.DataFrame({"p": np.minimum(part[i], part[j]), "q": np.maximum(part[i], part[j])})
-            kept = (between.groupby(["p", "q"]).cumcount() < width).to_numpy()
-            i, j = i[kept], j[kept]
-        return pd.DataFrame({"a": node[i], "b": node[j]})
-
-    return run
