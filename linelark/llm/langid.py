@@ -8,12 +8,12 @@ the false positives expected at that filter's fill, and the largest corrected co
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import grams
 from .scratch import map_rows, remainder
 
 ROWS, HASHES, SHORTEST, LONGEST = 1 << 18, 4, 2, 5
@@ -21,78 +21,101 @@ ROWS, HASHES, SHORTEST, LONGEST = 1 << 18, 4, 2, 5
 SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 400, 20_000
 #: An n-gram enters a language's filter if its rate there is at least this share of its highest rate.
 SHARE, LEAST = 0.25, 2
-CACHE, FIELD = 200_000, 40
+#: Characters looked up at once.
+PART = 1 << 20
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def grams(word: str) -> list[bytes]:
-    marked = f"<{word}>"
-    return [marked[i : i + n].encode() for n in range(SHORTEST, LONGEST + 1) for i in range(len(marked) - n + 1)]
+def _grams(words: list[str]):
+    """Two hashes of every n-gram within the words; a word's ends count as characters."""
+    points = grams.spaced(words)
+    blanks = np.cumsum(points == 32)
+    for (n, a), (_, b) in zip(grams.hashes(points, SHORTEST, LONGEST), grams.hashes(points, SHORTEST, LONGEST, 77)):
+        own = blanks[n - 2 : n - 2 + len(a)] == blanks[: len(a)]  # no blank but at its ends
+        yield a[own], b[own] | np.uint32(1)
 
 
-def slots(gram: bytes) -> list[int]:
-    a, b = zlib.crc32(gram), zlib.crc32(gram, 0x5BD1E995) | 1
-    return [(a + i * b) % ROWS for i in range(HASHES)]
+#: Which bits each byte has.
+_BITS = np.arange(256)[:, None] >> np.arange(8) & 1
 
 
-def fit(sample: list[tuple[str, str]]) -> tuple[list[str], list[int], list[float]]:
-    """(languages, masks of the filter's rows, false positive rate of each language) from (text, language) rows."""
+def _masks(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    found = rows[a % np.uint32(ROWS)]
+    for i in range(1, HASHES):
+        found = found & rows[(a + np.uint32(i) * b) % np.uint32(ROWS)]
+    return found
+
+
+def _parts(text: str):
+    words, size = [], 0
+    for w in _LETTERS.findall(text.lower()):
+        words.append(w)
+        size += len(w) + 1
+        if size > PART:
+            yield words
+            words, size = [], 0
+    if words:
+        yield words
+
+
+def fit(sample: list[tuple[str, str]]) -> tuple[list[str], np.ndarray, list[float]]:
+    """(languages, masks of the filter's rows, false positive rate of each language) from (text, language) rows.
+
+    One mask holds 64 languages; more of them add columns of masks.
+    """
     names = sorted({lang for _, lang in sample})
-    counts: dict[str, Counter] = {name: Counter() for name in names}
-    for text, lang in sample:
-        for word, n in Counter(_LETTERS.findall(text.lower())).items():
-            for g in grams(word):
-                counts[lang][g] += n
-    totals = {name: max(1, sum(c.values())) for name, c in counts.items()}
-    highest: dict[bytes, float] = {}
-    for name, c in counts.items():
-        for g, n in c.items():
-            highest[g] = max(highest.get(g, 0.0), n / totals[name])
-    rows, filled = [0] * ROWS, [0] * len(names)
-    for i, name in enumerate(names):
-        bit = 1 << i
-        for g, n in counts[name].items():
-            if n >= LEAST and n / totals[name] >= SHARE * highest[g]:
-                for s in slots(g):
-                    if not rows[s] & bit:
-                        rows[s] |= bit
-                        filled[i] += 1
-    return names, rows, [min(0.99, (f / ROWS) ** HASHES) for f in filled]
+    keys, counts = [], []
+    for name in names:
+        found = [np.empty(0, np.uint64)]
+        for text, lang in sample:
+            if lang == name:
+                for words in _parts(text):
+                    found += [a.astype(np.uint64) << np.uint64(32) | b for a, b in _grams(words)]
+        k, n = np.unique(np.concatenate(found), return_counts=True)
+        keys.append(k)
+        counts.append(n)
+    rows = np.zeros((max(1, -(-len(names) // 64)), ROWS), np.uint64)
+    if not names:
+        return names, rows, []
+    every, back = np.unique(np.concatenate(keys), return_inverse=True)
+    rate = np.concatenate([n / max(1, n.sum()) for n in counts])
+    highest = np.zeros(len(every))
+    np.maximum.at(highest, back, rate)
+    enough = (np.concatenate(counts) >= LEAST) & (rate >= SHARE * highest[back])
+    false, at = [], 0
+    for i, k in enumerate(keys):
+        kept = k[enough[at : at + len(k)]]
+        at += len(k)
+        a, b = (kept >> np.uint64(32)).astype(np.uint32), kept.astype(np.uint32)
+        slots = np.unique(np.concatenate([(a + np.uint32(j) * b) % np.uint32(ROWS) for j in range(HASHES)]))
+        rows[i // 64][slots] |= np.uint64(1 << i % 64)
+        false.append(min(0.99, (len(slots) / ROWS) ** HASHES))
+    return names, rows, false
 
 
 class Identifier:
-    """Adds up popcounts of all languages at once: each has a field of FIELD bits of one integer."""
-
-    def __init__(self, names: list[str], rows: list[int], false: list[float]) -> None:
-        self.names, self.false = names, false
-        spread = {}
-
-        class Words(dict):
-            def __missing__(words, word: str) -> tuple[int, int]:
-                if len(words) >= CACHE:
-                    words.clear()
-                total, own = 0, grams(word)
-                for g in own:
-                    a, b, c, d = slots(g)
-                    mask = rows[a] & rows[b] & rows[c] & rows[d]
-                    if mask:
-                        if mask not in spread:
-                            spread[mask] = sum(1 << FIELD * (i + 1) for i in range(len(names)) if mask >> i & 1)
-                        total += spread[mask]
-                words[word] = total = total + len(own)
-                return total
-
-        self.words = Words()
+    def __init__(self, names: list[str], rows: np.ndarray, false: list[float]) -> None:
+        self.names, self.rows, self.false = names, rows, np.array(false)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        words = _LETTERS.findall(text.lower()) if text else []
-        if not words or not self.names:
+        n, counts = 0, np.zeros(len(self.names))
+        for words in _parts(text) if text else ():
+            for a, b in _grams(words):
+                n += len(a)
+                for block, rows in enumerate(self.rows):
+                    masks = _masks(rows, a, b)
+                    here = self.names[64 * block : 64 * block + 64]
+                    if len(here) <= 8:  # few languages: count each mask once
+                        sets = np.bincount(masks.astype(np.uint8), minlength=256)
+                        counts[64 * block : 64 * block + len(here)] += sets @ _BITS[:, : len(here)]
+                        continue
+                    for i in range(len(here)):
+                        counts[64 * block + i] += np.count_nonzero(masks & np.uint64(1 << i))
+        if not n or not self.names:
             return "und", 0.0
-        total, field = sum(map(self.words.__getitem__, words)), (1 << FIELD) - 1
-        n = total & field
-        corrected = [max(0.0, ((total >> FIELD * (i + 1) & field) - n * f) / (1 - f)) for i, f in enumerate(self.false)]
-        best = max(range(len(corrected)), key=lambda i: (corrected[i], -i))
-        return self.names[best], min(1.0, corrected[best] / sum(corrected)) if corrected[best] else 1 / len(self.names)
+        corrected = np.maximum(0.0, (counts - n * self.false) / (1 - self.false))
+        best = int(np.argmax(corrected))
+        return self.names[best], min(1.0, float(corrected[best] / corrected.sum())) if corrected[best] else 1 / len(self.names)
 
 
 def sample_of(documents: DataFrame, train, per_language: int) -> list[tuple[str, str]]:
