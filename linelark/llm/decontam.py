@@ -12,7 +12,9 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
+from itertools import repeat
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,9 +47,9 @@ def n_grams(words: list[str]) -> Counter:
 
 
 class Index:
-    """Items of similar length: postings (item, impact) by term in item order, in blocks with their largest impact."""
+    """Items of similar length: postings (item, impact) by term in item order, and for each term and block of BLOCK items the largest impact."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], terms: dict[str, int]) -> None:
         self.ids = [i for i, _ in items]
         docs = [words_of(t) for _, t in items]
         self.longest = max(map(len, docs))
@@ -57,69 +59,75 @@ class Index:
         idf = {w: math.log(1 + (len(docs) - n + 0.5) / (n + 0.5)) for w, n in holds.items()}
         postings = defaultdict(list)
         for i, d in enumerate(docs):
-            impact = {w: idf[w] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(d) / mean)) for w, n in Counter(d).items()}
+            impact = {terms[w]: idf[w] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(d) / mean)) for w, n in Counter(d).items()}
             own = sum(impact.values())
-            for w, x in impact.items():
-                postings[w].append((i, x / own))
-        self.items = {w: [i for i, _ in p] for w, p in postings.items()}
-        self.impacts = {w: [x for _, x in p] for w, p in postings.items()}
-        self.blocks = {w: [max(p[a : a + BLOCK]) for a in range(0, len(p), BLOCK)] for w, p in self.impacts.items()}
-        self.bound = {w: max(p) for w, p in self.blocks.items()}
-
-    def search(self, terms: set[str], threshold: float) -> list[int]:
-        """All items whose summed impacts over ``terms`` reach ``threshold``, by block-max WAND."""
-        lists = [[0, self.items[t], t] for t in terms]
-        found, slack = [], 1e-9
+            for t, x in impact.items():
+                postings[t].append((i, x / own))
+        self.items = {t: [i for i, _ in p] for t, p in postings.items()}
+        self.impacts = {t: [x for _, x in p] for t, p in postings.items()}
+        blocks = [{i // BLOCK: 0.0 for i, _ in postings.get(t, ())} for t in range(len(terms))]
+        for t, p in postings.items():
+            for i, x in p:
+                blocks[t][i // BLOCK] = max(blocks[t][i // BLOCK], x)
+        self.blocks = -(-len(docs) // BLOCK)
+        self.bound = np.array([max(b.values(), default=0.0) for b in blocks])
+        self.block_bound = blocks
+        self.first = np.concatenate(([0], np.cumsum([len(b) for b in blocks])))
+        self.block = np.array([k for b in blocks for k in b], np.int64)
+        self.top = np.array([x for b in blocks for x in b.values()])
+
+    def search(self, terms: list[int], block: int, threshold: float) -> list[int]:
+        """All items of a block whose summed impacts over ``terms`` reach ``threshold``, by WAND with the block's own bounds."""
+        low, high = block * BLOCK, (block + 1) * BLOCK
+        lists = []
+        for t in terms:
+            if block in self.block_bound[t]:
+                items = self.items[t]
+                lists.append([items[at := bisect_left(items, low)], at, items, t, self.block_bound[t][block]])
+        found = []
         while lists:
-            lists.sort(key=lambda x: x[1][x[0]])
+            lists.sort()
             total, pivot = 0.0, -1
-            for n, (at, items, t) in enumerate(lists):
-                total += self.bound[t]
-                if total + slack >= threshold:
+            for n, x in enumerate(lists):
+                total += x[4]
+                if total + 1e-9 >= threshold:
                     pivot = n
                     break
             if pivot < 0:
                 break
-            item = lists[pivot][1][lists[pivot][0]]
-            while pivot + 1 < len(lists) and lists[pivot + 1][1][lists[pivot + 1][0]] == item:
-                pivot += 1
-            tops, after = 0.0, 1 << 62
-            for at, items, t in lists[: pivot + 1]:
-                spot = bisect_left(items, item, at)
-                if spot < len(items):
-                    tops += self.blocks[t][spot // BLOCK]
-                    end = (spot // BLOCK + 1) * BLOCK
-                    after = min(after, items[end] if end < len(items) else 1 << 62)
-            if tops + slack < threshold:  # no item of these blocks can reach it
-                to = min(after, lists[pivot + 1][1][lists[pivot + 1][0]] if pivot + 1 < len(lists) else 1 << 62)
-                to = max(to, item + 1)
-            elif lists[0][1][lists[0][0]] == item:
-                score = sum(self.impacts[t][at] for at, items, t in lists[: pivot + 1] if items[at] == item)
-                if score + slack >= threshold:
+            item = lists[pivot][0]
+            if lists[0][0] == item:  # every list up to the pivot is there: score it
+                here = [x for x in lists if x[0] == item]
+                if sum(self.impacts[x[3]][x[1]] for x in here) + 1e-9 >= threshold:
                     found.append(item)
-                to = item + 1
+                item += 1
             else:
-                to = item
-            for x in lists[: pivot + 1]:
-                x[0] = bisect_left(x[1], to, x[0])
-            lists = [x for x in lists if x[0] < len(x[1])]
+                here = lists[:pivot]
+            for x in here:
+                x[1] = bisect_left(x[2], item, x[1])
+                x[0] = x[2][x[1]] if x[1] < len(x[2]) else high
+            lists = [x for x in lists if x[0] < high]
         return found
 
-    def leaks(self, words: list[str], present: set[str], threshold: float, overlap: float) -> set[int]:
-        """Ids of items that some passage of ``words`` holds."""
-        bound = self.bound
-        if sum(bound[w] for w in present) + 1e-9 < threshold:
+    def leaks(self, words: list[str], at: np.ndarray, terms: np.ndarray, threshold: float, overlap: float) -> set[int]:
+        """Ids of items that some passage holds; ``terms`` are the index's terms at the places ``at`` of ``words``."""
+        step = self.longest
+        last = max(0, -(-(len(words) - step) // step) - 1)  # number of the last passage
+        window = np.concatenate((np.minimum(at // step, last), np.clip(at // step - 1, 0, last)))
+        pairs = np.unique(window * len(self.bound) + np.concatenate((terms, terms)))
+        window, term = np.divmod(pairs, len(self.bound))
+        reach = np.bincount(window, self.bound[term], last + 1) + 1e-9 >= threshold
+        if not reach.any():
             return set()
-        reach = [bound.get(w, 0.0) for w in words]
-        found, step = set(), self.longest
-        for at in range(0, max(1, len(words) - step), step):
-            if sum(reach[at : at + 2 * step]) + 1e-9 < threshold:
-                continue
-            passage = words[at : at + 2 * step]
-            terms = {w for w in passage if w in bound}
-            if sum(bound[w] for w in terms) + 1e-9 < threshold:
-                continue
-            for item in self.search(terms, threshold):
+        window, term = window[reach[window]], term[reach[window]]
+        size = self.first[term + 1] - self.first[term]
+        picks = np.repeat(self.first[term] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        places, back = np.unique(np.repeat(window, size) * self.blocks + self.block[picks], return_inverse=True)
+        found: set[int] = set()
+        for place in places[np.bincount(back, self.top[picks]) + 1e-9 >= threshold].tolist():
+            w, block = divmod(place, self.blocks)
+            passage = words[w * step : (w + 2) * step] if w < last else words[w * step :]
+            for item in self.search(term[window == w].tolist(), block, threshold):
                 if item not in found and self._verified(item, passage, overlap):
                     found.add(item)
         return {self.ids[i] for i in found}
@@ -136,13 +144,23 @@ class Index:
         return True
 
 
-def indexes(items: list[tuple[int, str]]) -> list[Index]:
-    """One index for each range of lengths (to 32, 64, 128, ... words), so that passages fit their items."""
-    classes = defaultdict(list)
-    for i, text in items:
-        if n := len(words_of(text)):
-            classes[max(5, (n - 1).bit_length())].append((i, text))
-    return [Index(c) for _, c in sorted(classes.items())]
+class Searcher:
+    """Indexes for each range of lengths (to 32, 64, 128, ... words), so that passages fit their items, over one vocabulary."""
+
+    def __init__(self, items: list[tuple[int, str]]) -> None:
+        classes = defaultdict(list)
+        self.terms: dict[str, int] = {}
+        for i, text in items:
+            if words := words_of(text):
+                classes[max(5, (len(words) - 1).bit_length())].append((i, text))
+                for w in words:
+                    self.terms.setdefault(w, len(self.terms))
+        self.indexes = [Index(c, self.terms) for _, c in sorted(classes.items())]
+
+    def __call__(self, words: list[str], threshold: float, overlap: float) -> set[int]:
+        known = np.fromiter(map(self.terms.get, words, repeat(-1)), np.int64, len(words))
+        at = np.flatnonzero(known >= 0)
+        return set().union(*(i.leaks(words, at, known[at], threshold, overlap) for i in self.indexes)) if len(at) else set()
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, index_items: int = INDEX_ITEMS) -> DataFrame:
@@ -159,18 +177,12 @@ def contamination(documents: DataFrame, benchmark: DataFrame, threshold: float =
     shared = []
     for p in range(parts):
         rows = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).collect()
-        shared.append(spark.sparkContext.broadcast(indexes(sorted((r["item_id"], r["text"]) for r in rows))))
+        shared.append(spark.sparkContext.broadcast(Searcher(sorted((r["item_id"], r["text"]) for r in rows))))
 
     def start():
-        whole = [i for s in shared for i in s.value]
-
         def one(doc_id, text):
             words = words_of(text)
-            found: set[int] = set()
-            if words:
-                distinct = set(words)
-                for index in whole:
-                    found |= index.leaks(words, distinct & index.bound.keys(), threshold, overlap)
+            found = set().union(*(s.value(words, threshold, overlap) for s in shared))
             return doc_id, sorted(found), len(found), bool(found)
 
         return one
