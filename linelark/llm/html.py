@@ -30,6 +30,7 @@ VOID = "area base br col embed hr img input link meta source track wbr".split()
 INLINE = "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split()
 CHROME = "nav header footer aside form script style noscript head title menu dialog button fieldset figure-tools".split()
 CHROME_WORDS = set("ad ads advert advertisement adverts banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside widget footer header masthead topbar toolbar cookie cookies consent notice notices alert popup modal newsletter subscribe subscription signup login share sharing social related recommended comment comments reply replies discussion respond disqus form search pagination pager legal copyright skip".split())
+CHROME_STARTS = ("advert", "breadcrumb", "comment", "cookie", "navbar", "navigation", "newsletter", "sidebar", "sponsor", "subscri")
 MAIN_WORDS = set("article main content post entry story body".split())
 CLOSES_P = set("address article aside blockquote details dialog div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
@@ -74,7 +75,7 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
             continue
         name = m[2].lower()
         if m[1]:
-            if name in INLINE:
+            if name in INLINE and not (path and path[-1].partition(".")[0] == name):
                 continue
             for i in range(len(path) - 1, -1, -1):
                 if path[i].partition(".")[0] == name:
@@ -90,8 +91,10 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
         elif name in VOID:
             yield tuple(path), ""
         elif name in INLINE:
-            marks = set(_marks(m[3]).split(".")) if m[3] else set()
-            if marks & CHROME_WORDS and name not in ("a", "b", "i"):
+            marks = _marks(m[3]) if m[3] else ""
+            # on the path only if it is chrome or within such, so that emphasis does not split a block
+            if path and path[-1].partition(".")[0] in INLINE or _chrome_words(marks):
+                path.append(f"{name}.{marks}" if marks else name)
                 yield tuple(path), ""
         else:
             if name in CLOSES_P and path and path[-1].partition(".")[0] == "p":
@@ -229,16 +232,23 @@ def _step(stack: list, token: str) -> None:
         stack.pop()
 
 
+def _chrome_words(marks: str) -> bool:
+    words = marks.split(".") if marks else ()
+    return any(w in CHROME_WORDS or w.startswith(CHROME_STARTS) for w in words)
+
+
 def is_chrome(path: tuple[str, ...]) -> bool:
     """Whether a slot is menu, header, footer, sidebar, notice, advert, form or comments by its path."""
     inside = False
     for element in path:
         name, _, marks = element.partition(".")
-        words = set(marks.split(".")) if marks else set()
-        if name in CHROME and not (inside and name in ("header", "figure")):
-            return True
-        if words & CHROME_WORDS and not (words & MAIN_WORDS and name in ("article", "main", "body")):
+        if name in CHROME and not (inside and name == "header"):
             return True
+        if _chrome_words(marks):
+            main = MAIN_WORDS & set(marks.split("."))
+            # an article's own header holds its title; a marked page body is not chrome as a whole
+            if not (main and (name in ("article", "main", "body") or inside and "header" in marks.split("."))):
+                return True
         inside = inside or name in ("article", "main")
     return False
 

@@ -125,13 +125,14 @@ PAGES = [
     ("<html><body><nav><a>Home</a><a>B</a></nav><article><h1>Z</h1><p>&eacute;&#233;</p><script>var t='</p>';</script><section class='comments'>no</section></article></body></html>", "Z éé"),
     ("<html><body><div class=sidebar>s</div><main><p>Only main</p><aside>x</aside></main></body></html>", "Only main"),
     ("<p>bare text<!-- c --> and 1 < 2</p>", "bare text and 1 < 2"),
+    ("<article><header><h1>T</h1></header><p>a <span class='ad'>b <span>c</span> d</span>e</p><ol class=commentlist><li>no</ol></article>", "T a e"),
     ("<article>cut off <b>here", "cut off here"),
     ("", ""), (None, ""), ("<script>only", ""), ("<nav>menu</nav>", ""),
 ]
 
 
 def test_html(spark):
-    rows = [(i, f"http://h{i % 2}.example/{i}" if i != 5 else None, p, "x") for i, (p, _) in enumerate(PAGES)]
+    rows = [(i, f"http://h{i % 2}.example/{i}" if i != 6 else None, p, "x") for i, (p, _) in enumerate(PAGES)]
     got = {r["page_id"]: r for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, content string")).collect()}
     assert {i: got[i]["text"] for i in got} == {i: t for i, (_, t) in enumerate(PAGES)}
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
