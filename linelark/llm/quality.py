@@ -10,40 +10,59 @@ from __future__ import annotations
 
 import math
 import operator
-import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import grams
 from .scratch import labelled_sample, map_rows, remainder
 
-BUCKETS, DIM, SHORTEST, LONGEST = 1 << 17, 8, 3, 5
+BITS, DIM, SHORTEST, LONGEST = 17, 8, 3, 5
+BUCKETS = 1 << BITS
 #: Labelled documents of each class, and characters of one, used for fitting at most.
 SAMPLE_PER_CLASS, SAMPLE_CHARS = 1500, 40_000
-#: Words whose scores a worker remembers at most.
-CACHE = 200_000
-
-
-def features(word: str) -> list[int]:
-    marked = f"<{word}>".encode()
-    grams = {marked[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(marked) - n + 1)}
-    return [zlib.crc32(marked, 7) % BUCKETS] + [zlib.crc32(g) % BUCKETS for g in sorted(grams)]
-
-
-SAME = [zlib.crc32(b"same as before", 9) % BUCKETS]
-
-
-def fit(sample: list[tuple[str, int]], prior: float = 0.0, epochs: int = 8, rate: float = 0.3, batch: int = 32, seed: int = 5) -> tuple[list[float], float]:
+#: The bucket of the bigram of two equal words.
+SAME = 1
+#: Characters scored at once; longer texts are scored in parts of whole words.
+PART = 1 << 20
+_SHIFT = np.uint32(32 - BITS)
+
+
+def _word_buckets(threes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Buckets of the words themselves, from sums of their 3-gram hashes and their lengths."""
+    total = np.concatenate(([0], np.cumsum(threes.astype(np.uint64)))).astype(np.uint64)
+    own = (total[last - 1] - total[first] + (last - first).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return (own >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(how many features each word has, all features word by word): the word's own bucket and those of its n-grams."""
+    points = grams.spaced(words)
+    first, last = grams.places(points)
+    at, found = [np.arange(len(words))], []
+    for n, h in grams.hashes(points, SHORTEST, LONGEST):
+        if n == 3:
+            found.append(_word_buckets(h, first, last))
+        low, high = grams.inside(first, last, n)
+        size = high - low
+        at.append(np.repeat(np.arange(len(words)), size))
+        found.append((h >> _SHIFT)[np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())].astype(np.int64))
+    at, found = np.concatenate(at), np.concatenate(found)
+    order = np.argsort(at, kind="stable")
+    return np.bincount(at, minlength=len(words)), found[order]
+
+
+def fit(sample: list[tuple[str, int]], prior: float = 0.0, epochs: int = 8, rate: float = 0.3, batch: int = 32, seed: int = 5) -> tuple[np.ndarray, float]:
     """(a number for each bucket, bias): the logit of class 1 is the bias plus the mean over words of the mean over their buckets.
 
     ``prior`` is added to the bias. With no rows of one class every document gets ``prior`` plus or minus 4.
     """
     classes = {y for _, y in sample}
     if len(classes) < 2:
-        return [0.0] * BUCKETS, 4.0 if classes == {1} else -4.0 if classes else prior
+        return np.zeros(BUCKETS), 4.0 if classes == {1} else -4.0 if classes else prior
     vocabulary: dict[str | None, int] = {None: 0}
-    spans, flat, docs = [SAME], [], []
+    docs = []
     for text, _ in sample:
         words = text.split()
         counts: dict[str | None, int] = {}
@@ -52,12 +71,12 @@ def fit(sample: list[tuple[str, int]], prior: float = 0.0, epochs: int = 8, rate
         if again := sum(map(operator.eq, words[1:], words)):
             counts[None] = again
         for w in counts:
-            if w not in vocabulary:
-                vocabulary[w] = len(spans)
-                spans.append(features(w))
+            vocabulary.setdefault(w, len(vocabulary))
         docs.append((np.fromiter((vocabulary[w] for w in counts), np.int64), np.fromiter(counts.values(), float)))
-    sizes = np.array([len(s) for s in spans])
-    flat = np.fromiter((f for s in spans for f in s), np.int64)
+    if len(vocabulary) == 1:
+        return np.zeros(BUCKETS), prior
+    sizes, flat = features([w for w in vocabulary if w is not None])
+    sizes, flat = np.append(1, sizes), np.append(SAME, flat)
     starts = np.concatenate(([0], np.cumsum(sizes)))
     rng = np.random.default_rng(seed)
     e, w, b = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, 2)), np.zeros(2)
@@ -93,32 +112,41 @@ def fit(sample: list[tuple[str, int]], prior: float = 0.0, epochs: int = 8, rate
             b_sum += gb**2
             w -= rate * gw / np.sqrt(w_sum)
             b -= rate * gb / np.sqrt(b_sum)
-    return (e @ (w[:, 1] - w[:, 0])).tolist(), float(b[1] - b[0]) + prior
+    return e @ (w[:, 1] - w[:, 0]), float(b[1] - b[0]) + prior
 
 
 class Scorer:
-    """Logit of whole texts; remembers words' scores."""
+    """Logit of whole texts."""
 
-    def __init__(self, buckets: list[float], bias: float) -> None:
+    def __init__(self, buckets: np.ndarray, bias: float) -> None:
         self.buckets, self.bias = buckets, bias
-        self.same = buckets[SAME[0]]
-
-        class Words(dict):
-            def __missing__(words, word: str) -> float:
-                if len(words) >= CACHE:
-                    words.clear()
-                own = features(word)
-                words[word] = score = sum(map(buckets.__getitem__, own)) / len(own)
-                return score
-
-        self.words = Words()
 
     def __call__(self, text: str | None) -> float:
         words = text.split() if text else []
         if not words:
             return self.bias
         again = sum(map(operator.eq, words[1:], words))
-        return self.bias + (sum(map(self.words.__getitem__, words)) + again * self.same) / (len(words) + again)
+        total, size, begin = again * self.buckets[SAME], 0, 0
+        for i, w in enumerate(words if len(text) > PART else ()):
+            size += len(w) + 1
+            if size > PART:
+                total, size, begin = total + self._sum(words[begin : i + 1]), 0, i + 1
+        total += self._sum(words[begin:]) if begin < len(words) else 0.0
+        return self.bias + float(total) / (len(words) + again)
+
+    def _sum(self, words: list[str]) -> float:
+        """The words' scores, each the mean over its features, summed: a word's n-grams are side by side, so running sums give them."""
+        points = grams.spaced(words)
+        first, last = grams.places(points)
+        for n, h in grams.hashes(points, SHORTEST, LONGEST):
+            if n == 3:
+                score, size = self.buckets[_word_buckets(h, first, last)], np.ones(len(first))
+            low, high = grams.inside(first, last, n)
+            running = np.zeros(len(h) + 1)
+            np.cumsum(self.buckets[h >> _SHIFT], out=running[1:])
+            low, high = np.minimum(low, len(h)), np.minimum(high, len(h))
+            score, size = score + running[high] - running[low], size + (high - low)
+        return float((score / size).sum())
 
 
 def sigmoid(z: float) -> float:
