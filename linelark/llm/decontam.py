@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import map_rows
+from .scratch import keep_rows, map_rows
 
 #: Items of one index that is broadcast; more items are searched in turns.
 INDEX_ITEMS = 20_000
@@ -163,6 +163,18 @@ class Searcher:
         return set().union(*(i.leaks(words, at, known[at], threshold, overlap) for i in self.indexes)) if len(at) else set()
 
 
+def _shared(documents: DataFrame, benchmark: DataFrame, index_items: int) -> list:
+    """Broadcast searchers of at most about ``index_items`` items each."""
+    spark = documents.sparkSession
+    usable = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text").distinct()
+    parts = max(1, -(-usable.count() // index_items))
+    shared = []
+    for p in range(parts):
+        rows = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).collect()
+        shared.append(spark.sparkContext.broadcast(Searcher(sorted((r["item_id"], r["text"]) for r in rows))))
+    return shared
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, index_items: int = INDEX_ITEMS) -> DataFrame:
     """For each row of ``documents``: doc_id, items (ids of the benchmark items that it holds, ascending), n_items, contaminated.
 
@@ -171,13 +183,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, threshold: float =
     are ignored, and an empty table on either side gives no rows or no items. Above ``index_items`` items the text is
     searched against one bounded part of the index after another.
     """
-    spark = documents.sparkSession
-    usable = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text").distinct()
-    parts = max(1, -(-usable.count() // index_items))
-    shared = []
-    for p in range(parts):
-        rows = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).collect()
-        shared.append(spark.sparkContext.broadcast(Searcher(sorted((r["item_id"], r["text"]) for r in rows))))
+    shared = _shared(documents, benchmark, index_items)
 
     def start():
         def one(doc_id, text):
@@ -189,3 +195,17 @@ def contamination(documents: DataFrame, benchmark: DataFrame, threshold: float =
 
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return map_rows(rows, start, "doc_id long, items array<long>, n_items int, contaminated boolean")
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, index_items: int = INDEX_ITEMS) -> DataFrame:
+    """The rows of ``documents``, with all their columns, that hold no benchmark item; one pass, no shuffle."""
+    shared = _shared(documents, benchmark, index_items)
+
+    def start():
+        def one(text):
+            words = words_of(text)
+            return not any(s.value(words, threshold, overlap) for s in shared)
+
+        return one
+
+    return keep_rows(documents, start, ["text"])

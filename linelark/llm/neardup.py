@@ -129,6 +129,12 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, trees:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def representatives(documents: DataFrame, **limits) -> DataFrame:
+    """The rows of ``documents``, with all their columns, that ``near_duplicates`` keeps: one document of each group, and all without an id."""
+    gone = table(near_duplicates(documents, **limits).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return documents.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
 def _group(documents: DataFrame, sets: DataFrame, k: int, percent: int, leaf: int, group_sets: int, group_hashes: int) -> DataFrame:
     """(node, component) of the sets that are linked with another."""
     spark = documents.sparkSession

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grams
-from .scratch import labelled_sample, map_rows, remainder
+from .scratch import keep_rows, labelled_sample, map_rows, remainder
 
 BITS, DIM, SHORTEST, LONGEST = 17, 8, 3, 5
 BUCKETS = 1 << BITS
@@ -153,6 +153,26 @@ def sigmoid(z: float) -> float:
     return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
+def _trained(documents: DataFrame, labels: DataFrame, folds: int, held_out: int, per_class: int):
+    train = remainder("doc_id", folds) != held_out
+    sample = labelled_sample(documents, labels, "quality", train, per_class, SAMPLE_CHARS)
+    counts = {r["quality"]: r["n"] for r in labels.where(train & F.col("quality").isin(0, 1)).groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    used = [sum(y == c for _, y in sample) for c in (0, 1)]
+    prior = math.log(counts[1] / used[1]) - math.log(counts[0] / used[0]) if all(used) else 0.0
+    return documents.sparkSession.sparkContext.broadcast(fit(sample, prior))
+
+
+def accepted(documents: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
+    """The rows of ``documents``, with all their columns, that ``quality_scores`` predicts to be of label 1; one pass, no shuffle."""
+    shared = _trained(documents, labels, folds, held_out, per_class)
+
+    def start():
+        scorer = Scorer(*shared.value)
+        return lambda text: sigmoid(scorer(text)) >= 0.5
+
+    return keep_rows(documents, start, ["text"])
+
+
 def quality_scores(documents: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted (score >= 0.5) for each row of ``documents``.
 
@@ -160,12 +180,7 @@ def quality_scores(documents: DataFrame, labels: DataFrame, folds: int = 3, held
     at most ``per_class`` of each class. Null and empty texts get the prior's score; without labels it is 0.5, with one
     class only it is near that class. Repeated rows repeat; other columns are ignored; an empty table gives no rows.
     """
-    train = remainder("doc_id", folds) != held_out
-    sample = labelled_sample(documents, labels, "quality", train, per_class, SAMPLE_CHARS)
-    counts = {r["quality"]: r["n"] for r in labels.where(train & F.col("quality").isin(0, 1)).groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    used = [sum(y == c for _, y in sample) for c in (0, 1)]
-    prior = math.log(counts[1] / used[1]) - math.log(counts[0] / used[0]) if all(used) else 0.0
-    shared = documents.sparkSession.sparkContext.broadcast(fit(sample, prior))
+    shared = _trained(documents, labels, folds, held_out, per_class)
 
     def start():
         scorer = Scorer(*shared.value)

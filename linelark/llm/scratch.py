@@ -55,6 +55,19 @@ def map_rows(df: DataFrame, start: Callable[[], Callable[[list], list | None]],
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, start: Callable[[], Callable[..., bool]], inputs: list[str]) -> DataFrame:
+    """The rows of ``df``, all columns as they are, whose ``inputs`` pass the test that ``start()`` makes once a task. Nothing is shuffled."""
+    small_batches(df.sparkSession)
+    at = [df.columns.index(c) for c in inputs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = start()
+        for batch in batches:
+            yield batch.filter(pa.array([passes(*v) for v in zip(*(batch.column(i).to_pylist() for i in at))], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def to_batches(rows: list, target: pa.Schema) -> Iterator[pa.RecordBatch]:
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), target)], schema=target)
