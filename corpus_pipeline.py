@@ -3,32 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from linelark.llm import decontam, neardup, packing, pii, quality
 from linelark.llm.queries import tokenizer_paths
 from linelark.llm.scratch import table
 
 
-def _decided(docs: DataFrame, decisions: DataFrame, keep: str) -> DataFrame:
-    """The rows of ``docs`` for which the decision of their doc_id is to keep them; a null doc_id matches a null one."""
-    gone = table(decisions.where(~F.expr(keep)).select("doc_id").distinct(), "gone")
-    return docs.join(gone.withColumnRenamed("doc_id", "_gone"), F.col("_gone").eqNullSafe(docs["doc_id"]), "left_anti")
-
-
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    return _decided(docs, quality.quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), "predicted = 1")
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group linked by 0.8 of their five-word shingles."""
-    return _decided(docs, neardup.near_duplicates(docs, k=5), "kept")
+    return neardup.representatives(docs, k=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return _decided(docs, decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "not contaminated")
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
