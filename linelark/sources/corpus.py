@@ -52,6 +52,12 @@ def document_lines(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", name.alias("source_text"), F.posexplode(F.split("text", "\r\n|\r|\n")).alias("source_offset", "line"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt to all cores if the input has fewer splits than there are cores, as one small file has; else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def searchable(lines: DataFrame) -> DataFrame:
     """``lines`` with completed_sentence and normalized_sentence; blank lines and lines without a letter or digit go."""
     rows = lines.withColumn("completed_sentence", strip("line")).where(F.col("completed_sentence") != "")
@@ -81,7 +87,7 @@ def directory_records(spark: SparkSession, root: str, limit: int | None = None)
 
 
 def document_records(documents: DataFrame, limit: int | None = None) -> DataFrame:
-    return first_records(numbered(searchable(document_lines(documents)), ["doc_id"], [F.col("doc_id")]), limit)
+    return first_records(numbered(searchable(document_lines(spread(documents))), ["doc_id"], [F.col("doc_id")]), limit)
 
 
 def first_records(records: DataFrame, limit: int | None) -> DataFrame:
