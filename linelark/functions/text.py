@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,10 +41,22 @@ def _folding() -> tuple[dict[str, str], dict[str, str]]:
     return {c: f for c, f in changed.items() if len(f) == 1}, {c: f for c, f in changed.items() if len(f) > 1}
 
 
+def _ranges(characters: Iterable[str], gap: int = 64) -> str:
+    """A character class of a few ranges that hold all ``characters`` (and others between close ones)."""
+    spans: list[list[int]] = []
+    for x in sorted(map(ord, characters)):
+        if spans and x - spans[-1][1] <= gap:
+            spans[-1][1] = x
+        else:
+            spans.append([x, x])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in spans) + "]"
+
+
 def casefold(c: Column | str) -> Column:
-    """Full Unicode case folding: the order of equal scores."""
+    """Full Unicode case folding: the order of equal scores. Most texts have no character that it changes and stay as lower-cased."""
     single, several = _folding()
-    low = F.translate(F.lower(column(c)), "".join(single), "".join(single.values()))
+    low = F.replace(F.lower(column(c)), F.lit("\u00df"), F.lit("ss"))  # by far the commonest of them
     table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
-    spelled = F.array_join(F.transform(F.split(low, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
-    return F.when(low.rlike("[" + "".join(several) + "]"), spelled).otherwise(low)
+    singly = F.translate(low, "".join(single), "".join(single.values()))
+    spelled = F.array_join(F.transform(F.split(singly, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    return F.when(low.rlike(_ranges({*single, *several} - {"\u00df"})), spelled).otherwise(low)

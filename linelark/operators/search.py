@@ -7,11 +7,11 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.score import best_match_score, tier_patterns
+from ..functions.score import best_match_score, quoted
 from ..functions.text import casefold, column, normalize_text
 
-#: Queries of one batch that are broadcast; longer tables are answered in blocks of this size.
-QUERY_BLOCK = 1024
+#: Queries that are broadcast at once; queries scored in one scan.
+QUERY_BLOCK, SCAN_QUERIES = 1024, 64
 RESULT = ["completed_sentence", "source_text", "offset", "score", "rank"]
 
 
@@ -57,10 +57,13 @@ def exact_occurrences(records: DataFrame, pattern: str) -> DataFrame:
     """(sentence_id, match_offset) of every occurrence, overlapping ones too; offsets are code points from 0."""
     if not pattern or "\0" in pattern:
         return records.select("sentence_id", F.lit(0).alias("match_offset")).limit(0)
-    n, size = F.col("normalized_sentence"), len(pattern)
-    starts = F.sequence(F.lit(1), F.greatest(F.length(n) - size + 1, F.lit(1)))
-    hits = F.filter(starts, lambda i: F.substring(n, i, F.lit(size)) == pattern)
-    return records.where(n.contains(pattern)).select("sentence_id", F.explode(hits).alias("at")).select("sentence_id", (F.col("at") - 1).alias("match_offset"))
+    # a split before every occurrence: the pieces' lengths add up to its places; a piece at 0 is one only if the text begins so
+    n = F.col("normalized_sentence")
+    empty = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<int>)").alias("found"))
+    step = lambda acc, piece: F.struct((acc["at"] + F.length(piece)).alias("at"), F.concat(acc["found"], F.array(acc["at"])).alias("found"))
+    places = F.aggregate(F.split(n, f"(?={quoted(pattern)})", -1), empty, step)["found"]
+    hits = F.filter(places, lambda at: (at > 0) | n.startswith(pattern))
+    return records.where(n.contains(pattern)).select("sentence_id", F.explode(hits).alias("match_offset"))
 
 
 def result_order() -> list[Column]:
@@ -87,27 +90,34 @@ def best_completions(records: DataFrame, text: str, k: int = 5, brute_force: boo
 def batch_completions(records: DataFrame, texts: Iterable[tuple[int, str]], k: int = 5) -> DataFrame:
     """``best_completions`` of many (query_id, text) at once, with query_id and the normalised query.
 
-    Queries and their patterns are a small broadcast table; the corpus is read once a block and never shuffled before
-    the best k of each task and query are known.
+    Each scan of the corpus scores SCAN_QUERIES queries as literals: a pattern joined in from a table would be compiled
+    anew for every line. Nothing is shuffled before the best k of each task and query are known.
     """
-    spark = records.sparkSession
-    rows = [(i, q, *anchors(q), len(q) < 4, [(s, p) for s, p in tier_patterns(q)]) for i, t in texts if (q := normalize_text(t))]
-    schema = "query_id long, query string, left string, right string, short boolean, tiers array<struct<tier:int,pattern:string>>"
-    out = None
-    for at in range(0, max(1, len(rows)), QUERY_BLOCK):
-        queries = F.broadcast(spark.createDataFrame(rows[at : at + QUERY_BLOCK], schema))
-        n = F.col("normalized_sentence")
-        pairs = records.join(queries, F.col("short") | n.contains(F.col("left")) | n.contains(F.col("right")))
-        first = F.filter("tiers", lambda t: F.rlike(n, t["pattern"]))
-        scored = pairs.withColumn("score", F.when(n.contains(F.col("query")), 2 * F.length("query")).otherwise(F.try_element_at(first, F.lit(1))["tier"]))
-        scored = scored.where(F.col("score").isNotNull())
-        best = Window.partitionBy("query_id").orderBy(*result_order())
+    queries = [(i, q) for i, t in texts if (q := normalize_text(t))]
+    n, out = F.col("normalized_sentence"), None
+    best = Window.partitionBy("query_id").orderBy(*result_order())
+    for at in range(0, max(1, len(queries)), SCAN_QUERIES):
+        each = [F.struct(F.lit(i).cast("long").alias("query_id"), F.lit(q).alias("query"), F.when(may_match(q), best_match_score(q, n)).alias("score")) for i, q in queries[at : at + SCAN_QUERIES]]
+        if not each:
+            return records.limit(0).select(F.lit(0).cast("long").alias("query_id"), F.lit("").alias("query"), "completed_sentence", "source_text", F.col("source_offset").alias("offset"), F.lit(0).alias("score"), F.lit(0).alias("rank"))
+        scored = records.select(*[c for c in records.columns if c not in ("query_id", "query", "score")], F.explode(F.filter(F.array(*each), lambda x: x["score"].isNotNull())).alias("_q")).select("*", "_q.*")
         ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         ranked = ranked.withColumnRenamed("source_offset", "offset").select("query_id", "query", *RESULT)
         out = ranked if out is None else out.unionAll(ranked)
     return out
 
 
+def batch_candidates(records: DataFrame, texts: Iterable[tuple[int, str]]) -> DataFrame:
+    """(query_id, sentence_id) of every sentence that holds a half of a query: a join of the corpus with a broadcast table of at most QUERY_BLOCK queries."""
+    rows = [(i, *anchors(q)) for i, t in texts if (q := normalize_text(t))]
+    n, out = F.col("normalized_sentence"), None
+    for at in range(0, max(1, len(rows)), QUERY_BLOCK):
+        queries = F.broadcast(records.sparkSession.createDataFrame(rows[at : at + QUERY_BLOCK], "query_id long, left string, right string"))
+        found = records.select("sentence_id", n).join(queries, n.contains(F.col("left")) | n.contains(F.col("right"))).select("query_id", "sentence_id")
+        out = found if out is None else out.unionAll(found)
+    return out
+
+
 def differences(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows that only one side has, with ``side``; empty if both hold the same rows as often."""
     return left.exceptAll(right).withColumn("side", F.lit("left")).unionAll(right.exceptAll(left).withColumn("side", F.lit("right")))

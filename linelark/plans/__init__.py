@@ -119,6 +119,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top5_brute_force": _top(SUBSTITUTED, brute=True),
         "indexed_minus_brute": lambda s, d: search.differences(_top(DELETED)(s, d), _top(DELETED, brute=True)(s, d)),
         "batch_top5": lambda s, d: search.batch_completions(records(s, d), BATCH),
+        "batch_candidates": lambda s, d: search.batch_candidates(records(s, d), BATCH[:3]),
         "corpus_stats": lambda s, d: metrics.corpus_stats(records(s, d)),
         "index_memory": lambda s, d: metrics.index_memory(records(s, d)),
         "lines_per_source": lambda s, d: metrics.lines_per_source(records(s, d)),

@@ -145,6 +145,7 @@ def oracle_sql() -> dict[str, str]:
         "top5_messy_text": _top("and the"),
         "top5_brute_force": _top(SUBSTITUTED),
         "batch_top5": f'{_LINES}, scored AS ({batch}) SELECT query_id, query, completed_sentence, source_text, source_offset AS "offset", score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS INTEGER) AS rank FROM scored WHERE score IS NOT NULL QUALIFY rank <= 5',
+        "batch_candidates": _LINES + " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS query_id, sentence_id FROM records WHERE {_halves(normalize_text(q), 'normalized_sentence')}" for i, q in BATCH[:3]),
         "corpus_stats": f"{_LINES} SELECT count(*) AS sentences, count(DISTINCT source_text) AS sources, CAST(sum(length(normalized_sentence) + 1) - 1 AS BIGINT) AS corpus_chars FROM records",
         "index_memory": f"{_LINES}, s AS (SELECT count(*) AS n, CAST(sum(length(normalized_sentence) + 1) - 1 AS BIGINT) AS c FROM records) SELECT 4 * c AS suffix_array_bytes, 4 * n AS sentence_starts_bytes, 12 * c AS workspace_bytes, 16 * c + 4 * n AS build_peak_bytes FROM s",
         "lines_per_source": f"{_LINES} SELECT source_text, count(*) AS lines FROM records GROUP BY source_text",
