@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.text import normalize_text
+
 from .operators import metrics, search
 from .sources import corpus, store
 
@@ -45,10 +47,14 @@ class Completer:
         return search.best_completions(self.records, text, k, brute_force)
 
     def best(self, text: str, k: int = 5) -> list:
-        """``complete`` as rows, best first; how long it took is in ``last_query_metrics``."""
-        began = time.perf_counter()
-        rows = sorted(self.complete(text, k).collect(), key=lambda r: r["rank"])
-        self.last_query_metrics = {"results": float(len(rows)), "total_seconds": time.perf_counter() - began}
+        """``complete`` as rows, best first; candidates, results and seconds are in ``last_query_metrics``."""
+        began, seen = time.perf_counter(), Observation()
+        query = normalize_text(text)
+        rows = []
+        if query:
+            candidates = self.records.where(search.may_match(query)).observe(seen, F.count("*").alias("candidates"))
+            rows = sorted(search.best_completions(candidates, text, k, brute_force=True).collect(), key=lambda r: r["rank"])
+        self.last_query_metrics = {"candidate_count": float(seen.get["candidates"]) if query else 0.0, "results": float(len(rows)), "total_seconds": time.perf_counter() - began}
         return rows
 
 

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.score import best_match_score, quoted
+from ..functions.score import best_match_score, quoted, verify_one_edit
 from ..functions.text import casefold, column, normalize_text
 
 #: Queries that are broadcast at once; queries scored in one scan.
@@ -66,6 +66,12 @@ def exact_occurrences(records: DataFrame, pattern: str) -> DataFrame:
     return records.where(n.contains(pattern)).select("sentence_id", F.explode(hits).alias("match_offset"))
 
 
+def verified_matches(records: DataFrame, query: str, filtered: bool = True) -> DataFrame:
+    """(sentence_id, match_offset, edit_type) of every sentence within one edit of a normalised query; all are verified if not ``filtered``."""
+    rows = records.where(may_match(query)) if filtered else records
+    return rows.select("sentence_id", verify_one_edit(query, "normalized_sentence").alias("v")).where("v.matched").select("sentence_id", "v.match_offset", "v.edit_type")
+
+
 def result_order() -> list[Column]:
     """Score, then the sentence case-folded, then as written, then its place: total, as a place holds one line."""
     return [F.desc("score"), casefold("completed_sentence"), F.col("completed_sentence"), F.col("source_text"), F.col("source_offset")]
@@ -121,3 +127,8 @@ def batch_candidates(records: DataFrame, texts: Iterable[tuple[int, str]]) -> Da
 def differences(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows that only one side has, with ``side``; empty if both hold the same rows as often."""
     return left.exceptAll(right).withColumn("side", F.lit("left")).unionAll(right.exceptAll(left).withColumn("side", F.lit("right")))
+
+
+def same_rows(left: DataFrame, right: DataFrame) -> bool:
+    """Whether both hold the same rows, each as often."""
+    return differences(left, right).isEmpty()

@@ -28,6 +28,14 @@ def suffix_array(records: DataFrame) -> DataFrame:
     return suffix.select((F.row_number().over(Window.orderBy("suffix")) - 1).alias("rank"), "position")
 
 
+def suffix_at(records: DataFrame, rank: int) -> int:
+    """The position of the suffix of that rank; IndexError if there is none."""
+    row = suffix_array(records).where(F.col("rank") == rank).first()
+    if row is None:
+        raise IndexError(rank)
+    return int(row["position"])
+
+
 def locate(records: DataFrame, positions: DataFrame) -> DataFrame:
     """(position, sentence_id, match_offset) of corpus positions; separators and places outside give no row."""
     starts = sentence_starts(records).select("sentence_id", "start", "length")

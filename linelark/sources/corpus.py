@@ -90,6 +90,11 @@ def document_records(documents: DataFrame, limit: int | None = None) -> DataFram
     return first_records(numbered(searchable(document_lines(spread(documents))), ["doc_id"], [F.col("doc_id")]), limit)
 
 
+def load_records(spark: SparkSession, root: str) -> list:
+    """All records of a directory on the driver, in order: for corpora that fit there."""
+    return sorted(directory_records(spark, root).collect(), key=lambda r: r["sentence_id"])
+
+
 def first_records(records: DataFrame, limit: int | None) -> DataFrame:
     """The first ``limit`` searchable records in order; all if it is None."""
     return records if limit is None else records.where(F.col("sentence_id") < limit)

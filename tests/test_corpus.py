@@ -1,6 +1,6 @@
 import pytest
 
-from linelark import engine
+from linelark import benchmark, engine
 from linelark.functions.text import normalize_text
 from linelark.operators import metrics
 from linelark.sources import corpus
@@ -37,6 +37,7 @@ def test_directory(spark, tmp_path):
     want = _expected(tmp_path, files)
     assert sorted(map(tuple, corpus.directory_records(spark, str(tmp_path)).collect())) == want
     assert sorted(map(tuple, corpus.directory_records(spark, str(tmp_path), 3).collect())) == want[:3]
+    assert list(map(tuple, corpus.load_records(spark, str(tmp_path)))) == want
     assert corpus.violations(corpus.directory_records(spark, str(tmp_path))).first().asDict() == {"empty": 0, "nul": 0, "gaps": 0}
 
 
@@ -96,3 +97,11 @@ def test_metrics(spark):
     assert metrics.pearson(m.where("length = 4"), "length", "candidates").first()[0] == 0.0
     assert [r[0] for r in metrics.most_candidates(m, 2).collect()] == ["a", "abcdef"]
     assert metrics.synthetic_sentences(spark, 50).where("sentence rlike '^[A-Z][a-z]+( [a-z]+){2,4}$'").count() == 50
+
+
+def test_benchmark(spark):
+    records = corpus.from_records(spark, [(i, f"words of line {i} here", f"words of line {i} here", "s.txt", i) for i in range(60)]).cache()
+    figures = benchmark.run(records, queries=6, checked=3)
+    assert figures["records"] == 60 and figures["queries"] == 6 and figures["checked"] == 3 and figures["p95_seconds"] > 0
+    with pytest.raises(ValueError):
+        benchmark.run(records.limit(0), 5, 1)

@@ -60,6 +60,20 @@ def test_candidates_hold_every_match(spark):
         assert {r[0] for r in search.half_candidates(records, q).collect()} >= want
 
 
+@pytest.mark.parametrize("query", ["cat", "bat", "python", "xbandana", "c", "ana"])
+def test_verified_matches(spark, query):
+    lines = ["python", "jython", "at", "cat", "dog", "unrelated", "banana", "bandana", "ananas"]
+    want = sorted((i, at, kind) for i, s in enumerate(lines) for ok, at, kind in [brute.verify(query, s)] if ok)
+    for filtered in (True, False):
+        assert sorted(map(tuple, search.verified_matches(_records(spark, lines), query, filtered).collect())) == want
+
+
+def test_differences_count_copies(spark):
+    a, b = spark.createDataFrame([(1,), (1,), (2,)], "x int"), spark.createDataFrame([(1,), (2,), (3,)], "x int")
+    assert sorted(map(tuple, search.differences(a, b).collect())) == [(1, "left"), (3, "right")]
+    assert not search.same_rows(a, b) and search.same_rows(a, a)
+
+
 @pytest.mark.parametrize("pattern", ["ana", "a", "na", "banana", "zzz", "", "\0"])
 def test_occurrences_overlap(spark, pattern):
     lines = ["banana", "bandana", "ananas", "é😀ana", "aaaa"]
@@ -75,6 +89,9 @@ def test_suffixes_and_positions(spark):
     whole = "\0".join(lines)
     want = sorted(range(len(whole)), key=lambda p: whole[p:])
     assert [r["position"] for r in sorted(suffix.suffix_array(records).collect(), key=lambda r: r["rank"])] == want
+    assert suffix.suffix_at(records, 3) == want[3]
+    with pytest.raises(IndexError):
+        suffix.suffix_at(records, len(whole))
     positions = spark.range(len(whole) + 3).withColumnRenamed("id", "position")
     places = [(p, i, p - sum(len(x) + 1 for x in lines[:i])) for p in range(len(whole)) if whole[p] != "\0" for i in [whole[:p].count("\0")]]
     assert sorted(map(tuple, suffix.locate(records, positions).collect())) == places
