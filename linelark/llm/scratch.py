@@ -26,14 +26,27 @@ def folder(spark: SparkSession) -> str:
     return f"file://{spark._linelark_scratch}"
 
 
+_made: list[str] = []
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: later stages restart from files, not from ``df``'s plan."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Deletes the tables that this process has written and says how many: call it when no result that reads them is needed any more."""
+    n = len(_made)
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -363,3 +363,10 @@ def test_sample_is_bounded_and_balanced(spark):
     assert Counter(y for _, y in sample) == {0: 20, 1: 20}
     assert sample == scratch.labelled_sample(d.repartition(5), labels, "quality", F.lit(True), 20, 100)
 
+
+def test_tables_can_be_cleared(spark):
+    written = scratch.table(spark.range(5), "some")
+    path = written.inputFiles()[0]
+    assert written.count() == 5 and scratch.clear(spark) >= 1 and scratch.clear(spark) == 0
+    with pytest.raises(Exception, match="(?i)not.*exist|no such file"):
+        spark.read.parquet(path).count()
