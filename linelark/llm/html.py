@@ -2,8 +2,8 @@
 
 Each page becomes a stream of tags and text slots. The streams of a host are aligned one after another into a union-free
 regular expression: what repeats side by side becomes a repeated group, what some pages lack an optional group, texts
-become slots. The wrapper's slots that lie in the host's article region are its content; each page's slots are
-then read through the wrapper of its host.
+become slots. The wrapper is then an automaton over tags: parsing a page with the wrapper of its host binds each of the
+page's texts to a slot, and the slots that lie in the article region are the content.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from .scratch import arrow_schema, map_rows, small_batches, table
 
+#: Elements nested deeper are read as part of the one at this depth.
+DEPTH = 64
 #: Parts in which a host's distinct streams are first aligned, so that no host waits for one task.
 PARTS = 32
 
@@ -55,6 +57,7 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
     ends with its parent; a paragraph ends where a block starts.
     """
     path: list[str] = []
+    over: list[str] = []  # names of open elements below DEPTH
     at, end = 0, len(page)
     low = None
     while at < end:
@@ -75,8 +78,13 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
             continue
         name = m[2].lower()
         if m[1]:
+            if name in over:
+                del over[len(over) - 1 - over[::-1].index(name) :]
+                yield tuple(path), ""
+                continue
             if name in INLINE and not (path and path[-1].partition(".")[0] == name):
                 continue
+            over = []
             for i in range(len(path) - 1, -1, -1):
                 if path[i].partition(".")[0] == name:
                     del path[i:]
@@ -94,8 +102,11 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
             marks = _marks(m[3]) if m[3] else ""
             # on the path only if it is chrome or within such, so that emphasis does not split a block
             if path and path[-1].partition(".")[0] in INLINE or _chrome_words(marks):
-                path.append(f"{name}.{marks}" if marks else name)
+                path.append(f"{name}.{marks}" if marks else name) if len(path) < DEPTH else over.append(name)
                 yield tuple(path), ""
+        elif len(path) >= DEPTH:
+            over.append(name)
+            yield tuple(path), ""
         else:
             if name in CLOSES_P and path and path[-1].partition(".")[0] == "p":
                 path.pop()
@@ -106,130 +117,180 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
             yield tuple(path), ""
 
 
-def stream(page: str) -> list[str]:
-    """The page's tokens, '<x', '>x' and '#' for a text slot, from the paths of its texts."""
+def stream(page: str) -> tuple[list[str], list[list[str]]]:
+    """(tokens, pieces): '<x', '>x' and '#' for a text slot, from the paths of the page's texts; and the pieces of text of each slot."""
     out: list[str] = []
+    texts: list[list[str]] = []
     before: tuple[str, ...] = ()
     for path, text in blocks(page):
-        common = 0
-        while common < min(len(before), len(path)) and before[common] == path[common]:
-            common += 1
-        out += [">" + x for x in reversed(before[common:])] + ["<" + x for x in path[common:]]
-        before = path
-        if text.strip() and (not out or out[-1] != "#"):
+        if path != before:
+            common = 0
+            while common < min(len(before), len(path)) and before[common] == path[common]:
+                common += 1
+            out += [">" + x for x in reversed(before[common:])] + ["<" + x for x in path[common:]]
+            before = path
+        if out and out[-1] == "#":
+            texts[-1].append(text or " ")
+        elif text.strip():
             out.append("#")
-    return out + [">" + x for x in reversed(before)]
+            texts.append([text])
+    return out + [">" + x for x in reversed(before)], texts
+
 
+# A wrapper is a list of items [name, children, optional, repeated]; name is an element's, "#" for a text slot or "()" for a
+# run of siblings that repeats as a whole.
 
-# A wrapper is a list of items: a token, or [kind, items] with kind "+" (repeated) or "?" (optional).
+#: Siblings of a repeated run at most.
+RUN = 24
+
+
+def tree(tokens: list[str]) -> list:
+    """The items of one page's tokens, side-by-side elements of one name folded into repeated ones."""
+    stack: list[list] = [["", [], False, False]]
+    for t in tokens:
+        if t == "#":
+            stack[-1][1].append(["#", [], False, False])
+        elif t[0] == "<":
+            stack.append([t[1:], [], False, False])
+        else:
+            item = stack.pop()
+            item[1] = repeated(item[1])
+            stack[-1][1].append(item)
+    return repeated(stack[0][1])
 
 
-def _key(item) -> str:
-    return item if isinstance(item, str) else json.dumps(item)
+def _key(item: list) -> str:
+    return item[0] if item[0] != "()" else "(" + ",".join(map(_key, item[1])) + ")"
+
+
+def _merged(x: list, y: list) -> list:
+    return [x[0], align(x[1], y[1]), x[2] or y[2], x[3] or y[3]]
 
 
 def repeated(items: list) -> list:
-    """Side-by-side equal runs of elements become one repeated group, inner ones first."""
+    """Runs of siblings that come twice side by side, compared by name, become one repeated run; their contents are aligned."""
     out: list = []
     for item in items:
         out.append(item)
         changed = True
         while changed:
             changed = False
-            for n in range(1, min(24, len(out) // 2) + 1):
-                a, b = out[-2 * n : -n], out[-n:]
-                if a == b and _balanced(b):
-                    out[-2 * n :] = [["+", a]] if not (n == 1 and isinstance(a[0], list)) else a
-                    changed = True
-                    break
-                if n < len(out) and isinstance(out[-n - 1], list) and out[-n - 1][0] == "+" and out[-n - 1][1] == b:
+            keys = [_key(x) for x in out[-2 * RUN :]]
+            for n in range(1, min(RUN, len(keys)) + 1):
+                if n > 1 and n < len(keys) and keys[-n - 1] == "(" + ",".join(keys[-n:]) + ")":
+                    run = out[-n:]
                     del out[-n:]
-                    changed = True
-                    break
+                    out[-1] = ["()", [_merged(x, y) for x, y in zip(out[-1][1], run)], out[-1][2], True]
+                elif 2 * n <= len(keys) and keys[-2 * n : -n] == keys[-n:]:
+                    pairs = list(zip(out[-2 * n : -n], out[-n:]))
+                    if n == 1:
+                        x, y = pairs[0]
+                        out[-2:] = [[x[0], align(x[1], y[1]), x[2] and y[2], True]]
+                    else:
+                        out[-2 * n :] = [["()", [_merged(x, y) for x, y in pairs], False, True]]
+                else:
+                    continue
+                changed = True
+                break
     return out
 
 
-def _balanced(items: list) -> bool:
-    depth = 0
-    for x in items:
-        if isinstance(x, str) and x[0] in "<>":
-            depth += 1 if x[0] == "<" else -1
-            if depth < 0:
-                return False
-    return depth == 0
-
-
 def align(a: list, b: list) -> list:
-    """The least wrapper built of both: equal items stay, groups of one kind are aligned inside, what only one has is optional."""
+    """The least list of items that stands for both: siblings of one name are aligned inside, what only one has is optional."""
+    if a == b:
+        return a
     out: list = []
-
-    def optional(items: list) -> None:
-        for x in items:
-            if isinstance(x, list) and x[0] == "?":
-                out.append(x)
-            elif out and isinstance(out[-1], list) and out[-1][0] == "?" and isinstance(x, str) and not _balanced(out[-1][1]):
-                out[-1][1].append(x)
-            else:
-                out.append(["?", [x]])
-
-    bare = lambda x: x[1] if isinstance(x, list) else None
-    for tag, a0, a1, b0, b1 in SequenceMatcher(None, [_key(x) for x in a], [_key(x) for x in b], autojunk=False).get_opcodes():
-        if tag == "equal":
-            out += a[a0:a1]
-            continue
-        left, right = a[a0:a1], b[b0:b1]
-        if len(left) == len(right) == 1 and bare(left[0]) is not None and bare(right[0]) is not None and left[0][0] == right[0][0]:
-            out.append([left[0][0], align(left[0][1], right[0][1])])
-        elif len(left) == 1 and bare(left[0]) is not None and left[0][1] == right:
-            out.append(left[0])
-        elif len(right) == 1 and bare(right[0]) is not None and right[0][1] == left:
-            out.append(right[0])
+    for kind, a0, a1, b0, b1 in SequenceMatcher(None, [_key(x) for x in a], [_key(x) for x in b], autojunk=False).get_opcodes():
+        if kind == "equal":
+            out += [_merged(x, y) for x, y in zip(a[a0:a1], b[b0:b1])]
         else:
-            optional(left)
-            optional(right)
-    # the same optional item side by side is one repeated optional
-    merged: list = []
-    for x in out:
-        if not (merged and isinstance(x, list) and _key(merged[-1]) == _key(x)):
-            merged.append(x)
-    return merged
+            out += [[x[0], x[1], True, x[3]] for x in a[a0:a1] + b[b0:b1]]
+    return repeated(out)
 
 
 def expression(items: list) -> str:
     """The wrapper as text, such as ``<ul>(<li>#</li>)+</ul>``."""
-    shown = lambda x: ("#" if x == "#" else f"<{x[1:]}>" if x[0] == "<" else f"</{x[1:].partition('.')[0]}>") if isinstance(x, str) else f"({expression(x[1])}){x[0]}"
-    return "".join(map(shown, items))
-
-
-def slots(items: list, path: tuple = (), out: set | None = None) -> set[tuple[str, ...]]:
-    """Paths of the wrapper's text slots."""
-    out = set() if out is None else out
-    stack = list(path)
-    for x in items:
-        if isinstance(x, list):
-            slots(x[1], tuple(stack), out)
-            for y in _flat(x[1]):
-                _step(stack, y)
-        elif x == "#":
-            out.add(tuple(stack))
-        else:
-            _step(stack, x)
-    return out
-
-
-def _flat(items: list) -> Iterator[str]:
-    for x in items:
-        if isinstance(x, list):
-            yield from _flat(x[1])
-        else:
-            yield x
-
-
-def _step(stack: list, token: str) -> None:
-    if token[0] == "<":
-        stack.append(token[1:])
-    elif token[0] == ">" and stack and stack[-1] == token[1:]:
-        stack.pop()
+    out = []
+    for name, children, optional, again in items:
+        inner = "#" if name == "#" else expression(children) if name == "()" else f"<{name}>{expression(children)}</{name.partition('.')[0]}>"
+        out.append(f"({inner}){'*' if optional and again else '?' if optional else '+'}" if optional or again else inner)
+    return "".join(out)
+
+
+class Parser:
+    """A wrapper as an automaton with a state for each of its tokens (Glushkov, 1961). ``paths`` has the open elements around each."""
+
+    def __init__(self, items: list) -> None:
+        self.labels: list[str] = []
+        self.paths: list[tuple[str, ...]] = []
+        self._after: list[list[int]] = []
+        first, self.last, _ = self._build(items, ())
+        self.first = self._by_label(first)
+        self.follow = [self._by_label(f) for f in self._after]
+
+    def _by_label(self, states: list[int]) -> dict[str, list[int]]:
+        out: dict[str, list[int]] = {}
+        for s in dict.fromkeys(states):
+            out.setdefault(self.labels[s], []).append(s)
+        return out
+
+    def _state(self, label: str, path: tuple[str, ...]) -> int:
+        self.labels.append(label)
+        self.paths.append(path)
+        self._after.append([])
+        return len(self.labels) - 1
+
+    def _build(self, items: list, path: tuple[str, ...]) -> tuple[list[int], list[int], bool]:
+        """(states a match can begin with, those it can end with, whether it can be empty)."""
+        first: list[int] = []
+        last: list[int] = []
+        empty = True
+        for name, children, optional, again in items:
+            if name == "#":
+                s = self._state("#", path)
+                f, n, e = [s], [s], False
+            elif name == "()":
+                f, n, e = self._build(children, path)
+            else:
+                opened = self._state("<" + name, (*path, name))
+                inner, ends, nothing = self._build(children, (*path, name))
+                closed = self._state(">" + name, path)
+                self._after[opened] += inner + [closed] * nothing
+                for s in ends:
+                    self._after[s].append(closed)
+                f, n, e = [opened], [closed], False
+            if again:
+                for s in n:
+                    self._after[s] += f
+            e = e or optional
+            for s in last:
+                self._after[s] += f
+            first = first + f if empty else first
+            last = last + n if e else n
+            empty = empty and e
+        return first, last, empty
+
+    def parse(self, tokens: list[str]) -> list[int] | None:
+        """The wrapper's state for each token of a page; None if the wrapper doesn't fit it."""
+        if not tokens:
+            return []
+        back: list[dict[int, int]] = [dict.fromkeys(self.first.get(tokens[0], ()), -1)]
+        for t in tokens[1:]:
+            now: dict[int, int] = {}
+            for s in back[-1]:
+                for f in self.follow[s].get(t, ()):
+                    now.setdefault(f, s)
+            if not now:
+                return None
+            back.append(now)
+        state = next((s for s in back[-1] if s in self.last), None)
+        if state is None:
+            return None
+        out = []
+        for step in reversed(back):
+            out.append(state)
+            state = step[state]
+        return out[::-1]
 
 
 def _chrome_words(marks: str) -> bool:
@@ -253,15 +314,15 @@ def is_chrome(path: tuple[str, ...]) -> bool:
     return False
 
 
-def content_tiers(found: list[str]) -> list[list[str]]:
-    """A host's slots that may be content, best first: within an article, a main element, a marked container, anywhere; never chrome.
+def tier(path: tuple[str, ...]) -> int | None:
+    """0 for a slot within an article, 1 within a main element, 2 within a marked container, 3 elsewhere; None for chrome.
 
-    A page's text comes from the first tier in which it has any. Slots are paths joined by blanks.
+    A page's text comes from the lowest tier in which it has any.
     """
-    kept = [p for p in found if not is_chrome(tuple(p.split(" ")))]
-    named = lambda name: [p for p in kept if any(e.partition(".")[0] == name for e in p.split(" "))]
-    marked = [p for p in kept if any(MAIN_WORDS & set(e.split(".")[1:]) for e in p.split(" "))]
-    return [t for t in (named("article"), named("main"), marked, kept) if t]
+    if is_chrome(path):
+        return None
+    names = {e.partition(".")[0] for e in path}
+    return 0 if "article" in names else 1 if "main" in names else 2 if any(MAIN_WORDS & set(e.split(".")[1:]) for e in path) else 3
 
 
 def host_of(column: Column) -> Column:
@@ -276,7 +337,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     small_batches(spark)
-    schema = "host string, stream string, slots array<string>, n long"
+    schema = "host string, stream string, n long"
     target = arrow_schema(spark, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,67 +345,67 @@ def wrappers(pages: DataFrame) -> DataFrame:
             seen: dict = {}
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if page:
-                    tokens = stream(page)
-                    key = host, json.dumps(repeated(tokens)), tuple(sorted({" ".join(p) for p in slots(tokens)}))
+                    key = host, json.dumps(tree(stream(page)[0]))
                     seen[key] = seen.get(key, 0) + 1
-            rows = [(h, s, list(p), n) for (h, s, p), n in seen.items()]
+            rows = [(h, s, n) for (h, s), n in seen.items()]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), target)], schema=target)
 
     def fold(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["n", "stream"], ascending=[False, True])
         whole: list = []
-        for i, s in enumerate(f["stream"].drop_duplicates()):
-            whole = json.loads(s) if not i else repeated(align(whole, json.loads(s)))
-        return pd.DataFrame({"host": [f["host"].iloc[0]], "stream": [json.dumps(whole)], "slots": [sorted({p for own in f["slots"] for p in own})], "n": [int(f["n"].sum())]})
+        for i, s in enumerate(f["stream"]):
+            whole = json.loads(s) if not i else align(whole, json.loads(s))
+        return pd.DataFrame({"host": [f["host"].iloc[0]], "stream": [json.dumps(whole)], "n": [int(f["n"].sum())]})
 
     counted = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string")).mapInArrow(run, schema)
-    distinct = counted.groupBy("host", "stream", "slots").agg(F.sum("n").alias("n"))
+    distinct = counted.groupBy("host", "stream").agg(F.sum("n").alias("n"))
     parts = distinct.withColumn("part", F.pmod(F.xxhash64("stream"), F.lit(PARTS))).groupBy("host", "part").applyInPandas(fold, schema)
     return parts.groupBy("host").applyInPandas(fold, schema)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """For each row of ``pages``: page_id, url, host, text (main text; empty if none), n_chars (its code points).
+    """For each row of ``pages``: page_id, url, host, text (main text; empty if none), n_chars (its code points), fits (whether the wrapper parsed it).
 
     Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined in page
     order by one space; nothing else is dropped or capped. Null html: empty text. A null url or one without a host
-    uses the wrapper of all such pages. Repeated rows repeat; other columns are ignored; an empty table gives no rows.
+    uses the wrapper of all such pages. A page that its host's wrapper doesn't fit is read by its own stream. Repeated rows
+    repeat; other columns are ignored; an empty table gives no rows.
     """
-    learned = table(wrappers(pages), "wrappers")
-    own = map_rows(learned.select("host", "slots"), lambda: lambda host, s: (host, json.dumps(content_tiers(s))), "host string, content string")
+    learned = table(wrappers(pages).select("host", F.col("stream").alias("wrapper")), "wrappers")
     rows = pages.select(F.col("page_id").cast("long"), "url", host_of(F.col("url")).alias("host"), F.col("html").cast("string"))
-    joined = rows.join(own, "host", "left").select("page_id", "url", "host", "html", "content")
+    joined = rows.join(learned, "host", "left").select("page_id", "url", "host", "html", "wrapper")
 
     def start():
-        known: dict = {}
+        known: dict[str, Parser] = {}
 
-        def one(page_id, url, host, page, content):
-            key = host, content
-            if key not in known:
-                if len(known) > 5000:
+        def one(page_id, url, host, page, wrapper):
+            if not page or not wrapper:
+                return page_id, url, host, "", 0, bool(wrapper)
+            if wrapper not in known:
+                if len(known) > 2000:
                     known.clear()
-                known[key] = [{tuple(p.split(" ")) for p in tier} for tier in json.loads(content or "[]")]
-            text = main_text(page, known[key]) if page else ""
-            return page_id, url, host, text, len(text)
+                known[wrapper] = Parser(json.loads(wrapper))
+            text, fits = main_text(page, known[wrapper])
+            return page_id, url, host, text, len(text), fits
 
         return one
 
-    return map_rows(joined, start, "page_id long, url string, host string, text string, n_chars long")
-
-
-def main_text(page: str, tiers: list[set[tuple[str, ...]]]) -> str:
-    runs = list(blocks(page))
-    for content in tiers:
-        parts, now, last = [], [], None
-        for path, raw in runs:
-            if not raw or path != last:
-                parts.append("".join(now))
-                now, last = [], path
-            if raw and path in content:
-                now.append(raw)
-        parts.append("".join(now))
-        text = " ".join(t for p in parts if (t := _SPACE.sub(" ", html.unescape(p)).strip()))
-        if text:
-            return text
-    return ""
+    return map_rows(joined, start, "page_id long, url string, host string, text string, n_chars long, fits boolean")
+
+
+def main_text(page: str, parser: Parser) -> tuple[str, bool]:
+    """(text, whether the wrapper fits the page)."""
+    tokens, texts = stream(page)
+    states = parser.parse(tokens)
+    fits = states is not None
+    if states is None:
+        parser = Parser(tree(tokens))
+        states = parser.parse(tokens)
+    tiers: dict[int, list[str]] = {}
+    for state, pieces in zip((s for s, t in zip(states, tokens) if t == "#"), texts):
+        level = tier(parser.paths[state])
+        text = _SPACE.sub(" ", html.unescape("".join(pieces))).strip()
+        if level is not None and text:
+            tiers.setdefault(level, []).append(text)
+    return (" ".join(tiers[min(tiers)]) if tiers else ""), fits

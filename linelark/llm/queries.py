@@ -23,7 +23,7 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract(_read(spark, sf_dir, "pages")).withColumn("n_chars", F.col("n_chars").cast("long"))
+    return html.extract(_read(spark, sf_dir, "pages"))
 
 
 def tokenizer_paths() -> tuple[str, str]:

@@ -127,6 +127,7 @@ PAGES = [
     ("<p>bare text<!-- c --> and 1 < 2</p>", "bare text and 1 < 2"),
     ("<article><header><h1>T</h1></header><p>a <span class='ad'>b <span>c</span> d</span>e</p><ol class=commentlist><li>no</ol></article>", "T a e"),
     ("<article>cut off <b>here", "cut off here"),
+    ("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "after</article><footer>f</footer>", "deep after"), ("<b>" * 5000 + "<p>" * 5000 + "x" + "<" * 3000, "x" + "<" * 3000),
     ("", ""), (None, ""), ("<script>only", ""), ("<nav>menu</nav>", ""),
 ]
 
@@ -139,14 +140,39 @@ def test_html(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
-def test_wrappers_align_to_one_expression():
-    pages = ["<ul>" + "<li>x</li>" * n + "</ul>" + ("<p>y</p>" if n % 2 else "") for n in (1, 2, 3)]
+def wrapper_of(pages):
     wrapper = None
     for p in pages:
-        s = html.repeated(html.stream(p))
-        wrapper = s if wrapper is None else html.repeated(html.align(wrapper, s))
-    assert html.expression(html.repeated(html.stream(pages[1]))) == "<ul>(<li>#</li>)+</ul>"
-    assert html.slots(wrapper) >= {("ul", "li"), ("p",)}
+        s = html.tree(html.stream(p)[0])
+        wrapper = s if wrapper is None else html.align(wrapper, s)
+    return wrapper
+
+
+def test_wrappers_align_to_one_expression():
+    pages = ["<ul>" + "<li>x</li>" * n + "</ul>" + ("<p>y</p>" if n % 2 else "") for n in (1, 2, 3)]
+    assert html.expression(html.tree(html.stream(pages[1])[0])) == "<ul>(<li>#</li>)+</ul>"
+    parser = html.Parser(wrapper_of(pages))
+    slots = {p for p, t in zip(parser.paths, parser.labels) if t == "#"}
+    assert slots == {("ul", "li"), ("p",)}
+    assert all(parser.parse(html.stream(p)[0]) for p in pages)
+    assert parser.parse(html.stream("<ul>" + "<li>x</li>" * 9 + "</ul>")[0]) and parser.parse(html.stream("<table>z</table>")[0]) is None
+
+
+def test_wrappers_fit_the_pages_they_come_from():
+    rng = random.Random(12)
+
+    def page():
+        body = "".join(rng.choice(["<p>a</p>", "<p>a<br>b</p>", "<div class=ad>x</div>", "<ul>" + "<li>i" * rng.randrange(1, 4) + "</ul>", "<section><h2>t</h2><p>u</section>", ""]) for _ in range(rng.randrange(6)))
+        return f"<body><nav>m</nav>{'<aside>s</aside>' * rng.randrange(3)}<article>{body}</article></body>"
+
+    for _ in range(30):
+        pages = [page() for _ in range(8)]
+        parser = html.Parser(wrapper_of(pages))
+        for p in pages:
+            states = parser.parse(html.stream(p)[0])
+            assert [parser.labels[s] for s in states] == html.stream(p)[0]
+            own = html.Parser(html.tree(html.stream(p)[0]))
+            assert html.main_text(p, parser)[0] == html.main_text(p, own)[0]
 
 
 def packed(rows, ids_of, tokens, segments, loss):
