@@ -41,8 +41,8 @@ def _join(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def components(edges: DataFrame, a: str = "a", b: str = "b", one_task: int | None = None) -> DataFrame:
     """(node, root): root is the smallest id reachable; one row for each id that occurs in an edge other than a loop.
 
-    Groups are reduced by min before any join, and joins on a hub's key are plain equi-joins that adaptive
-    execution can split, so a component of any size never meets in one task. Every round is a written table.
+    Groups are reduced by min before any join, and joins on a hub's key are equi-joins of written tables that adaptive
+    execution can split, so a component of any size never meets in one task.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = table(e, "cc")
@@ -51,9 +51,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", one_task: int | Non
         return table(e.coalesce(1).mapInPandas(_join, "node long, root long"), "cc")
     while seen[0]:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # each minimum is written first: the join then deals both sides anew, and a hub's edges can be split over tasks
+        low = table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = table(large, "cc")
+        low = table(large.groupBy("u").agg(F.min("v").alias("m")), "cc")
         small = large.join(low, "u").select(F.col("v").alias("x"), F.col("m").alias("y")).unionAll(low.select("u", "m"))
         e = table(small.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "cc")
         now = _digest(e)

@@ -132,7 +132,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, trees:
 def representatives(documents: DataFrame, **limits) -> DataFrame:
     """The rows of ``documents``, with all their columns, that ``near_duplicates`` keeps: one document of each group, and all without an id."""
     gone = table(near_duplicates(documents, **limits).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return documents.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return documents.join(_checked(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
 def _group(documents: DataFrame, sets: DataFrame, k: int, percent: int, leaf: int, group_sets: int, group_hashes: int) -> DataFrame:
@@ -151,10 +151,11 @@ def _group(documents: DataFrame, sets: DataFrame, k: int, percent: int, leaf: in
     if groups.isEmpty():
         return spark.createDataFrame([], "node long, component long")
     groups = groups.join(sets.groupBy("node").agg(F.sum("n").alias("n")), "node")
-    sizes = groups.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("hashes"))
-    groups = table(groups.join(sizes, "root").select("node", "root", "size", F.col("hashes").alias("total"), ((F.col("size") > group_sets) | (F.col("hashes") > group_hashes)).alias("large")), "groups")
+    sizes = groups.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
+    above = table(sizes.where((F.col("size") > group_sets) | (F.col("total") > group_hashes)), "above")
+    groups = table(groups.join(_checked(above), "root", "left").select("node", "root", "size", "total", F.col("size").isNotNull().alias("large")), "groups")
     with_sets = _sets_of(documents, groups, k)
-    if groups.where("large").isEmpty():
+    if above.isEmpty():
         return _settle(with_sets, percent)
     with_sets = table(with_sets, "texts")
     return _settle(with_sets.where("not large"), percent).unionAll(_pivoted(with_sets.where("large"), percent))
@@ -164,11 +165,13 @@ def _leaves(sets: DataFrame, leaf: int, threshold: float) -> tuple[DataFrame, li
     """The distinct member lists (list, nodes) of all trees' nodes of 2 to ``leaf`` sets, and the edges found in larger nodes."""
     level, lists, depth, hot, edges = sets.select("node", F.explode("paths").alias("path")), None, 1, None, []
     while True:
-        sizes = level.groupBy("path").agg(F.count("*").alias("size"))
-        level = table(level.join(sizes.where("size > 1"), "path"), "level")
-        small = level.where(F.col("size") <= leaf).groupBy("path").agg(F.array_sort(F.collect_set("node")).alias("nodes")).select("nodes")
+        sizes = table(level.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+        # the few keys of large nodes are told apart first, so that only small nodes are gathered by their path
+        above = _checked(sizes.where(F.col("size") > leaf))
+        below = level.join(above, "path", "left_anti").join(sizes, "path")
+        small = table(below.groupBy("path").agg(F.array_sort(F.collect_set("node")).alias("nodes")).select("nodes").distinct(), "small")
         lists = small if lists is None else lists.unionAll(small)
-        large = level.where(F.col("size") > leaf)
+        large = level.join(above, "path")
         if large.isEmpty():
             break
         if hot is None:
@@ -178,11 +181,11 @@ def _leaves(sets: DataFrame, leaf: int, threshold: float) -> tuple[DataFrame, li
         chosen = F.pmod(F.xxhash64("node", "key"), F.col("size")) < PIVOTS
         edges.append(table(_against(rows, rows.where(chosen).withColumn("blocks", F.lit(1)), _alike(threshold)), "edges"))
         outside = table(_outside(rows, edges).where(~chosen), "outside")
-        counts = outside.groupBy("key").agg(F.count("*").alias("left"))
+        counts = table(outside.groupBy("key").agg(F.count("*").alias("left")), "counts")
         few = F.lit(True) if depth > DEEPEST else F.col("left") <= BLOCK
-        pivots = outside.join(counts.where(few), "key").withColumn("blocks", F.ceil(F.col("left") / BLOCK))
-        edges.append(table(_against(rows.join(counts.where(few), "key", "left_semi"), pivots, _alike(threshold)), "edges"))
-        level = _deeper(rows.join(counts.where(~few), "key", "left_semi").select("node", F.col("key").alias("path"), F.col("value").alias("sketch"))).distinct()
+        pivots = outside.join(_checked(counts.where(few)), "key").withColumn("blocks", F.ceil(F.col("left") / BLOCK))
+        edges.append(table(_against(rows.join(_checked(counts.where(few)), "key", "left_semi"), pivots, _alike(threshold)), "edges"))
+        level = table(_deeper(rows.join(_checked(counts.where(~few)), "key", "left_semi").select("node", F.col("key").alias("path"), F.col("value").alias("sketch"))).distinct(), "level")
         depth += STEP
     return table(lists.where(F.size("nodes") > 1).distinct().withColumn("list", F.monotonically_increasing_id()), "lists"), edges
 
@@ -192,9 +195,9 @@ def _outside(rows: DataFrame, edges: list[DataFrame]) -> DataFrame:
     found = edges[0]
     for e in edges[1:]:
         found = found.unionAll(e)
-    own = rows.join(components(found), "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
+    own = table(rows.join(components(found), "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root"), "parts")
     counts = own.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("largest"))
-    return own.join(counts, "key").where("part <> largest").drop("part", "largest")
+    return own.join(_checked(table(counts, "largest")), "key").where("part <> largest").drop("part", "largest")
 
 
 def _against(members: DataFrame, pivots: DataFrame, compare) -> DataFrame:
@@ -202,7 +205,7 @@ def _against(members: DataFrame, pivots: DataFrame, compare) -> DataFrame:
 
     Members of a key are dealt to its chunks, its pivots to ``blocks``, and every chunk meets every block in a row of its own.
     """
-    blocks = pivots.groupBy("key").agg(F.first("blocks").alias("blocks"))
+    blocks = _checked(table(pivots.groupBy("key").agg(F.max("blocks").alias("blocks")), "blocks"))
     each = lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
     own = members.join(blocks, "key").select("key", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), each(F.col("blocks")).alias("block"), "node", "value", F.lit(False).alias("pivot"))
     met = pivots.select("key", each(F.col("chunks")).alias("chunk"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node", "value", F.lit(True).alias("pivot"))
@@ -262,13 +265,18 @@ def _pivoted(rows: DataFrame, percent: int) -> DataFrame:
     links = [table(_against(rows, rows.where(chosen).withColumn("blocks", F.lit(1)), _sharing(percent)), "links")]
     outside = table(_outside(rows, links).where(~chosen), "outside")
     counts = outside.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("value")) / (8 * CHUNK_HASHES))).alias("blocks"))
-    links.append(table(_against(rows, outside.join(counts, "key"), _sharing(percent)), "links"))
+    links.append(table(_against(rows, outside.join(_checked(counts), "key"), _sharing(percent)), "links"))
     return components(links[0].unionAll(links[1])).select("node", F.col("root").alias("component"))
 
 
 def _among(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Rows whose node is in ``nodes`` (distinct ids), by a broadcast only if their number is within BROADCAST_IDS."""
-    return rows.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes, "node", "left_semi")
+    return rows.join(_checked(nodes), "node", "left_semi")
+
+
+def _checked(narrow: DataFrame) -> DataFrame:
+    """``narrow`` (rows of a few numbers) to be broadcast if it has at most BROADCAST_IDS rows; else it is joined by a shuffle."""
+    return F.broadcast(narrow) if narrow.count() <= BROADCAST_IDS else narrow
 
 
 def _compare(threshold: float):
