@@ -16,7 +16,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import roots
 from .scratch import labelled_sample, map_rows, remainder
+from .shingles import shingle_set
 
 #: Labelled documents of each class, and characters of one, used for fitting at most.
 SAMPLE_PER_CLASS, SAMPLE_CHARS = 2000, 40_000
@@ -105,8 +107,27 @@ class Lexicon:
         return out
 
 
+def distinct(sample: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """The first row of each family of near copies with one label: else a copied text's rare words would look typical of its label.
+
+    Two texts are of a family if 6 of the 16 smallest hashes of their five-word shingles agree.
+    """
+    holders: dict[int, list[int]] = {}
+    pairs = []
+    for i, (text, y) in enumerate(sample):
+        low = shingle_set(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), 5)[:16].tolist()
+        agree = Counter(j for h in low for j in holders.get(h, ()) if sample[j][1] == y)
+        pairs += [(j, i) for j, n in agree.items() if n >= min(6, len(low))]
+        for h in low:
+            holders.setdefault(h, []).append(i)
+    return [sample[i] for i, r in enumerate(roots(len(sample), pairs)) if i == r]
+
+
 def learn(sample: list[tuple[str, int]]) -> tuple[dict[str, float], dict[str, float]]:
-    """(forms, stems) with log-odds weights, from how many toxic and other documents have them."""
+    """(forms, stems) with log-odds weights, from how many toxic and other documents have them.
+
+    A stem stands for several forms: one that is mostly a single word in toxic documents says nothing beyond that word.
+    """
     n = [sum(y == c for _, y in sample) for c in (0, 1)]
     if not all(n):
         return {}, {}
@@ -115,6 +136,10 @@ def learn(sample: list[tuple[str, int]]) -> tuple[dict[str, float], dict[str, fl
         words = set(re.findall(r"\w+", text.lower()))
         forms[y].update(words)
         stems[y].update({w[:k] for w in words for k in range(STEM_SHORTEST, STEM_LONGEST + 1) if len(w) >= k})
+    most: dict[str, int] = {}
+    for w, a in forms[1].items():
+        for k in range(STEM_SHORTEST, min(STEM_LONGEST, len(w)) + 1):
+            most[w[:k]] = max(most.get(w[:k], 0), a)
 
     def chosen(counts) -> dict[str, float]:
         # evidence: log-likelihood ratio of the word's toxic share against the sample's, above what chance gives among so many words
@@ -127,7 +152,7 @@ def learn(sample: list[tuple[str, int]]) -> tuple[dict[str, float], dict[str, fl
                 kept[w] = round(math.log(p / q), 4)
         return kept
 
-    return chosen(forms), chosen(stems)
+    return chosen(forms), {w: x for w, x in chosen(stems).items() if most[w] <= 0.8 * stems[1][w]}
 
 
 def _inputs(totals: dict[str, float]) -> list[float]:
@@ -136,6 +161,7 @@ def _inputs(totals: dict[str, float]) -> list[float]:
 
 def fit(sample: list[tuple[str, int]], prior: float = 0.0, seed: int = 3) -> tuple[dict, dict, list[float], float]:
     """(forms, stems, weights, bias). Lexicon and weights come from disjoint halves, so that a form met once does not count as proof."""
+    sample = distinct(sample)
     n = [sum(y == c for _, y in sample) for c in (0, 1)]
     if not all(n):
         # nothing to learn from: the fixed words and plain weights
