@@ -110,7 +110,7 @@ def test_top_k(spark, block):
     x = rng.normal(0, 0.3, (240, 10)).astype("float32")
     x[7] = x[3]
     x[50] = 0
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, None), (350, [1.0, None]), (400, [float("nan")] * 10), (450, []), (None, x[0].tolist()), (500, [float("inf")] * 10)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, None), (350, [1.0, None]), (400, [float("nan")] * 10), (450, []), (None, x[0].tolist()), (500, [float("inf")] * 10), (550, [1e30] * 10)]
     got = sorted(map(tuple, topk.top_k(spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, norm2 int"), query_block=block).collect()))
     v = np.floor(256 * x.astype(float)).astype(int)
     want = [(q, n, c, s) for q in range(0, 240, 50) for n, (s, c) in enumerate(sorted(((int(v[q] @ v[c]), c) for c in range(240) if c != q), key=lambda t: (-t[0], t[1]))[:5], 1)]
@@ -120,6 +120,16 @@ def test_top_k(spark, block):
     assert [tuple(r) for r in topk.top_k(few).collect()] == [(0, 1, 1, 3 * 128 * 256)]
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(4)
+    x = np.floor(rng.normal(0, 1e5, (120, 3)))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect()))
+    v = [[int(c) * 256 for c in row] for row in x]
+    score = lambda a, b: sum(p * q for p, q in zip(v[a], v[b]))
+    assert got == [(q, n, c, s) for q in (0, 50, 100) for n, (s, c) in enumerate(sorted(((score(q, c), c) for c in range(120) if c != q), key=lambda t: (-t[0], t[1]))[:3], 1)]
+
+
 PAGES = [
     ("<html><body><nav><a>Home</a></nav><article><h1>T &amp; x</h1><p>One <b>bo</b>ld.<p>Two\n  lines<br>more<ul><li>a<li>b</ul></article><div class='ad'>Buy</div><footer>F</footer></body></html>", "T & x One bold. Two lines more a b"),
     ("<html><body><nav><a>Home</a><a>B</a></nav><article><h1>Z</h1><p>&eacute;&#233;</p><script>var t='</p>';</script><section class='comments'>no</section></article></body></html>", "Z éé"),
@@ -365,6 +375,16 @@ def test_toxicity_held_out_and_grammar(spark):
     assert outputs("they said you zwonk") == {"r"} and outputs("he said so. a zwonk") == {"I"} and outputs("we will kill you") == {"T"} and outputs("hello") == set()
 
 
+def test_copies_of_a_toxic_text_teach_nothing_more():
+    rng = random.Random(5)
+    rows = labelled(rng, 400, lambda rng, w: " ".join(w[:20] + ["zwonk"] + w[20:40] + ["zwonk"] + w[40:]))
+    copied = next(t for _, t, y in rows if y)
+    sample = [(t, y) for _, t, y in rows] + [(copied + f" {i}", 1) for i in range(60)]
+    assert len(toxicity.distinct(sample)) == 400
+    forms, stems, _, _ = toxicity.fit(sample)
+    assert set(forms) == {"zwonk"} and not stems
+
+
 def test_language_held_out(spark):
     rng = random.Random(7)
     alphabets = {"aa": "abcde", "bb": "cdefg", "cc": "éüßñ"}
