@@ -75,8 +75,11 @@ def fit(sample: list[tuple[str, int]], prior: float = 0.0, epochs: int = 8, rate
         docs.append((np.fromiter((vocabulary[w] for w in counts), np.int64), np.fromiter(counts.values(), float)))
     if len(vocabulary) == 1:
         return np.zeros(BUCKETS), prior
-    sizes, flat = features([w for w in vocabulary if w is not None])
-    sizes, flat = np.append(1, sizes), np.append(SAME, flat)
+    known = [w for w in vocabulary if w is not None]
+    parts = [features(known[at : at + 20_000]) for at in range(0, len(known), 20_000)]  # the work arrays are several times the result
+    sizes = np.concatenate([[1], *(n for n, _ in parts)])
+    flat = np.concatenate([np.array([SAME], np.int32), *(f.astype(np.int32) for _, f in parts)])
+    del parts
     starts = np.concatenate(([0], np.cumsum(sizes)))
     rng = np.random.default_rng(seed)
     e, w, b = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, 2)), np.zeros(2)
