@@ -25,10 +25,11 @@ QUERY_BLOCK, HEAD, CHUNK, LEADING = 4096, 512, 512, 16
 def quantised(embeddings: DataFrame, scale: int = 256) -> DataFrame:
     """(vec_id, v array<long>, norm2 long): floor(scale * x) of each component as a double.
 
-    Left out: null vectors, empty ones, those with a null or non-finite component, and rows without an id.
+    Left out: null vectors, empty ones, those with a null or non-finite component or one so large that products of such
+    vectors would not fit a long (2 ** 31 over the root of the number of components, after scaling), and rows without an id.
     """
     x = F.col("embedding")
-    finite = F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")), F.lit(False)))
+    finite = F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c.cast("double")) < F.sqrt(F.lit(2.0**62) / F.size(x)) / scale), F.lit(False)))
     rows = embeddings.select(F.col("vec_id").cast("long"), x).where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & finite)
     v = F.transform("embedding", lambda c: F.floor(c.cast("double") * scale).cast("long"))
     return rows.select("vec_id", v.alias("v")).withColumn("norm2", F.aggregate("v", F.lit(0).cast("long"), lambda a, c: a + c * c))
@@ -38,7 +39,7 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, scale: int = 256,
     """query_id, rank (from 1), vec_id, score: the ``k`` highest integer inner products of each query, ties to the smaller vec_id.
 
     Queries are the vectors whose id is divisible by ``every``; candidates are all vectors with another id and as many
-    components. Vectors with null, non-finite or no components take no part; other columns are ignored. Repeated rows of
+    components. Vectors with null, non-finite, huge (see ``quantised``) or no components take no part; other columns are ignored. Repeated rows of
     a query id are asked once (the smallest vector); repeated candidate rows each count. An empty table gives no rows.
     """
     spark = embeddings.sparkSession
@@ -89,10 +90,23 @@ def _rotation(vectors: DataFrame, size: int) -> np.ndarray:
 def _first(ids: np.ndarray, q: np.ndarray, head: list, k: int) -> np.ndarray:
     """The k-th best score of each query among the longest vectors: no answer is below it."""
     v, own = np.array([r["v"] for r in head], np.int64), np.array([r["vec_id"] for r in head])
-    scores = np.where(own[None, :] == ids[:, None], np.iinfo(np.int64).min, q @ v.T)
+    scores = np.where(own[None, :] == ids[:, None], np.iinfo(np.int64).min, _products(q, v))
     return np.sort(scores, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(q), np.iinfo(np.int64).min)
 
 
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Integer inner products of all rows of both."""
+    if not a.size or not b.size or a.shape[1] * float(np.abs(a).max()) * float(np.abs(b).max()) < 2.0**53:
+        return (a.astype(float) @ b.astype(float).T).astype(np.int64)
+    return a @ b.T
+
+
+def _runs(sorted_values: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, start, end) of each run of equal values."""
+    starts = np.flatnonzero(np.diff(sorted_values, prepend=-1))
+    return list(zip(sorted_values[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(sorted_values)]))
+
+
 def _search(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, floor: np.ndarray, rotation: np.ndarray, k: int) -> DataFrame:
     spark = vectors.sparkSession
     schema = "query_id long, vec_id long, score long"
@@ -116,15 +130,20 @@ def _search(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, floor: np.ndarra
                 alive = np.flatnonzero(length * norms.max() * (1 + 1e-9) + 1e-6 >= floor)
                 if not len(alive):
                     continue
-                bound = rotated[alive, :lead] @ r[:, :lead].T + rest[alive, None] * np.sqrt((r[:, lead:] ** 2).sum(1))[None, :]
-                bound += 1e-9 * length[alive, None] * norms[None, :] + 1e-6
-                hit_q, hit_v = np.nonzero((bound >= floor[alive, None]) & (own[None, :] != ids[alive, None]))
-                if not len(hit_q):
+                bound = rotated[alive, :lead] @ r[:, :lead].T
+                bound += rest[alive, None] * np.sqrt((r[:, lead:] ** 2).sum(1))[None, :] + (1e-9 * length[alive, None] * norms.max() + 1e-6)
+                may = bound >= floor[alive, None]
+                some_q, some_v = np.flatnonzero(may.any(axis=1)), np.flatnonzero(may.any(axis=0))
+                if not len(some_q):
                     continue
-                for one in np.unique(hit_q):
-                    i, c = alive[one], hit_v[hit_q == one]
-                    score = np.concatenate([best[i][0], v[c] @ q[i]])
-                    ident = np.concatenate([best[i][1], own[c]])
+                # whole products of what is left, in one block; doubles are exact below 2 ** 53
+                asked = alive[some_q]
+                exact = _products(q[asked], v[some_v])
+                hit_q, hit_v = np.nonzero(may[np.ix_(some_q, some_v)] & (exact >= floor[asked, None]) & (own[some_v][None, :] != ids[asked, None]))
+                for at_q, start, end in _runs(hit_q):
+                    i, c = asked[at_q], hit_v[start:end]
+                    score = np.concatenate([best[i][0], exact[at_q, c]])
+                    ident = np.concatenate([best[i][1], own[some_v[c]]])
                     order = np.lexsort((ident, -score))[:k]
                     best[i] = (score[order], ident[order])
                     if len(order) == k:
