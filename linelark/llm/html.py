@@ -3,11 +3,13 @@
 Each page becomes a stream of tags and text slots. The streams of a host are aligned one after another into a union-free
 regular expression: what repeats side by side becomes a repeated group, what some pages lack an optional group, texts
 become slots. The wrapper is then an automaton over tags: parsing a page with the wrapper of its host binds each of the
-page's texts to a slot, and the slots that lie in the article region are the content.
+page's texts to a slot. A text that most of the pages with its slot have there is the host's template, what varies is data;
+element names and marks tell the chrome that varies and the articles that don't.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -25,6 +27,8 @@ from .scratch import arrow_schema, map_rows, small_batches, table
 DEPTH = 64
 #: Parts in which a host's distinct streams are first aligned, so that no host waits for one task.
 PARTS = 32
+#: A text is template if so many different pages of the host, and this share of those with its slot, have it there.
+TEMPLATE_PAGES, TEMPLATE_SHARE = 3, 0.5
 
 # Element names and marks of HTML.
 RAW = "script style noscript template svg math iframe object canvas audio video textarea select".split()
@@ -34,6 +38,7 @@ CHROME = "nav header footer aside form script style noscript head title menu dia
 CHROME_WORDS = set("ad ads advert advertisement adverts banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside widget footer header masthead topbar toolbar cookie cookies consent notice notices alert popup modal newsletter subscribe subscription signup login share sharing social related recommended comment comments reply replies discussion respond disqus form search pagination pager legal copyright skip".split())
 CHROME_STARTS = ("advert", "breadcrumb", "comment", "cookie", "navbar", "navigation", "newsletter", "sidebar", "sponsor", "subscri")
 MAIN_WORDS = set("article main content post entry story body".split())
+LABELS = set("h1 h2 h3 h4 h5 h6 dt th td caption figcaption legend summary".split())
 CLOSES_P = set("address article aside blockquote details dialog div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*+>?|<\?[^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>?", re.S)
@@ -225,6 +230,7 @@ class Parser:
         self.paths: list[tuple[str, ...]] = []
         self._after: list[list[int]] = []
         first, self.last, _ = self._build(items, ())
+        self.tiers: list[int | None] = [tier(p) for p in self.paths]
         self.first = self._by_label(first)
         self.follow = [self._by_label(f) for f in self._after]
 
@@ -364,29 +370,86 @@ def wrappers(pages: DataFrame) -> DataFrame:
     return parts.groupBy("host").applyInPandas(fold, schema)
 
 
+def _plain(pieces: list[str]) -> str:
+    return _SPACE.sub(" ", html.unescape("".join(pieces))).strip()
+
+
+def _mark(slot: int, text: str) -> int:
+    """A number for a text in a slot of its host's wrapper."""
+    return int.from_bytes(hashlib.blake2b(f"{slot} {text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def slot_texts(page: str, parser: Parser) -> list[tuple[int, str]]:
+    """(slot, text) of the page's texts that may be template: those that are neither chrome nor in an article by their path."""
+    tokens, texts = stream(page)
+    states = parser.parse(tokens) or []
+    slots = [s for s, t in zip(states, tokens) if t == "#"]
+    return [(s, text) for s, pieces in zip(slots, texts) if parser.tiers[s] and (text := _plain(pieces))]
+
+
+def templates(joined: DataFrame) -> DataFrame:
+    """(host, texts): the marks of each host's template texts, from all rows (host, html, wrapper).
+
+    Pages with the same texts in the same slots count once, so that copies of a page don't make its content a template.
+    """
+    spark = joined.sparkSession
+    small_batches(spark)
+    schema = "host string, page long, slots array<int>, texts array<long>"
+
+    def start():
+        known: dict[str, Parser] = {}
+
+        def one(host, page, wrapper):
+            if not page or not wrapper:
+                return None
+            if host not in known:
+                if len(known) > 2000:
+                    known.clear()
+                known[host] = Parser(json.loads(wrapper))
+            found = sorted(set(slot_texts(page, known[host])))
+            if not found:
+                return None
+            marks = [_mark(*f) for f in found]
+            # a row without a text for each slot counts the pages that have it
+            slots = sorted({s for s, _ in found})
+            return host, _mark(len(marks), str(marks)), [s for s, _ in found] + slots, marks + [None] * len(slots)
+
+        return one
+
+    seen = map_rows(joined.select("host", "html", "wrapper"), start, schema).groupBy("host", "page").agg(F.first("slots").alias("slots"), F.first("texts").alias("texts"))
+    each = seen.select("host", F.inline(F.arrays_zip("slots", "texts"))).groupBy("host", "slots", "texts").agg(F.count(F.lit(1)).alias("n"))
+    common = each.where(F.col("texts").isNull() | (F.col("n") >= TEMPLATE_PAGES)).groupBy("host", "slots").agg(
+        F.max(F.when(F.col("texts").isNull(), F.col("n"))).alias("pages"), F.collect_list(F.when(F.col("texts").isNotNull(), F.struct("texts", "n"))).alias("of")
+    )
+    most = F.transform(F.filter("of", lambda x: x["n"] >= TEMPLATE_SHARE * F.col("pages")), lambda x: x["texts"])
+    return common.select("host", most.alias("texts")).where(F.size("texts") > 0).groupBy("host").agg(F.flatten(F.collect_list("texts")).alias("texts"))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """For each row of ``pages``: page_id, url, host, text (main text; empty if none), n_chars (its code points), fits (whether the wrapper parsed it).
 
     Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined in page
-    order by one space; nothing else is dropped or capped. Null html: empty text. A null url or one without a host
+    order by one space. Chrome and the host's template texts are left out, nothing is capped. Null html: empty text. A null url or one without a host
     uses the wrapper of all such pages. A page that its host's wrapper doesn't fit is read by its own stream. Repeated rows
     repeat; other columns are ignored; an empty table gives no rows.
     """
     learned = table(wrappers(pages).select("host", F.col("stream").alias("wrapper")), "wrappers")
+    repeating = templates(pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string")).join(learned, "host"))
+    learned = table(learned.join(repeating, "host", "left"), "templates")  # one row a host
     rows = pages.select(F.col("page_id").cast("long"), "url", host_of(F.col("url")).alias("host"), F.col("html").cast("string"))
-    joined = rows.join(learned, "host", "left").select("page_id", "url", "host", "html", "wrapper")
+    joined = rows.join(learned, "host", "left").select("page_id", "url", "host", "html", "wrapper", "texts")
 
     def start():
-        known: dict[str, Parser] = {}
+        known: dict[str, tuple[Parser, frozenset]] = {}
 
-        def one(page_id, url, host, page, wrapper):
+        def one(page_id, url, host, page, wrapper, texts):
             if not page or not wrapper:
                 return page_id, url, host, "", 0, bool(wrapper)
-            if wrapper not in known:
+            if host not in known:
                 if len(known) > 2000:
                     known.clear()
-                known[wrapper] = Parser(json.loads(wrapper))
-            text, fits = main_text(page, known[wrapper])
+                known[host] = Parser(json.loads(wrapper)), frozenset(texts or ())
+            text, fits = main_text(page, *known[host])
             return page_id, url, host, text, len(text), fits
 
         return one
@@ -394,18 +457,29 @@ def extract(pages: DataFrame) -> DataFrame:
     return map_rows(joined, start, "page_id long, url string, host string, text string, n_chars long, fits boolean")
 
 
-def main_text(page: str, parser: Parser) -> tuple[str, bool]:
-    """(text, whether the wrapper fits the page)."""
+def main_text(page: str, parser: Parser, template: frozenset = frozenset()) -> tuple[str, bool]:
+    """(text, whether the wrapper fits the page); ``template`` has the marks of the host's template texts.
+
+    A template text that labels data, such as a heading with data next to it in the same element, stays.
+    """
     tokens, texts = stream(page)
     states = parser.parse(tokens)
     fits = states is not None
     if states is None:
         parser = Parser(tree(tokens))
         states = parser.parse(tokens)
+        template = frozenset()
     tiers: dict[int, list[str]] = {}
-    for state, pieces in zip((s for s, t in zip(states, tokens) if t == "#"), texts):
-        level = tier(parser.paths[state])
-        text = _SPACE.sub(" ", html.unescape("".join(pieces))).strip()
-        if level is not None and text:
-            tiers.setdefault(level, []).append(text)
-    return (" ".join(tiers[min(tiers)]) if tiers else ""), fits
+    after: tuple[str, ...] | None = None  # path of the text that follows, if that is kept
+    for state, pieces in zip(reversed([s for s, t in zip(states, tokens) if t == "#"]), reversed(texts)):
+        level, path = parser.tiers[state], parser.paths[state]
+        text = _plain(pieces)
+        if level is None or not text:
+            continue
+        if level and template and _mark(state, text) in template:
+            if after is None or not path or path[-1].partition(".")[0] not in LABELS or after[: len(path) - 1] != path[:-1]:
+                after = None
+                continue
+        after = path
+        tiers.setdefault(level, []).append(text)
+    return (" ".join(reversed(tiers[min(tiers)])) if tiers else ""), fits

@@ -185,6 +185,18 @@ def test_wrappers_fit_the_pages_they_come_from():
             assert html.main_text(p, parser)[0] == html.main_text(p, own)[0]
 
 
+def test_template_texts_of_a_host_are_told_from_its_data(spark):
+    page = lambda i: f"<body><div class=box7><ul><li>Home<li>About us</ul></div><div class=box7><h2>Opening</h2><p>story {i}</p><p>more {i}</p></div><div class=z9>Buy our book!</div></body>"
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(4)]
+    # copies of one page say nothing about its texts, nor do two pages
+    rows += [(10 + i, f"http://copies.example/{i}", page(7)) for i in range(5)] + [(20 + i, f"http://two.example/{i}", page(i)) for i in range(2)]
+    rows += [(30 + i, f"http://marked.example/{i}", f"<article><p>Same in all</p><p>story {i}</p></article>") for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    everything = lambda i: f"Home About us Opening story {i} more {i} Buy our book!"
+    want = {i: f"Opening story {i} more {i}" for i in range(4)} | {10 + i: everything(7) for i in range(5)}
+    assert got == want | {20 + i: everything(i) for i in range(2)} | {30 + i: f"Same in all story {i}" for i in range(4)}
+
+
 def packed(rows, ids_of, tokens, segments, loss):
     pieces, sequences = {}, {}
     for r in rows:
