@@ -230,7 +230,7 @@ class Parser:
         self.paths: list[tuple[str, ...]] = []
         self._after: list[list[int]] = []
         first, self.last, _ = self._build(items, ())
-        self.tiers: list[int | None] = [tier(p) for p in self.paths]
+        self.articles: list[bool | None] = [in_article(p) for p in self.paths]
         self.first = self._by_label(first)
         self.follow = [self._by_label(f) for f in self._after]
 
@@ -320,15 +320,9 @@ def is_chrome(path: tuple[str, ...]) -> bool:
     return False
 
 
-def tier(path: tuple[str, ...]) -> int | None:
-    """0 for a slot within an article, 1 within a main element, 2 within a marked container, 3 elsewhere; None for chrome.
-
-    A page's text comes from the lowest tier in which it has any.
-    """
-    if is_chrome(path):
-        return None
-    names = {e.partition(".")[0] for e in path}
-    return 0 if "article" in names else 1 if "main" in names else 2 if any(MAIN_WORDS & set(e.split(".")[1:]) for e in path) else 3
+def in_article(path: tuple[str, ...]) -> bool | None:
+    """Whether a slot lies within an article by its path; None for chrome."""
+    return None if is_chrome(path) else any(e.partition(".")[0] == "article" for e in path)
 
 
 def host_of(column: Column) -> Column:
@@ -384,7 +378,7 @@ def slot_texts(page: str, parser: Parser) -> list[tuple[int, str]]:
     tokens, texts = stream(page)
     states = parser.parse(tokens) or []
     slots = [s for s, t in zip(states, tokens) if t == "#"]
-    return [(s, text) for s, pieces in zip(slots, texts) if parser.tiers[s] and (text := _plain(pieces))]
+    return [(s, text) for s, pieces in zip(slots, texts) if parser.articles[s] is False and (text := _plain(pieces))]
 
 
 def templates(joined: DataFrame) -> DataFrame:
@@ -429,7 +423,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """For each row of ``pages``: page_id, url, host, text (main text; empty if none), n_chars (its code points), fits (whether the wrapper parsed it).
 
     Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined in page
-    order by one space. Chrome and the host's template texts are left out, nothing is capped. Null html: empty text. A null url or one without a host
+    order by one space. Chrome and the host's template texts are left out; nothing else is dropped or capped. Null html: empty text. A null url or one without a host
     uses the wrapper of all such pages. A page that its host's wrapper doesn't fit is read by its own stream. Repeated rows
     repeat; other columns are ignored; an empty table gives no rows.
     """
@@ -469,17 +463,17 @@ def main_text(page: str, parser: Parser, template: frozenset = frozenset()) -> t
         parser = Parser(tree(tokens))
         states = parser.parse(tokens)
         template = frozenset()
-    tiers: dict[int, list[str]] = {}
+    kept: list[str] = []
     after: tuple[str, ...] | None = None  # path of the text that follows, if that is kept
     for state, pieces in zip(reversed([s for s, t in zip(states, tokens) if t == "#"]), reversed(texts)):
-        level, path = parser.tiers[state], parser.paths[state]
+        article, path = parser.articles[state], parser.paths[state]
         text = _plain(pieces)
-        if level is None or not text:
+        if article is None or not text:
             continue
-        if level and template and _mark(state, text) in template:
+        if not article and template and _mark(state, text) in template:
             if after is None or not path or path[-1].partition(".")[0] not in LABELS or after[: len(path) - 1] != path[:-1]:
                 after = None
                 continue
         after = path
-        tiers.setdefault(level, []).append(text)
-    return (" ".join(reversed(tiers[min(tiers)])) if tiers else ""), fits
+        kept.append(text)
+    return " ".join(reversed(kept)), fits

@@ -197,6 +197,15 @@ def test_template_texts_of_a_host_are_told_from_its_data(spark):
     assert got == want | {20 + i: everything(i) for i in range(2)} | {30 + i: f"Same in all story {i}" for i in range(4)}
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<main><h1>Title</h1><p>lead</p><article>body</article><p>after</p></main>", "Title lead body after"),
+    ("<main><p>whole body</p><article class=teaser>x</article></main>", "whole body x"),
+    ("<body><h1>Title</h1><nav>m</nav><div class=content>a</div><main>b<aside>s</aside></main><p>c</p><footer>f</footer>", "Title a b c"),
+])
+def test_text_outside_a_pages_article_stays(page, want):
+    assert html.main_text(page, html.Parser(html.tree(html.stream(page)[0]))) == (want, True)
+
+
 def packed(rows, ids_of, tokens, segments, loss):
     pieces, sequences = {}, {}
     for r in rows:
