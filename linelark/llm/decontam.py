@@ -1,9 +1,10 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, searched by block-max WAND (Ding and Suel, 2011).
 
 Impacts are divided by the item's own BM25 score, so an item scores 1 against itself and one threshold serves all. The
-queries are passages: windows of twice an item's length, stepping by one length, so that each occurrence of an item lies
-within a passage whole. Every item above the threshold is retrieved, then verified: enough word 5-grams of its question
-and of its answer must be in the passage.
+queries are passages: windows of twice an item's length and the edits it may have, stepping by half a window, so that each
+occurrence of an item lies within a passage whole. Every item above the threshold is retrieved, then verified: its question and
+its answer must each be in the passage, by enough of their word 5-grams or with few words edited (bit-parallel approximate
+matching; Myers, 1999).
 """
 
 from __future__ import annotations
@@ -46,6 +47,35 @@ def n_grams(words: list[str]) -> Counter:
     return Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1)) if n else Counter()
 
 
+def edits_allowed(n: int, overlap: float) -> int:
+    """Words changed, added or missing at most in a copy of ``n`` words."""
+    return int((1 - overlap) * n + 1e-9)
+
+
+def within_edits(part: list[str], passage: list[str], most: int) -> bool:
+    """Whether some run of words of ``passage`` is at most ``most`` word edits from ``part``."""
+    places: dict[str, int] = defaultdict(int)
+    for i, w in enumerate(part):
+        places[w] |= 1 << i
+    full, top = (1 << len(part)) - 1, 1 << (len(part) - 1)
+    # bits where the edit distance rises or falls from one word of the part to the next
+    up, down, distance = full, 0, len(part)
+    if distance <= most:
+        return True
+    for w in passage:
+        same = places.get(w, 0)
+        flat = (((same & up) + up) ^ up) | same | down
+        plus, minus = down | (full & ~(flat | up)), up & flat
+        distance += bool(plus & top) - bool(minus & top)
+        if distance <= most:
+            return True
+        plus, minus = plus << 1 & full, minus << 1 & full
+        # a run may begin anywhere, so the first row stays 0
+        vertical = same | down
+        up, down = minus | (full & ~(vertical | plus)), plus & vertical
+    return False
+
+
 class Index:
     """Items of similar length: postings (item, impact) by term in item order, and for each term and block of BLOCK items the largest impact."""
 
@@ -111,7 +141,7 @@ class Index:
 
     def leaks(self, words: list[str], at: np.ndarray, terms: np.ndarray, threshold: float, overlap: float) -> set[int]:
         """Ids of items that some passage holds; ``terms`` are the index's terms at the places ``at`` of ``words``."""
-        step = self.longest
+        step = self.longest + edits_allowed(self.longest, overlap)
         last = max(0, -(-(len(words) - step) // step) - 1)  # number of the last passage
         window = np.concatenate((np.minimum(at // step, last), np.clip(at // step - 1, 0, last)))
         pairs = np.unique(window * len(self.bound) + np.concatenate((terms, terms)))
@@ -139,7 +169,7 @@ class Index:
                 continue
             n = len(next(iter(grams)))
             there = Counter(g for i in range(len(passage) - n + 1) if (g := tuple(passage[i : i + n])) in grams)
-            if sum((grams & there).values()) < overlap * sum(grams.values()):
+            if sum((grams & there).values()) < overlap * sum(grams.values()) and not within_edits(part, passage, edits_allowed(len(part), overlap)):
                 return False
         return True
 

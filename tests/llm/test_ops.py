@@ -311,6 +311,34 @@ def test_decontamination(spark):
         assert [got[i] for i in range(len(texts))] == want
 
 
+def test_copies_with_an_edited_word_are_found(spark):
+    item = "Which of the four rivers in the old country flows through nine towns. The river called Ister flows there through all nine of them."
+    words = item.split()
+    rng = random.Random(8)
+    noise = lambda n: " ".join("".join(rng.choices("qwertz", k=4)) for _ in range(n))
+    edited = [" ".join(words[:k] + new + words[k + 1 :]) for k in range(len(words)) for new in ([], ["other"], ["more", words[k]])]
+    rewritten = [" ".join("other" if k % 3 == 1 else w for k, w in enumerate(words)), " ".join(rng.sample(words, len(words)))]
+    texts = [f"{noise(rng.randrange(60))} {t} {noise(40)}" for t in edited + rewritten]
+    bench = spark.createDataFrame([(1, item), *ITEMS[1:3]], "item_id long, text string")
+    got = {r["doc_id"]: r["items"] for r in decontam.contamination(plain(spark, texts), bench).collect()}
+    assert [got[i] for i in range(len(texts))] == [[1]] * len(edited) + [[]] * 2
+    assert [r["doc_id"] for r in decontam.clean(plain(spark, texts), bench).collect()] == [len(edited), len(edited) + 1]
+
+
+def test_word_edits_against_the_whole_table():
+    rng = random.Random(1)
+    for _ in range(3000):
+        part, passage = rng.choices("abc", k=rng.randrange(1, 10)), rng.choices("abc", k=rng.randrange(25))
+        row = list(range(len(part) + 1))
+        least = row[-1]
+        for w in passage:
+            new = [0]
+            for i, x in enumerate(part, 1):
+                new.append(min(row[i - 1] + (x != w), row[i] + 1, new[-1] + 1))
+            row, least = new, min(least, new[-1])
+        assert [decontam.within_edits(part, passage, m) for m in range(len(part) + 1)] == [least <= m for m in range(len(part) + 1)]
+
+
 def test_block_max_search_finds_all_above_threshold():
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(60)]
