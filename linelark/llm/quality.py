@@ -1,15 +1,15 @@
 """Quality classifier on supervised subword embeddings (after Joulin et al., 2017).
 
 A document is the average of learned vectors of its words; a word's vector is the mean of its own hashed vector and
-those of its character 3- to 5-grams (with word ends marked). A word equal to the one before adds one shared bigram
-feature. A softmax layer follows; everything is trained by stochastic gradient descent in numpy on the driver.
+those of its character 3- to 5-grams (with word ends marked). Each two words side by side add the vector of their bigram,
+hashed as the exclusive or of both words, so that a word met twice has one bucket whatever the word. A softmax layer
+follows; everything is trained by stochastic gradient descent in numpy on the driver.
 A trained model scores linearly, so what executors get is one number for each hash bucket.
 """
 
 from __future__ import annotations
 
 import math
-import operator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -19,38 +19,47 @@ from . import grams
 from .scratch import keep_rows, labelled_sample, map_rows, remainder
 
 BITS, DIM, SHORTEST, LONGEST = 17, 8, 3, 5
-BUCKETS = 1 << BITS
+#: Buckets of words and character n-grams, and behind them as many of bigrams.
+PARTS_OF_WORDS = 1 << BITS
+BUCKETS = 2 * PARTS_OF_WORDS
 #: Labelled documents of each class, and characters of one, used for fitting at most.
 SAMPLE_PER_CLASS, SAMPLE_CHARS = 1500, 40_000
-#: The bucket of the bigram of two equal words.
-SAME = 1
 #: Characters scored at once; longer texts are scored in parts of whole words.
 PART = 1 << 20
 _SHIFT = np.uint32(32 - BITS)
 
 
-def _word_buckets(threes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Buckets of the words themselves, from sums of their 3-gram hashes and their lengths."""
+def _word_hashes(threes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of the words themselves, from sums of their 3-gram hashes and their lengths."""
     total = np.concatenate(([0], np.cumsum(threes.astype(np.uint64)))).astype(np.uint64)
-    own = (total[last - 1] - total[first] + (last - first).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return (own >> np.uint64(64 - BITS)).astype(np.int64)
+    return (total[last - 1] - total[first] + (last - first).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(how many features each word has, all features word by word): the word's own bucket and those of its n-grams."""
+def _word_buckets(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def bigram_buckets(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Buckets of the bigrams of words with these hashes."""
+    return _word_buckets((left ^ right) * np.uint64(0xD6E8FEB86659FD93)) + PARTS_OF_WORDS
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(how many features each word has, all features word by word, hash of each word): a word's features are its own bucket and those of its n-grams."""
     points = grams.spaced(words)
     first, last = grams.places(points)
     at, found = [np.arange(len(words))], []
     for n, h in grams.hashes(points, SHORTEST, LONGEST):
         if n == 3:
-            found.append(_word_buckets(h, first, last))
+            own = _word_hashes(h, first, last)
+            found.append(_word_buckets(own))
         low, high = grams.inside(first, last, n)
         size = high - low
         at.append(np.repeat(np.arange(len(words)), size))
         found.append((h >> _SHIFT)[np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())].astype(np.int64))
     at, found = np.concatenate(at), np.concatenate(found)
     order = np.argsort(at, kind="stable")
-    return np.bincount(at, minlength=len(words)), found[order]
+    return np.bincount(at, minlength=len(words)), found[order], own
 
 
 def fit(sample: list[tuple[str, int]], prior: float = 0.0, epochs: int = 8, rate: float = 0.3, batch: int = 32, seed: int = 5) -> tuple[np.ndarray, float]:
@@ -61,29 +70,28 @@ def fit(sample: list[tuple[str, int]], prior: float = 0.0, epochs: int = 8, rate
     classes = {y for _, y in sample}
     if len(classes) < 2:
         return np.zeros(BUCKETS), 4.0 if classes == {1} else -4.0 if classes else prior
-    vocabulary: dict[str | None, int] = {None: 0}
-    docs = []
-    for text, _ in sample:
-        words = text.split()
-        counts: dict[str | None, int] = {}
-        for w in words:
-            counts[w] = counts.get(w, 0) + 1
-        if again := sum(map(operator.eq, words[1:], words)):
-            counts[None] = again
-        for w in counts:
-            vocabulary.setdefault(w, len(vocabulary))
-        docs.append((np.fromiter((vocabulary[w] for w in counts), np.int64), np.fromiter(counts.values(), float)))
-    if len(vocabulary) == 1:
+    vocabulary: dict[str, int] = {}
+    sequences = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in text.split()), np.int32) for text, _ in sample]
+    if not vocabulary:
         return np.zeros(BUCKETS), prior
-    known = [w for w in vocabulary if w is not None]
+    known = list(vocabulary)
     parts = [features(known[at : at + 20_000]) for at in range(0, len(known), 20_000)]  # the work arrays are several times the result
-    sizes = np.concatenate([[1], *(n for n, _ in parts)])
-    flat = np.concatenate([np.array([SAME], np.int32), *(f.astype(np.int32) for _, f in parts)])
-    del parts
+    sizes, hashes = np.concatenate([n for n, _, _ in parts]), np.concatenate([h for _, _, h in parts])
+    flat = np.concatenate([f.astype(np.int32) for _, f, _ in parts])
+    del parts, known, vocabulary
+    # bigrams are words of one feature behind the others
+    sizes = np.concatenate([sizes, np.ones(PARTS_OF_WORDS, sizes.dtype)])
+    behind = len(hashes)
+    flat = np.concatenate([flat, np.arange(PARTS_OF_WORDS, BUCKETS, dtype=np.int32)])
+    docs = []
+    for own in sequences:
+        pairs = bigram_buckets(hashes[own[:-1]], hashes[own[1:]]) - PARTS_OF_WORDS + behind
+        ids, counts = np.unique(np.concatenate([own, pairs.astype(np.int32)]), return_counts=True)
+        docs.append((ids, counts.astype(np.int32)))
     starts = np.concatenate(([0], np.cumsum(sizes)))
     rng = np.random.default_rng(seed)
-    e, w, b = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, 2)), np.zeros(2)
-    e_sum, w_sum, b_sum = np.full((BUCKETS, DIM), 1e-8), np.full((DIM, 2), 1e-8), np.full(2, 1e-8)
+    e, w, b = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32), rng.normal(0, 0.1, (DIM, 2)), np.zeros(2)
+    e_sum, w_sum, b_sum = np.full((BUCKETS, DIM), 1e-8, np.float32), np.full((DIM, 2), 1e-8), np.full(2, 1e-8)
     truth = np.eye(2)[[y for _, y in sample]]
     for _ in range(epochs):
         order = rng.permutation(len(docs))
@@ -115,7 +123,7 @@ def fit(sample: list[tuple[str, int]], prior: float = 0.0, epochs: int = 8, rate
             b_sum += gb**2
             w -= rate * gw / np.sqrt(w_sum)
             b -= rate * gb / np.sqrt(b_sum)
-    return e @ (w[:, 1] - w[:, 0]), float(b[1] - b[0]) + prior
+    return e.astype(float) @ (w[:, 1] - w[:, 0]), float(b[1] - b[0]) + prior
 
 
 class Scorer:
@@ -128,46 +136,55 @@ class Scorer:
         words = text.split() if text else []
         if not words:
             return self.bias
-        again = sum(map(operator.eq, words[1:], words))
-        total, size, begin = again * self.buckets[SAME], 0, 0
+        total, last, size, begin = 0.0, None, 0, 0
         for i, w in enumerate(words if len(text) > PART else ()):
             size += len(w) + 1
             if size > PART:
-                total, size, begin = total + self._sum(words[begin : i + 1]), 0, i + 1
-        total += self._sum(words[begin:]) if begin < len(words) else 0.0
-        return self.bias + float(total) / (len(words) + again)
+                score, last = self._sum(words[begin : i + 1], last)
+                total, size, begin = total + score, 0, i + 1
+        total += self._sum(words[begin:], last)[0] if begin < len(words) else 0.0
+        return self.bias + total / (2 * len(words) - 1)
+
+    def _sum(self, words: list[str], before: np.ndarray | None) -> tuple[float, np.ndarray]:
+        """(summed scores of the words, each the mean over its features, and of their bigrams, hash of the last word).
 
-    def _sum(self, words: list[str]) -> float:
-        """The words' scores, each the mean over its features, summed: a word's n-grams are side by side, so running sums give them."""
+        ``before``: hash of the word before them. A word's n-grams are side by side, so running sums give them.
+        """
         points = grams.spaced(words)
         first, last = grams.places(points)
         for n, h in grams.hashes(points, SHORTEST, LONGEST):
             if n == 3:
-                score, size = self.buckets[_word_buckets(h, first, last)], np.ones(len(first))
+                own = _word_hashes(h, first, last)
+                score, size = self.buckets[_word_buckets(own)], np.ones(len(first))
             low, high = grams.inside(first, last, n)
             running = np.zeros(len(h) + 1)
             np.cumsum(self.buckets[h >> _SHIFT], out=running[1:])
             low, high = np.minimum(low, len(h)), np.minimum(high, len(h))
             score, size = score + running[high] - running[low], size + (high - low)
-        return float((score / size).sum())
+        chain = own if before is None else np.concatenate((before, own))
+        pairs = self.buckets[bigram_buckets(chain[:-1], chain[1:])].sum()
+        return float((score / size).sum() + pairs), own[-1:]
 
 
 def sigmoid(z: float) -> float:
     return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def _trained(documents: DataFrame, labels: DataFrame, folds: int, held_out: int, per_class: int):
+def _trained(documents: DataFrame, labels: DataFrame, folds: int, held_out: int, per_class: int, max_chars: int):
     train = remainder("doc_id", folds) != held_out
-    sample = labelled_sample(documents, labels, "quality", train, per_class, SAMPLE_CHARS)
+    sample = labelled_sample(documents, labels, "quality", train, per_class, max_chars)
     counts = {r["quality"]: r["n"] for r in labels.where(train & F.col("quality").isin(0, 1)).groupBy("quality").agg(F.count("*").alias("n")).collect()}
     used = [sum(y == c for _, y in sample) for c in (0, 1)]
     prior = math.log(counts[1] / used[1]) - math.log(counts[0] / used[0]) if all(used) else 0.0
     return documents.sparkSession.sparkContext.broadcast(fit(sample, prior))
 
 
-def accepted(documents: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
-    """The rows of ``documents``, with all their columns, that ``quality_scores`` predicts to be of label 1; one pass, no shuffle."""
-    shared = _trained(documents, labels, folds, held_out, per_class)
+def accepted(documents: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, per_class: int = SAMPLE_PER_CLASS, max_chars: int = SAMPLE_CHARS) -> DataFrame:
+    """The rows of ``documents``, with all their columns, that ``quality_scores`` predicts to be of label 1; one pass, no shuffle.
+
+    Null and empty texts go or stay by the prior's score. Repeated rows are judged one by one, so all go or all stay; an empty table stays empty.
+    """
+    shared = _trained(documents, labels, folds, held_out, per_class, max_chars)
 
     def start():
         scorer = Scorer(*shared.value)
@@ -176,14 +193,14 @@ def accepted(documents: DataFrame, labels: DataFrame, folds: int = 3, held_out:
     return keep_rows(documents, start, ["text"])
 
 
-def quality_scores(documents: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
+def quality_scores(documents: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, per_class: int = SAMPLE_PER_CLASS, max_chars: int = SAMPLE_CHARS) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted (score >= 0.5) for each row of ``documents``.
 
     Labels (doc_id, quality) are learned only from rows with crc32(doc_id as text) mod ``folds`` other than ``held_out``,
-    at most ``per_class`` of each class. Null and empty texts get the prior's score; without labels it is 0.5, with one
+    at most ``per_class`` of each class with texts of up to ``max_chars`` characters. Null and empty texts get the prior's score; without labels it is 0.5, with one
     class only it is near that class. Repeated rows repeat; other columns are ignored; an empty table gives no rows.
     """
-    shared = _trained(documents, labels, folds, held_out, per_class)
+    shared = _trained(documents, labels, folds, held_out, per_class, max_chars)
 
     def start():
         scorer = Scorer(*shared.value)

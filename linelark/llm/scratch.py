@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows and bytes of one Arrow batch; keeps a worker's memory flat when texts are long.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
@@ -103,14 +104,30 @@ def remainder(column: str | Column, n: int) -> Column:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int, max_chars: int) -> list:
-    """At most ``per_class`` labelled training rows of each class, by smallest hash of the id: [(text, 0 or 1)], in a fixed order.
+    """At most ``per_class`` labelled training documents of each class, by smallest hash of the id: [(text, 0 or 1)], in a fixed order.
 
-    Texts above ``max_chars`` are not used for fitting. The ids are chosen from the narrow label table, so only the chosen texts reach the driver.
+    Texts above ``max_chars`` are passed over for the next ones; a class of longer texts only gives its shortest one. Rows
+    that share an id count as one document (its smallest text). Ids are drawn from the narrow label table, as many as it
+    takes, and only the chosen texts reach the driver: ``2 * per_class * max_chars`` characters at most, but for that one.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & train).select("doc_id", F.col(label).alias("y")).distinct()
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    parts = [own.where(F.col("y") == y).orderBy(*order).limit(per_class) for y in (0, 1)]
-    chosen = parts[0].unionAll(parts[1])  # at most 2 * per_class narrow rows: safe to broadcast
-    texts = documents.where(F.col("text").isNotNull() & (F.length("text") <= max_chars)).select("doc_id", "text")
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").collect()
-    return [(r["text"], int(r["y"])) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"], r["y"]))]
+    texts = documents.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
+    chosen, drawn = {}, 2 * per_class
+    while True:
+        parts = [own.where(F.col("y") == y).orderBy(*order).limit(drawn).collect() for y in (0, 1)]
+        schema = T.StructType([T.StructField("doc_id", own.schema["doc_id"].dataType)])
+        ids = documents.sparkSession.createDataFrame([(i,) for i in sorted({r["doc_id"] for part in parts for r in part})], schema)
+        # narrow rows: an id and a length for each of at most 2 * drawn ids
+        size = {r["doc_id"]: r["n"] for r in texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.length(F.min("text")).alias("n")).collect()}
+        enough = True
+        for y, part in enumerate(parts):
+            there = [r["doc_id"] for r in part if r["doc_id"] in size]
+            chosen[y] = [i for i in there if size[i] <= max_chars][:per_class] or sorted(there, key=lambda i: (size[i], i))[:1]
+            enough = enough and (len(chosen[y]) == per_class or len(part) < drawn)
+        if enough or drawn > 64 * per_class:
+            break
+        drawn *= 4
+    picked = documents.sparkSession.createDataFrame([(i,) for i in sorted({*chosen[0], *chosen[1]})], schema)
+    text = {r["doc_id"]: r["text"] for r in texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
+    return [(text[i], y) for i, y in sorted((i, y) for y in (0, 1) for i in chosen[y])]
