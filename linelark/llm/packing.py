@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 from .scratch import arrow_schema, small_batches
 
 TOKENS, SEGMENTS, POOL = 1024, 64, 192
+#: Loss-bearing tokens of a sequence of instruction data at most.
+LOSS = 640
+#: Turns of a conversation that are one example.
+TURNS = 256
 
 
 class Packer:
@@ -32,17 +36,18 @@ class Packer:
         self.limits = np.array([tokens, segments, loss or tokens], float)
         self.tokens, self.segments, self.loss = tokens, segments, loss or tokens
         self.sequence, self.pool = first, pool
-        self.waiting: list = []  # [doc_id, ids, start, end, doc_tokens, tokens at the end without loss]
+        self.waiting: list = []  # [doc_id, ids, start, end, doc_tokens, loss-bearing ids before each place]
         self.out: list = []
 
-    def add(self, doc_id, ids: np.ndarray, free: int = 1) -> None:
-        """``free``: how many of the last ids bear no loss."""
+    def add(self, doc_id, ids: np.ndarray, bearing: np.ndarray | None = None) -> None:
+        """``bearing``: which ids bear loss; if it isn't given, all but the last."""
         at, n = 0, len(ids)
+        before = None if bearing is None else np.concatenate(([0], np.cumsum(bearing)))
         while n - at >= self.tokens and self.loss >= self.tokens:  # a full sequence by itself
-            self._close([[doc_id, ids, at, at + self.tokens, n, free]])
+            self._close([[doc_id, ids, at, at + self.tokens, n, before]])
             at += self.tokens
         if at < n:
-            self.waiting.append([doc_id, ids, at, n, n, free])
+            self.waiting.append([doc_id, ids, at, n, n, before])
         while len(self.waiting) > self.pool:
             self._fill()
 
@@ -54,7 +59,15 @@ class Packer:
             self._fill(1 << (left.bit_length() - 1))
 
     def _bearing(self, w: list) -> int:
-        return max(0, min(w[3], w[4] - w[5]) - w[2])
+        if w[5] is None:
+            return max(0, min(w[3], w[4] - 1) - w[2])
+        return int(w[5][w[3]] - w[5][w[2]])
+
+    def _within(self, w: list, loss: int) -> int:
+        """How many of a piece's first ids bear at most ``loss``."""
+        if w[5] is None:
+            return loss if w[4] - 1 - w[2] > loss else w[3] - w[2]
+        return min(w[3], int(np.searchsorted(w[5], w[5][w[2]] + loss, "right")) - 1) - w[2]
 
     def _fill(self, size: int | None = None) -> None:
         """Makes one sequence of ``size`` tokens, or of fewer if segments or loss run out first."""
@@ -90,8 +103,7 @@ class Packer:
     def _cut(self, i: int, room: int, loss: int) -> list | None:
         """The first ``room`` tokens of a waiting piece, fewer if they bear too much loss; the rest goes on waiting."""
         w = self.waiting[i]
-        if min(room, w[4] - w[5] - w[2]) > loss:
-            room = loss
+        room = min(room, self._within(w, loss))
         if room <= 0:
             return None
         if w[2] + room >= w[3]:
@@ -109,16 +121,16 @@ class Packer:
 
 
 def encoder(json_path: str, ranks_path: str | None):
-    """text -> unsigned 32-bit ids of the byte-level vocabulary in ``json_path``; strings of special tokens are plain text.
+    """text -> unsigned 32-bit ids that the tokenizer in ``json_path`` gives without adding special tokens of its own.
 
     ``ranks_path``: the same vocabulary as merge ranks. Texts of ASCII, Latin-1 and Latin Extended-A characters, on whose
-    classes every Unicode version agrees, go through it because it takes a third of the time; all others through the json.
+    classes every Unicode version agrees, go through it because it takes a third of the time; all others, and those in
+    which the string of an added token occurs, go through the json.
     """
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_file(json_path)
-    tokenizer.encode_special_tokens = True
     if not ranks_path:
         return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
     import re
@@ -129,7 +141,7 @@ def encoder(json_path: str, ranks_path: str | None):
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    other = re.compile("[^\x00-ſ]")
+    other = re.compile("|".join(["[^\x00-ſ]", *(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values())]))
 
     def encode(text: str) -> np.ndarray:
         if other.search(text):
@@ -144,11 +156,49 @@ def pack(documents: DataFrame, json_path: str, ranks_path: str | None = None, to
 
     A document is its text's ids (null text: none), then id 0, which bears no loss. Every id is in exactly one piece;
     a sequence has at most ``tokens`` tokens, ``segments`` pieces and ``loss`` loss-bearing tokens (default: ``tokens``).
-    Repeated rows and equal or null doc_ids are packed as rows of their own; other columns are ignored; an empty table
+    On documents that limit never binds beside that on tokens; ``pack_conversations`` packs under all three. Repeated rows
+    and equal or null doc_ids are packed as rows of their own; other columns are ignored; an empty table
     gives no rows. sequence_id is unique: the task's number in the upper bits, a count in the lower 33.
     """
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    target = arrow_schema(documents.sparkSession, schema)
+    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+    def example(encode, text):
+        return np.append(encode(text or ""), np.zeros(1, "<u4")).astype("<u4"), None
+
+    return _packed(rows, example, json_path, ranks_path, tokens, segments, loss)
+
+
+def pack_conversations(conversations: DataFrame, json_path: str, ranks_path: str | None = None, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, answers: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """As ``pack`` for instruction data, with ``part``: TURNS turns of a conversation (conv_id, turn, role, text) are an example, doc_id its conv_id.
+
+    The turns' ids follow one another by turn (ties: by role, then text), each turn's text (null: none) followed by id 0.
+    Ids of the roles ``answers`` bear loss, with the id 0 that ends them; all others are prompt and bear none. ``part`` counts
+    the examples of a conversation by turn div TURNS, so that one of any length is never gathered whole; start and doc_tokens
+    are within the part. Rows without a conv_id or turn are an example of their own each (part null); repeated rows repeat;
+    other columns are ignored; an empty table gives no rows.
+    """
+    turn = F.struct(F.col("turn"), F.col("role"), F.col("text").cast("string").alias("text"))
+    part = F.when(F.col("conv_id").isNotNull(), F.floor(F.col("turn") / TURNS).cast("long"))
+    own = F.when(part.isNull(), F.monotonically_increasing_id())
+    rows = conversations.select(F.col("conv_id").cast("long").alias("id"), part.alias("part"), own.alias("own"), turn.alias("said"))
+    rows = rows.groupBy("id", "part", "own").agg(F.transform(F.array_sort(F.collect_list("said")), lambda s: F.struct(s["role"].alias("role"), s["text"].alias("text"))).alias("said"))
+
+    def example(encode, said):
+        ids, bearing = [], []
+        for turn in said:
+            own = np.append(encode(turn["text"] or ""), np.zeros(1, "<u4")).astype("<u4")
+            ids.append(own)
+            bearing.append(np.full(len(own), turn["role"] in answers))
+        return np.concatenate(ids), np.concatenate(bearing)
+
+    keyed = rows.select(F.struct("id", "part").alias("id"), "said")
+    return _packed(keyed, example, json_path, ranks_path, tokens, segments, loss).select("doc_id.id", "doc_id.part", "*").drop("doc_id").withColumnRenamed("id", "doc_id")
+
+
+def _packed(rows: DataFrame, example, json_path: str, ranks_path: str | None, tokens: int, segments: int, loss: int | None) -> DataFrame:
+    """``rows``: an id of any type, and what ``example`` makes ids and loss-bearing marks of."""
+    schema = f"doc_id {rows.schema[0].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    target = arrow_schema(rows.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(json_path, ranks_path)
@@ -160,11 +210,11 @@ def pack(documents: DataFrame, json_path: str, ranks_path: str | None = None, to
                 packer.out = []
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                packer.add(doc_id, np.append(encode(text or ""), np.zeros(1, "<u4")).astype("<u4"))
+            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                packer.add(doc_id, *example(encode, value))
             yield from made()
         packer.flush()
         yield from made()
 
-    small_batches(documents.sparkSession)
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    small_batches(rows.sparkSession)
+    return rows.mapInArrow(run, schema)
