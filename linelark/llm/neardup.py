@@ -117,8 +117,9 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, trees:
 
     Two documents are linked if 100 * intersection >= percent * union of their sets of ``k``-word shingles (A-Z in
     lower case; words split at ASCII white space); component_id is the smallest doc_id reachable and kept marks it.
-    Null or wordless text: n_shingles 0, its own component. Repeated rows and rows that share a doc_id count as one
-    document. A null doc_id takes no part: component_id null, kept true. An empty table gives no rows.
+    Null or wordless text: n_shingles 0, linked with nothing. Repeated rows repeat; rows that share a doc_id are linked with each
+    other, whatever their texts, and n_shingles is that of the row's text. A null doc_id takes no part: component_id null,
+    kept true. An empty table gives no rows.
     """
     all_docs = table(sketches(documents, k, trees), "sketches")
     sets = all_docs.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
@@ -126,13 +127,32 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, trees:
     labels = _group(documents, sets, k, percent, leaf, group_sets, group_hashes)
     changed = sets.join(labels, "node", "left").where("copies > 1 or component is not null").select("f1", "f2", F.coalesce("component", "node").alias("component"))
     out = all_docs.drop("paths", "sketch").join(changed, ["f1", "f2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id")).cast("long").alias("component_id"))
+    out = _one_component_an_id(all_docs, out)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _one_component_an_id(all_docs: DataFrame, out: DataFrame) -> DataFrame:
+    """``out`` (doc_id, n_shingles, component_id) with components joined that hold rows of the same doc_id."""
+    ids = all_docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("f1", "f2")).alias("a"), F.max(F.struct("f1", "f2")).alias("b"))
+    shared = table(ids.where("a <> b").select("doc_id"), "shared")
+    if shared.isEmpty():
+        return out
+    out = table(out, "rows")
+    merged = components(_among(out.withColumnRenamed("doc_id", "node"), shared.withColumnRenamed("doc_id", "node")), "node", "component_id")
+    merged = _checked(merged.withColumnRenamed("node", "component_id"))
+    return out.join(merged, "component_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "component_id").alias("component_id"))
+
+
 def representatives(documents: DataFrame, **limits) -> DataFrame:
-    """The rows of ``documents``, with all their columns, that ``near_duplicates`` keeps: one document of each group, and all without an id."""
-    gone = table(near_duplicates(documents, **limits).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return documents.join(_checked(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The rows of ``documents``, with all their columns, that ``near_duplicates`` keeps: one document of each group, and all without an id.
+
+    Repeated rows of a document that stays all stay; null and wordless texts stay; an empty table stays empty.
+    """
+    name = "gone"
+    while name in documents.columns:
+        name += "_"
+    gone = table(near_duplicates(documents, **limits).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return documents.join(_checked(gone), F.col("doc_id") == F.col(name), "left_anti")
 
 
 def _group(documents: DataFrame, sets: DataFrame, k: int, percent: int, leaf: int, group_sets: int, group_hashes: int) -> DataFrame:
