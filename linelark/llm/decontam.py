@@ -19,10 +19,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import keep_rows, map_rows
+from .scratch import keep_rows, map_rows, table
 
-#: Items of one index that is broadcast; more items are searched in turns.
-INDEX_ITEMS = 20_000
+#: Items and characters of one index that is broadcast; more items are searched in turns, one index at a time.
+INDEX_ITEMS, INDEX_CHARS = 20_000, 20_000_000
+#: Rows of a table of hits up to which it is broadcast.
+BROADCAST_ROWS = 500_000
 THRESHOLD, OVERLAP, BLOCK, GRAM = 0.6, 0.8, 8, 5
 K1, B = 1.2, 0.75
 _WORD = re.compile(r"\w+")
@@ -193,16 +195,46 @@ class Searcher:
         return set().union(*(i.leaks(words, at, known[at], threshold, overlap) for i in self.indexes)) if len(at) else set()
 
 
-def _shared(documents: DataFrame, benchmark: DataFrame, index_items: int) -> list:
-    """Broadcast searchers of at most about ``index_items`` items each."""
-    spark = documents.sparkSession
-    usable = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text").distinct()
-    parts = max(1, -(-usable.count() // index_items))
-    shared = []
+def _usable(benchmark: DataFrame) -> DataFrame:
+    return benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
+
+
+def _parts(usable: DataFrame, index_items: int) -> int:
+    size = usable.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    return max(1, -(-size["n"] // index_items), -(-(size["chars"] or 0) // INDEX_CHARS))
+
+
+def _index(usable: DataFrame, parts: int, part: int):
+    """A broadcast searcher of one part of the items."""
+    rows = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
+    return usable.sparkSession.sparkContext.broadcast(Searcher(sorted((r["item_id"], r["text"]) for r in rows)))
+
+
+def _search(documents: DataFrame, shared, threshold: float, overlap: float) -> DataFrame:
+    """doc_id, text, items of each row."""
+
+    def start():
+        return lambda doc_id, text: (doc_id, text, sorted(shared.value(words_of(text), threshold, overlap)))
+
+    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return map_rows(rows, start, "doc_id long, text string, items array<long>")
+
+
+def _key() -> list:
+    """128 bits of a text: what a text holds depends on it alone."""
+    return [F.xxhash64("text").alias("_k1"), F.xxhash64(F.lit(1), "text").alias("_k2")]
+
+
+def _hits(documents: DataFrame, usable: DataFrame, parts: int, threshold: float, overlap: float) -> DataFrame:
+    """(_k1, _k2, item) for each text that holds an item: the texts meet one part of the index after another, and only the hits are written."""
+    found = None
     for p in range(parts):
-        rows = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).collect()
-        shared.append(spark.sparkContext.broadcast(Searcher(sorted((r["item_id"], r["text"]) for r in rows))))
-    return shared
+        shared = _index(usable, parts, p)
+        hits = _search(documents, shared, threshold, overlap).where(F.size("items") > 0).select(*_key(), F.explode("items").alias("item")).distinct()
+        hits = table(hits, "hits")
+        found = hits if found is None else found.unionAll(hits)
+        shared.destroy()
+    return found
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, index_items: int = INDEX_ITEMS) -> DataFrame:
@@ -210,32 +242,41 @@ def contamination(documents: DataFrame, benchmark: DataFrame, threshold: float =
 
     All passages of the whole text are queries against all items (item_id, text). Null and empty texts hold nothing;
     items without a word or an id take no part; items of equal text are all reported. Repeated rows repeat, other columns
-    are ignored, and an empty table on either side gives no rows or no items. Above ``index_items`` items the text is
-    searched against one bounded part of the index after another.
+    are ignored, and an empty table on either side gives no rows or no items. Above ``index_items`` items the texts are
+    searched against one bounded part of the index after another, so that one part is in memory at a time.
     """
-    shared = _shared(documents, benchmark, index_items)
-
-    def start():
-        def one(doc_id, text):
-            words = words_of(text)
-            found = set().union(*(s.value(words, threshold, overlap) for s in shared))
-            return doc_id, sorted(found), len(found), bool(found)
-
-        return one
-
-    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return map_rows(rows, start, "doc_id long, items array<long>, n_items int, contaminated boolean")
+    usable = _usable(benchmark)
+    parts = _parts(usable, index_items)
+    if parts == 1:
+        rows = _search(documents, _index(usable, 1, 0), threshold, overlap)
+    else:
+        found = table(_hits(documents, usable, parts, threshold, overlap).groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set("item")).alias("items")), "items")
+        small = (found.agg(F.sum(F.size("items") + 2)).first()[0] or 0) <= BROADCAST_ROWS
+        found = F.broadcast(found) if small else found
+        rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).select("doc_id", *_key()).join(found, ["_k1", "_k2"], "left")
+    items = F.coalesce("items", F.expr("CAST(array() AS array<long>)"))
+    return rows.select("doc_id", items.alias("items"), F.size(items).alias("n_items"), (F.size(items) > 0).alias("contaminated"))
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, index_items: int = INDEX_ITEMS) -> DataFrame:
-    """The rows of ``documents``, with all their columns, that hold no benchmark item; one pass, no shuffle."""
-    shared = _shared(documents, benchmark, index_items)
+    """The rows of ``documents``, with all their columns, that hold no benchmark item; one pass without a shuffle, or one a part of the index.
 
-    def start():
-        def one(text):
-            words = words_of(text)
-            return not any(s.value(words, threshold, overlap) for s in shared)
+    Null and empty texts stay. Repeated rows all stay or all go. An empty table stays empty; without items all rows stay.
+    """
+    usable = _usable(benchmark)
+    parts = _parts(usable, index_items)
+    if parts > 1:
+        found = table(_hits(documents, usable, parts, threshold, overlap).select("_k1", "_k2").distinct(), "found")
+        names = {c: c for c in ("_k1", "_k2")}
+        for c in names:
+            while names[c] in documents.columns:
+                names[c] += "_"
+        found = found.select(*[F.col(c).alias(n) for c, n in names.items()])
+        same = [(key == F.col(n)) for key, n in zip((F.xxhash64(F.col("text").cast("string")), F.xxhash64(F.lit(1), F.col("text").cast("string"))), names.values())]
+        return documents.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, same[0] & same[1], "left_anti")
+    shared = _index(usable, 1, 0)
 
-        return one
+    def start():
+        return lambda text: not shared.value(words_of(text), threshold, overlap)
 
     return keep_rows(documents, start, ["text"])
