@@ -1,16 +1,18 @@
 """Personal data by weak supervision, in DataFrame expressions only.
 
-Regular expressions propose spans. Labelers vote on each: its pattern, words before it, a gazetteer, its shape and
-words that speak against it. Expectation-maximisation over the counted vote patterns estimates how reliable each labeler
-is and how likely each pattern is personal data; those probabilities train the final classifier of spans, a logistic
-regression that is again a column expression. What reaches the driver is one count for each pattern of votes, whose
-number is bounded by the kinds and votes, not by the data.
+Regular expressions propose spans. Labelers vote on each: how strictly it is formed, words before and behind it, words that
+speak against it on either side, a gazetteer (top-level domains, issuer ranges, country and area codes, address blocks, key
+prefixes) and its shape. Expectation-maximisation over the counted vote patterns estimates how reliable each labeler is and
+how likely each pattern is personal data; those probabilities train the final classifier of spans, a logistic regression on
+the span's hashed shape and its neighbour words besides the votes, which is again a column expression. What reaches the
+driver is one count for each pattern of votes and a bounded sample of feature rows.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,19 +29,58 @@ BASE = {
 }
 #: Looser proposals; the classifier decides on them.
 LOOSE = {
+    "email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\[at\]|\(at\))\x20?[A-Za-z0-9-]++(?:\x20?(?:\[dot\]|\(dot\)|\.)\x20?[A-Za-z0-9-]++)++",
     "phone": r"(?<![0-9+.-])(?:\([0-9]{3}\)|[0-9]{3})[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
     "secret": r"(?i)\b(?:password|passwd|pwd|token|secret|api[_-]?key)\x20?[=:]\x20?\"?[A-Za-z0-9+/_-]{8,}+\"?|\bAKIA[0-9A-Z]{16}\b",
 }
-CUES = r"(?i)\b(?:e-?mail|mail|contact|phone|tel|telephone|call|mobile|fax|ip|address|server|host|card|visa|mastercard|credit|account|password|token|key|login|user)\b[^\n]{0,12}$"
-AGAINST = r"(?i)\b(?:version|ver|v|release|order|invoice|isbn|page|no|number|id|figure|section|example)\b[^\n]{0,3}$"
-GAZETTEER = {
-    "email": r"(?i)\.(?:com|org|net|edu|gov|io|de|fr|es|uk|eu|info)$",
-    "ip": r"^(?!0\.|127\.|255\.)",
-    "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)",
-    "phone": r"^\+?(?:1|3[0-9]|4[0-9]|5[0-9]|6[0-9]|7|8[0-9]|9[0-9]|\()",
-    "secret": r"^(?i:AKIA|password|token|api)",
+#: What a loose proposal is like that is formed strictly.
+STRICT = {
+    "email": r"(?i)(?:\[dot\]|\(dot\)|\.)\x20?[a-z]{2,}$",
+    "phone": r"^(?:\([0-9]{3}\)[\x20]?[0-9]{3}-[0-9]{4}|([0-9]{3})([\x20.-])[0-9]{3}\2[0-9]{4})$",
+    "secret": r"^AKIA|[=:]\x20?\"?(?=[^\"]*[0-9])(?=[^\"]*[A-Za-z])",
 }
-VOTES = ["pattern", "context", "gazetteer", "shape", "against"]
+
+# Words near personal data of each kind, and words near numbers that are none.
+BEFORE = {
+    "email": "e-?mail mail contact write reply address user from correo courriel",
+    "ip": "ip address server host from client login addr adresse",
+    "card": "card visa mastercard amex credit debit account karte carte tarjeta payment",
+    "phone": "phone tel telephone call mobile cell fax contact ring number dial telefon téléphone teléfono anrufen llamar appeler",
+    "secret": "password passwd token key secret credential login aws access auth",
+}
+BEHIND = {
+    "email": "mail contact",
+    "ip": "host server port",
+    "card": "exp expires cvv cvc valid",
+    "phone": "ext extension call mobile fax phone",
+    "secret": "password token key secret",
+}
+AGAINST_BEFORE = "version ver v release build order invoice isbn issn page item id figure section chapter article part serial ref reference case ticket sku lot model bestellung rechnung commande facture pedido factura"
+AGAINST_BEHIND = "release version build units items pieces pages eur usd km kg percent"
+# Common top-level domains; first digits of card issuers; address blocks that no one's host has; forms of national numbers.
+DOMAINS = "com org net edu gov mil int info biz io co ai app dev me tv us uk de fr es it nl be ch at pl se no dk fi pt ie cz gr ro hu ru ua tr eu ca mx br ar cl cn jp kr in au nz za il"
+ISSUERS = r"^(?:4|5[1-5]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[47]|3(?:0[0-5]|[689])|6(?:011|4[4-9]|5)|35(?:2[89]|[3-8])|62)"
+NO_HOSTS = r"^(?:0|127|22[4-9]|2[3-5][0-9])\.|^169\.254\.|^255\.|\.0\.0\.0$"
+COUNTRY_CODES = r"^\+(?:1|7|2[07]|2[1-689][0-9]|3[0-469]|3[578][0-9]|4[013-9]|42[0-9]|5[1-8]|5[09][0-9]|6[0-6]|6[789][0-9]|8[1246]|8[0578][0-9]|9[0-58]|9[679][0-9])"
+AREA_CODES = r"^\(?[2-9][0-8][0-9]\D{1,2}[1-9]"
+KEYS = r"^AKIA|[=:]\x20?\"?(?:(?i:[0-9a-f]{16,})|ghp_|sk-|xox[a-z]-|eyJ)"
+
+
+def _near(words: str, behind: bool) -> str:
+    """A pattern for one of ``words`` among the few signs and words next to a span."""
+    listed = "|".join(words.split())
+    return rf"(?i)^[^\n\w]{{0,3}}(?:\w+[^\n\w]{{1,2}})?(?:{listed})\b" if behind else rf"(?i)(?<!\w)(?:{listed})\b[^\n\w]{{0,3}}(?:\w+[^\n\w]{{1,3}}){{0,2}}$"
+
+
+#: Labelers, and how often each is thought to be right before any count.
+ACCURACY = {"pattern": 0.7, "before": 0.85, "behind": 0.8, "against": 0.9, "gazetteer": 0.65, "shape": 0.6}
+VOTES = list(ACCURACY)
+#: Share of proposals thought to be personal data before any vote.
+PROPOSED = 0.6
+#: Buckets of hashed shapes and of hashed neighbour words, and feature rows that the classifier is fitted on at most.
+SHAPES, WORDS, SAMPLE_ROWS = 64, 128, 20_000
+#: Characters looked at on either side of a span.
+CONTEXT = 40
 
 
 def _digits(text: Column) -> Column:
@@ -75,6 +116,7 @@ VALID = {
     "secret": lambda m: F.lit(True),
 }
 SPAN = "struct<kind:int,start:int,end:int,m:string>"
+VOTED = "struct<kind:int,start:int,end:int,base:boolean," + ",".join(f"{v}:int" for v in [*VOTES, "form", "left", "right"]) + ">"
 NONE = f"CAST(array() AS array<{SPAN}>)"
 
 
@@ -106,7 +148,7 @@ def _valid(kind: str):
 
 def _needs(text: Column) -> dict[str, Column]:
     digit = text.rlike("[0-9]")
-    return {"email": text.contains("@"), "ip": digit, "card": digit, "phone": text.contains("+"), "loose phone": digit, "secret": text.rlike("(?i)password|passwd|pwd|token|secret|api[_-]?key|AKIA")}
+    return {"email": text.contains("@"), "loose email": text.rlike("(?i)[\\[(]at[\\])]"), "ip": digit, "card": digit, "phone": text.contains("+"), "loose phone": digit, "secret": text.rlike("(?i)password|passwd|pwd|token|secret|api[_-]?key|AKIA")}
 
 
 def annotate(documents: DataFrame) -> DataFrame:
@@ -118,10 +160,10 @@ def annotate(documents: DataFrame) -> DataFrame:
     for kind, pattern in BASE.items():
         rows = _found(rows, kind, pattern, needs[kind], f"_{kind}")
         rows = rows.withColumn(f"_{kind}", F.filter(f"_{kind}", _valid(kind)))
-    rows = _found(rows, "phone", LOOSE["phone"], needs["loose phone"], "_loose")
-    rows = _found(rows, "secret", LOOSE["secret"], needs["secret"], "_secret")
+    for kind in LOOSE:
+        rows = _found(rows, kind, LOOSE[kind], needs.get(f"loose {kind}", needs[kind]), f"_loose_{kind}")
     rows = rows.withColumn("base", F.array_sort(F.concat(*[f"_{k}" for k in BASE]), _by_start))
-    clear = F.filter(F.concat("_loose", "_secret"), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    clear = F.filter(F.concat(*[f"_loose_{k}" for k in LOOSE]), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     return rows.withColumn("more", clear).select("doc_id", "text", "_null", "_row", "base", "more")
 
 
@@ -131,113 +173,149 @@ def _by_start(a: Column, b: Column) -> Column:
     return F.when(less, F.lit(-1)).when(same, F.lit(0)).otherwise(F.lit(1))
 
 
+def _of_kind(kind: Column, make, otherwise: Column) -> Column:
+    """``make`` of the kind's name, for those kinds for which it isn't None."""
+    out = otherwise
+    for i, name in enumerate(KINDS):
+        made = make(name)
+        out = out if made is None else F.when(kind == i, made).otherwise(out)
+    return out
+
+
 def voted(annotated: DataFrame) -> DataFrame:
-    """doc_id and ``spans``: kind, start, end, base, the votes (1 for, 0 against, -1 no opinion) and a length class of every proposal."""
+    """doc_id and ``spans``: kind, start, end, base, the votes (1 for, 0 against, -1 no opinion) and the classifier's hashed features of every proposal."""
+    flag = lambda c, yes, no: F.when(c, F.lit(yes)).otherwise(F.lit(no))
 
     def votes(base: bool):
         def one(s: Column) -> Column:
             kind, m = s["kind"], s["m"]
-            before = F.substring(F.col("text"), F.greatest(s["start"] - 39, F.lit(1)), F.least(s["start"], F.lit(40)))
-            listed = F.lit(False)
-            for i, name in enumerate(KINDS):
-                listed = F.when(kind == i, m.rlike(GAZETTEER[name])).otherwise(listed)
-            variety = F.length(F.array_join(F.array_distinct(F.split(_digits(m), "")), ""))
-            flag = lambda c, yes, no: F.when(c, F.lit(yes)).otherwise(F.lit(no))
+            low = F.greatest(s["start"] - CONTEXT, F.lit(0))
+            before, behind = F.substring(F.col("text"), low + 1, s["start"] - low), F.substring(F.col("text"), s["end"] + 1, F.lit(CONTEXT))
+            listed = {
+                "email": m.rlike(rf"(?i)(?:\.|dot[\])]\x20?)(?:{'|'.join(DOMAINS.split())})$"), "ip": ~m.rlike(NO_HOSTS), "card": _digits(m).rlike(ISSUERS),
+                "phone": F.when(m.startswith("+"), m.rlike(COUNTRY_CODES)).otherwise(m.rlike(AREA_CODES)), "secret": m.rlike(KEYS),
+            }
+            variety = F.length(F.array_join(F.array_distinct(F.split(F.when(kind == KINDS.index("secret"), m).otherwise(_digits(m)), "")), ""))
+            against = before.rlike(_near(AGAINST_BEFORE, False)) | before.rlike(r"(?:#|№|(?i:\bno\.?))\x20?$") | behind.rlike(_near(AGAINST_BEHIND, True))
+            strict = F.lit(1) if base else _of_kind(kind, lambda k: flag(m.rlike(STRICT[k]), 1, 0) if k in STRICT else None, F.lit(-1))
+            shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(m, "[A-Z]+", "A"), "[a-z]+", "a"), "[0-9]", "9")
+            word = lambda text, at: F.xxhash64(F.lower(F.regexp_extract(text, at, 1)), kind)
             return F.struct(
-                kind.alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(base).alias("base"),
-                F.lit(1 if base else -1).alias("pattern"), flag(before.rlike(CUES), 1, -1).alias("context"), flag(listed, 1, 0).alias("gazetteer"),
-                F.when(kind == 0, F.lit(-1)).otherwise(flag(variety >= 3, 1, 0)).alias("shape"), flag(before.rlike(AGAINST), 0, -1).alias("against"),
-                F.least(F.floor((s["end"] - s["start"]) / 8), F.lit(3)).cast("int").alias("length"),
+                kind.alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(base).alias("base"), strict.alias("pattern"),
+                flag(_of_kind(kind, lambda k: before.rlike(_near(BEFORE[k], False)), F.lit(False)), 1, -1).alias("before"),
+                flag(_of_kind(kind, lambda k: behind.rlike(_near(BEHIND[k], True)), F.lit(False)), 1, -1).alias("behind"), flag(against, 0, -1).alias("against"),
+                F.when(_of_kind(kind, listed.get, F.lit(False)), 1).when(kind == KINDS.index("secret"), -1).otherwise(0).alias("gazetteer"), F.when(kind == 0, F.lit(-1)).otherwise(flag(variety >= 3, 1, 0)).alias("shape"),
+                F.pmod(F.xxhash64(F.regexp_replace(shape, "([9Aa])\\1{4,}", "$1+"), kind), F.lit(SHAPES)).cast("int").alias("form"),
+                F.pmod(word(before, r"(\w+)\W*$"), F.lit(WORDS)).cast("int").alias("left"), F.pmod(word(behind, r"^\W*(\w+)"), F.lit(WORDS)).cast("int").alias("right"),
             )
 
         return one
 
     spans = F.concat(F.transform("base", votes(True)), F.transform("more", votes(False)))
-    return annotated.withColumn("spans", spans).drop("base", "more")
+    return annotated.withColumn("spans", F.when(F.size("base") + F.size("more") > 0, spans).otherwise(F.expr(f"CAST(array() AS array<{VOTED}>)"))).drop("base", "more")
 
 
 def patterns(rows: DataFrame) -> list[tuple[tuple, int]]:
-    """((kind, votes..., length class), count) over all spans."""
-    keys = ["kind", *VOTES, "length"]
+    """((kind, votes...), count) over all spans."""
+    keys = ["kind", *VOTES]
     counted = rows.select(F.explode("spans").alias("s")).select(*[F.col(f"s.{k}").alias(k) for k in keys]).groupBy(*keys).count()
     return sorted((tuple(r[k] for k in keys), r["count"]) for r in counted.collect())
 
 
-def reliabilities(counted: list[tuple[tuple, int]], rounds: int = 40) -> tuple[dict, list[float]]:
-    """({(kind, labeler): (P(for | personal), P(for | not))}, P(personal) of each pattern) by expectation-maximisation."""
-    n = len(VOTES)
-    belief = []
-    for key, _ in counted:
-        cast = [v for v in key[1 : 1 + n] if v >= 0]
-        belief.append((sum(cast) + 1.2) / (len(cast) + 2.0))
-    table: dict = {}
+def reliabilities(counted: list[tuple[tuple, int]], rounds: int = 40, held: float = 20.0) -> tuple[dict, list[float]]:
+    """({(kind, labeler): shares of each vote among personal data and among others}, P(personal) of each pattern) by expectation-maximisation.
+
+    Having no opinion is a vote like the others: a labeler that only ever votes against says something by its silence.
+    Shares begin at what ACCURACY states and are held there by the weight of ``held`` votes. PROPOSED of the
+    proposals are thought personal data: an estimated share would grow without end where few labelers have an opinion.
+    """
+    totals: dict = {}
+    for key, c in counted:
+        for j, v in enumerate(key[1:]):
+            own = totals.setdefault((key[0], j), {1: 0, 0: 0, -1: 0})
+            own[v] += c
+    start: dict = {}
+    for (k, j), own in totals.items():
+        silent, right = (own[-1] + 1) / (sum(own.values()) + 3), ACCURACY[VOTES[j]]
+        start[k, j] = tuple({1: (1 - silent) * a, 0: (1 - silent) * (1 - a), -1: silent} for a in (right, 1 - right))
+    shares, kinds = dict(start), sorted({key[0] for key, _ in counted})
+    belief: list[float] = []
     for _ in range(rounds):
-        prior, table = {}, {}
-        for k in {key[0] for key, _ in counted}:
+        belief = []
+        for key, _ in counted:
+            z = math.log(PROPOSED / (1 - PROPOSED))
+            for j, v in enumerate(key[1:]):
+                yes, no = shares[key[0], j]
+                z += math.log(yes[v] / no[v])
+            belief.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+        for k in kinds:
             rows = [(key, c, q) for (key, c), q in zip(counted, belief) if key[0] == k]
-            total = sum(c for _, c, _ in rows)
-            prior[k] = (sum(c * q for _, c, q in rows) + 1.0) / (total + 2.0)
-            for j in range(n):
-                cast = [(key[1 + j], c, q) for key, c, q in rows if key[1 + j] >= 0]
-                yes, no = sum(c * q for _, c, q in cast), sum(c * (1 - q) for _, c, q in cast)
-                # priors: a labeler is right more often than not
-                table[k, j] = ((sum(c * q for v, c, q in cast if v) + 4.0) / (yes + 5.0), (sum(c * (1 - q) for v, c, q in cast if v) + 1.0) / (no + 5.0))
-        for i, (key, _) in enumerate(counted):
-            z = math.log(prior[key[0]] / (1 - prior[key[0]]))
-            for j in range(n):
-                if key[1 + j] >= 0:
-                    a, b = table[key[0], j]
-                    z += math.log(a / b) if key[1 + j] else math.log((1 - a) / (1 - b))
-            belief[i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-    return table, belief
-
-
-def _inputs(key: tuple) -> list[float]:
-    kind, length = key[0], key[-1]
-    return [1.0] + [float(kind == i) for i in range(len(KINDS))] + [float(v == 1) - float(v == 0) for v in key[1:-1]] + [float(length == i) for i in range(4)]
-
-
-def train(counted: list[tuple[tuple, int]], belief: list[float], rounds: int = 200) -> list[float]:
-    """Weights of the span classifier: logistic regression on the patterns, weighted by count, with EM's beliefs as labels."""
-    x = [_inputs(key) for key, _ in counted]
-    total = sum(c for _, c in counted) or 1
-    w = [0.0] * (1 + len(KINDS) + len(VOTES) + 4)
-    seen = [1e-8] * len(w)
+            for j in range(len(VOTES)):
+                made = []
+                for side, begin in enumerate(start[k, j]):
+                    n = {v: held * p for v, p in begin.items()}
+                    for key, c, q in rows:
+                        n[key[1 + j]] += c * (1 - q if side else q)
+                    made.append({v: x / sum(n.values()) for v, x in n.items()})
+                shares[k, j] = tuple(made)
+    return shares, belief
+
+
+FEATURES = ["kind", *VOTES, "form", "left", "right"]
+#: Where the weights of a feature begin: kind, a weight a vote, then the buckets.
+_FORM = 1 + len(KINDS) + len(VOTES)
+_LEFT, _RIGHT, _SIZE = _FORM + SHAPES, _FORM + SHAPES + WORDS, _FORM + SHAPES + 2 * WORDS
+
+
+def _design(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """(places, values) of each row's inputs: bias, kind, votes as 1, -1 or 0, form, neighbour words."""
+    r = np.array(rows, np.int64).reshape(-1, len(FEATURES))
+    votes = r[:, 1 : 1 + len(VOTES)]
+    places = np.column_stack([np.zeros(len(r), np.int64), 1 + r[:, 0], np.broadcast_to(1 + len(KINDS) + np.arange(len(VOTES)), votes.shape), _FORM + r[:, -3], _LEFT + r[:, -2], _RIGHT + r[:, -1]])
+    values = np.ones(places.shape)
+    values[:, 2 : 2 + len(VOTES)] = (votes == 1) * 1.0 - (votes == 0) * 1.0
+    return places, values
+
+
+def train(rows: list[tuple], counts: list[int], belief: list[float], rounds: int = 200, held: float = 1e-3) -> np.ndarray:
+    """Weights of the span classifier: logistic regression on feature rows, weighted by count, with EM's beliefs as labels."""
+    w, seen = np.zeros(_SIZE), np.full(_SIZE, 1e-8)
+    if not rows:
+        return w
+    places, values = _design(rows)
+    share, truth = np.array(counts, float) / sum(counts), np.array(belief)
     for _ in range(rounds):
-        g = [1e-4 * a for a in w]
-        for row, (_, c), q in zip(x, counted, belief):
-            e = (1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(w, row)))))) - q) * c / total
-            for j, b in enumerate(row):
-                if b:
-                    g[j] += e * b
-        for j, a in enumerate(g):
-            seen[j] += a * a
-            w[j] -= 0.3 * a / math.sqrt(seen[j])
+        z = np.clip((w[places] * values).sum(1), -30, 30)
+        error = (1 / (1 + np.exp(-z)) - truth) * share
+        g = np.bincount(places.ravel(), (values * error[:, None]).ravel(), _SIZE) + held * w
+        seen += g * g
+        w -= 0.3 * g / np.sqrt(seen)
     return w
 
 
-def accepted(w: list[float]):
-    """A predicate on a voted span: base spans stay, others need a probability of 0.5 or more."""
+def probability_logit(w: np.ndarray, s: Column) -> Column:
+    """The classifier's logit of a voted span."""
+    weights = lambda low, high: F.array(*[F.lit(float(x)) for x in w[low:high]])
+    z = F.lit(float(w[0])) + F.element_at(weights(1, 1 + len(KINDS)), s["kind"] + 1)
+    for name, x in zip(VOTES, w[1 + len(KINDS) : _FORM]):
+        z = z + F.when(s[name] == 1, F.lit(float(x))).when(s[name] == 0, F.lit(float(-x))).otherwise(0.0)
+    z = z + F.element_at(weights(_FORM, _LEFT), s["form"] + 1)
+    return z + F.element_at(weights(_LEFT, _RIGHT), s["left"] + 1) + F.element_at(weights(_RIGHT, _SIZE), s["right"] + 1)
 
-    def one(s: Column) -> Column:
-        z, at = F.lit(w[0]), 1
-        for i in range(len(KINDS)):
-            z = z + F.when(s["kind"] == i, w[at]).otherwise(0.0)
-            at += 1
-        for name in VOTES:
-            z = z + F.when(s[name] == 1, w[at]).when(s[name] == 0, -w[at]).otherwise(0.0)
-            at += 1
-        for i in range(4):
-            z = z + F.when(s["length"] == i, w[at]).otherwise(0.0)
-            at += 1
-        return s["base"] | (z >= 0)
 
-    return one
+def accepted(w: np.ndarray):
+    """A predicate on a voted span: base spans stay, others need a probability of 0.5 or more."""
+    return lambda s: s["base"] | (probability_logit(w, s) >= 0)
 
 
-def fit(rows: DataFrame) -> list[float]:
+def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
+    """The classifier's weights: reliabilities come from all spans, the classifier from at most ``sample_rows`` kinds of feature rows by smallest hash."""
     counted = patterns(rows)
-    return train(counted, reliabilities(counted)[1])
+    belief = {key: q for (key, _), q in zip(counted, reliabilities(counted)[1])}
+    each = rows.select(F.explode("spans").alias("s")).select(*[F.col(f"s.{k}").alias(k) for k in FEATURES]).groupBy(*FEATURES).count()
+    # the hash first: proposals of all kinds have the same chance
+    sample = [tuple(r) for r in each.orderBy(F.xxhash64(*FEATURES), *FEATURES).limit(sample_rows).collect()]
+    return train([r[:-1] for r in sample], [r[-1] for r in sample], [belief[r[: 1 + len(VOTES)]] for r in sample])
 
 
 def personal_data(documents: DataFrame) -> DataFrame:
@@ -263,10 +341,13 @@ def named(spans: Column) -> Column:
 def redacted(documents: DataFrame) -> DataFrame:
     """``documents`` with each accepted span of ``text`` replaced by its kind in square brackets and n_chars, if there, set anew.
 
-    Overlapping spans of several kinds become one, named after the first. Null texts stay null.
+    Overlapping spans of several kinds become one, named after the first. Null texts stay null, empty ones empty. Repeated
+    rows repeat; other columns stay as they are; an empty table stays empty. The texts are searched once: what was found is
+    written beside them, and the classifier fitted on it, before anything is replaced.
     """
-    keep = accepted(fit(table(voted(annotate(documents)).select("spans"), "spans")))
-    rows = voted(annotate(documents)).withColumn("spans", F.array_sort(F.filter("spans", keep), _by_start))
+    rows = table(voted(annotate(documents)), "found")
+    keep = accepted(fit(rows))
+    rows = rows.withColumn("spans", F.array_sort(F.filter("spans", keep), _by_start))
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
     def step(acc: Column, s: Column) -> Column:
