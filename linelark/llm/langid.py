@@ -7,10 +7,11 @@ the false positives expected at that filter's fill, and the largest corrected co
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import grams
@@ -19,11 +20,19 @@ from .scratch import map_rows, remainder
 ROWS, HASHES, SHORTEST, LONGEST = 1 << 18, 4, 2, 5
 #: Documents of each language, and characters of one, used for fitting at most.
 SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 400, 20_000
+#: Languages told apart at most.
+MOST_LANGUAGES = 1000
 #: An n-gram enters a language's filter if its rate there is at least this share of its highest rate.
 SHARE, LEAST = 0.25, 2
 #: Characters looked up at once.
 PART = 1 << 20
-_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+@functools.cache
+def _letters() -> re.Pattern:
+    """Runs of letters as str.isalpha() knows them: word characters but digits, underscores and the numbers (such as ² or Ⅷ) among them."""
+    numbers = [c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
+    return re.compile(rf"[^\W\d_{''.join(numbers)}]+")
 
 
 def _grams(words: list[str]):
@@ -48,7 +57,7 @@ def _masks(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _parts(text: str):
     words, size = [], 0
-    for w in _LETTERS.findall(text.lower()):
+    for w in _letters().findall(text.lower()):
         words.append(w)
         size += len(w) + 1
         if size > PART:
@@ -118,34 +127,47 @@ class Identifier:
         return self.names[best], min(1.0, float(corrected[best] / corrected.sum())) if corrected[best] else 1 / len(self.names)
 
 
-def sample_of(documents: DataFrame, train, per_language: int) -> list[tuple[str, str]]:
-    """At most ``per_language`` training texts of each language, by smallest hash of the id; longer ones are not used for fitting."""
-    from pyspark.sql import Window
+def sample_of(documents: DataFrame, train, per_language: int, max_chars: int, max_languages: int) -> list[tuple[str, str]]:
+    """At most ``per_language`` training texts of each language, by smallest hash of the id.
 
-    usable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS) & train)
-    ids = usable.select("doc_id", "lang")
-    counts = {r["lang"]: r["n"] for r in ids.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    Texts above ``max_chars`` are passed over, but a language of longer texts only gives its shortest one. Rows that share
+    an id and a language count as one (the smallest text); rows without an id are not used. ValueError above
+    ``max_languages`` languages, as the driver holds a sample and every worker a filter of each.
+    """
+    usable = documents.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & train)
+    usable = usable.select("doc_id", "lang", F.col("text").cast("string").alias("text"), (F.length("text") <= max_chars).alias("short"))
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count_if("short").alias("n")).limit(max_languages + 1).collect()}
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     if not counts:
         return []
     # thin by hash before ranking, so that the ranked rows are few in every language, however common
     span = 1 << 40
-    cut = F.create_map([F.lit(x) for lang, n in counts.items() for x in (lang, min(span, int(span * 2.0 * per_language / n) + 1))])
+    cut = F.create_map([F.lit(x) for lang, n in counts.items() for x in (lang, min(span, int(span * 2.0 * per_language / max(1, n)) + 1))])
     h = F.pmod(F.xxhash64("doc_id"), F.lit(span))
-    kept = ids.withColumn("h", h).where(F.col("h") < cut[F.col("lang")])
+    kept = usable.where("short").select("doc_id", "lang", h.alias("h")).where(F.col("h") < cut[F.col("lang")]).distinct()
     ranked = kept.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= per_language)
-    chosen = ranked.select("doc_id").distinct()  # per_language ids a language
-    rows = usable.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "text", "lang").collect()
-    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"] or 0, r["lang"], r["text"]))]
+    chosen = ranked.select("doc_id", "lang")  # per_language ids of each of max_languages
+    texts = usable.where("short").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    rows = [(r["doc_id"], r["lang"], r["text"]) for r in texts.collect()]
+    long_ones = [lang for lang, n in counts.items() if not n]
+    if long_ones:
+        least = F.min(F.struct(F.length("text").alias("size"), "doc_id", "text")).alias("least")
+        rows += [(r["least"]["doc_id"], r["lang"], r["least"]["text"]) for r in usable.where(F.col("lang").isin(long_ones)).groupBy("lang").agg(least).collect()]
+    return [(text, lang) for _, lang, text in sorted(rows)]
 
 
-def identify(documents: DataFrame, folds: int = 5, held_out: int = 0, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
+def identify(documents: DataFrame, folds: int = 5, held_out: int = 0, per_language: int = SAMPLE_PER_LANGUAGE, max_chars: int = SAMPLE_CHARS, max_languages: int = MOST_LANGUAGES) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of ``documents`` (doc_id, text, lang).
 
-    Learns only from text and non-null lang of rows with crc32(doc_id as text) mod ``folds`` other than ``held_out``.
-    ``und`` with score 0: null text, text without a letter, or nothing to learn from. Otherwise score is the winner's
-    share of all corrected counts; ties go to the first name. Repeated rows repeat; other columns are ignored.
+    Learns only from text and non-null lang of rows with crc32(doc_id as text) mod ``folds`` other than ``held_out``, at most
+    ``per_language`` of each language with texts of up to ``max_chars`` characters.
+    ``und`` with score 0: null text, text without a letter (as str.isalpha() knows them), or nothing to learn from. Otherwise
+    score is the winner's share of all corrected counts; ties go to the first name. Repeated rows repeat; other columns are
+    ignored; an empty table gives no rows. ValueError above ``max_languages`` languages.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(fit(sample_of(documents, remainder("doc_id", folds) != held_out, per_language)))
+    train = remainder("doc_id", folds) != held_out
+    shared = documents.sparkSession.sparkContext.broadcast(fit(sample_of(documents, train, per_language, max_chars, max_languages)))
 
     def start():
         identifier = Identifier(*shared.value)
