@@ -1,7 +1,7 @@
 """License scans by patience alignment: how much of each license template a text holds, word by word.
 
-Around the template's rarer words a window of the text is aligned: words unique to both sides anchor it, the longest
-increasing subsequence of the anchors is kept, and each gap between anchors is aligned in the same way.
+Words unique to both sides anchor the alignment, the longest increasing subsequence of the anchors is kept, and each gap
+between anchors is aligned in the same way.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from .scratch import map_rows
 
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
-COVERAGE = 0.9
+#: Share of a template's words that a match has at least, and other words between two of them at most.
+COVERAGE, GAP = 0.9, 20
 
 # Public license notices.
 TEMPLATES = {
@@ -88,8 +89,15 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], coverage: float) -> None:
-        self.coverage = coverage
+    """Finds copies of templates. Words of a copy are at most ``gap`` apart (for a shorter template as many as it has words), so
+    every copy lies in one stretch of the text whose template words are no further apart, however long it is.
+
+    Words unique in a stretch and in the template anchor its alignment. Where a stretch holds several copies no word may be
+    unique; then what lies between the neighbours of each place of a rarer word is aligned, where that word is unique.
+    """
+
+    def __init__(self, templates: dict[str, str], coverage: float, gap: int = GAP) -> None:
+        self.coverage, self.gap = coverage, gap
         parts = [(name, w, Counter(w)) for name, text in sorted(templates.items()) if (w := words_of(text))]
         common = Counter(w for _, _, c in parts for w in c)
         # the words to look for: with more than (1 - coverage) of a template's words, one of them is in any good match
@@ -101,54 +109,86 @@ class Scanner:
                 n += counts[w]
                 if n > (1 - coverage) * len(words):
                     break
-            self.templates.append((name, words, counts, frozenset(cues)))
+            self.templates.append((name, words, counts, cues))
         self.cues = frozenset(c for t in self.templates for c in t[3])
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(template, coverage, first word, last word + 1) of the best match of each template that is covered enough."""
+        """(template, coverage, first word, last word + 1) of the best match of each template that is covered enough.
+
+        Of equal coverage the shortest match counts, then the first.
+        """
         words = words_of(text)
         present = set(words)
         if not present & self.cues:
             return []
         at: dict[str, list[int]] = {}
-        for i, w in enumerate(words):
-            if w in self.cues:
-                at.setdefault(w, []).append(i)
         found = []
         for name, template, counts, cues in self.templates:
-            if sum(n for w, n in counts.items() if w in present) < self.coverage * len(template):
+            least = self.coverage * len(template) - 1e-9
+            if sum(n for w, n in counts.items() if w in present) < least:
                 continue
-            reach, best = len(template) + len(template) // 4 + 1, None
-            end = -1
-            for i in sorted(i for c in cues for i in at.get(c, ())):
-                if i < end:
-                    continue  # within the window that was aligned last, short of its right margin
-                low, high = max(0, i - reach), min(len(words), i + reach)
-                end = i + 1
-                window = words[low:high]
-                if sum((Counter(window) & counts).values()) < self.coverage * len(template):
-                    continue
-                pairs = align(template, window)
-                share = len(pairs) / len(template)
-                if share >= self.coverage and (best is None or share > best[1]):
-                    best = (name, share, low + pairs[0][1], low + pairs[-1][1] + 1)
-                    if share == 1.0:
-                        break
+            if not at:
+                for i, w in enumerate(words):
+                    at.setdefault(w, []).append(i)
+            if sum(min(n, len(at.get(w, ()))) for w, n in counts.items()) < least:
+                continue
+            best = max((m for places in self._stretches(template, counts, at) for m in self._matches(template, counts, cues, words, places, least)), key=lambda m: (m[0], m[1] - m[2], -m[1]), default=None)
             if best:
-                found.append(best)
+                found.append((name, best[0] / len(template), best[1], best[2]))
         return found
 
-
-def license_scan(documents: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
-    """For each row of ``documents``: doc_id, n_licenses, best (license of the highest coverage, ties to the longer match, then the name), coverage, licenses (name, coverage, first and last word).
-
-    The whole text is scanned. Null, empty and unlicensed texts: n_licenses 0, best null, coverage 0, no licenses. Repeated
+    def _stretches(self, template: list[str], counts: Counter, at: dict[str, list[int]]) -> list[list[int]]:
+        """Places of the template's words in the text, split where two are too far apart."""
+        gap, out = min(self.gap, len(template)), []
+        for i in sorted(i for w in counts for i in at.get(w, ())):
+            if out and i - out[-1][-1] - 1 <= gap:
+                out[-1].append(i)
+            else:
+                out.append([i])
+        return out
+
+    def _matches(self, template: list[str], counts: Counter, cues: list[str], words: list[str], places: list[int], least: float) -> list[tuple[int, int, int]]:
+        """(matched words, first, last + 1) of the copies found in a stretch."""
+        own = [words[p] for p in places]
+        held = Counter(own)
+        if sum((held & counts).values()) < least:
+            return []
+        out = self._aligned(template, own, places, least)
+        if out and out[0][0] == len(template):
+            return out
+        for cue in cues:
+            if held[cue] > counts[cue]:
+                here = [i for i, w in enumerate(own) if w == cue]
+                bounds = [-1] * counts[cue] + here + [len(own)] * counts[cue]
+                for n in range(len(here)):
+                    low, high = bounds[n] + 1, bounds[n + 2 * counts[cue]]
+                    if sum((Counter(own[low:high]) & counts).values()) >= least:
+                        out += self._aligned(template, own[low:high], places[low:high], least)
+        return out
+
+    def _aligned(self, template: list[str], own: list[str], places: list[int], least: float) -> list[tuple[int, int, int]]:
+        """The longest run of matched words that are not too far apart, if it is long enough."""
+        gap, runs = min(self.gap, len(template)), []
+        for p in (places[j] for _, j in align(template, own)):
+            if runs and p - runs[-1][-1] - 1 <= gap:
+                runs[-1].append(p)
+            else:
+                runs.append([p])
+        best = max(runs, key=len, default=[])
+        return [(len(best), best[0], best[-1] + 1)] if best and len(best) >= least else []
+
+
+def license_scan(documents: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, gap: int = GAP) -> DataFrame:
+    """For each row of ``documents``: doc_id, n_licenses, best (license of the highest coverage, ties to the longer match, then the later name), coverage, licenses (name, coverage, first and last word).
+
+    The whole text is scanned. A match has ``coverage`` of a template's words in order, with at most ``gap`` other words (and no
+    more than the template has) between two of them. Null, empty and unlicensed texts: n_licenses 0, best null, coverage 0, no licenses. Repeated
     rows repeat; other columns are ignored; an empty table gives no rows. A template may be a part of a longer one; both count.
     """
     known = dict(templates if templates is not None else TEMPLATES)
 
     def start():
-        scanner = Scanner(known, coverage)
+        scanner = Scanner(known, coverage, gap)
 
         def one(doc_id, text):
             found = scanner.scan(text)
