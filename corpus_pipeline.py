@@ -1,4 +1,8 @@
-"""A training corpus from raw documents: filter, deduplicate, decontaminate, redact and pack."""
+"""A training corpus from raw documents: filter, deduplicate, decontaminate, redact and pack.
+
+All stages but the last return the columns of documents, whatever they are, in their order. Repeated rows are treated
+alike: all stay or all go. Rows without an id are no near-duplicates of others. An empty table goes through as one.
+"""
 
 from __future__ import annotations
 
@@ -10,27 +14,27 @@ from linelark.llm.scratch import table
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts; null and empty texts by the prior, without labels all."""
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group linked by 0.8 of their five-word shingles."""
+    """One document, the one with the smallest id, of each group linked by 0.8 of their five-word shingles; null and wordless texts stay."""
     return neardup.representatives(docs, k=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts stay, without items all."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with spans of personal data replaced by their kinds."""
+    """All documents, with spans of personal data replaced by their kinds and n_chars set anew; null texts stay null."""
     return pii.redacted(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents' tokens in training sequences."""
+    """The pieces of the documents' tokens in training sequences; a null or empty text is its end token, a null doc_id stays null."""
     return packing.pack(docs, *tokenizer_paths())
 
 
