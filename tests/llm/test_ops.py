@@ -82,6 +82,18 @@ def test_near_duplicates(spark, k, limits, monkeypatch):
     assert all(got[i]["kept"] == (roots[i] == i) for i in range(len(texts)))
 
 
+def test_rows_that_share_an_id_and_clashing_names(spark):
+    long = lambda w: " ".join(f"{w}{i}" for i in range(30))
+    rows = [(2, long("a")), (3, long("b")), (5, long("a")), (5, long("b")), (7, long("c")), (8, long("c")), (8, ""), (9, None), (9, ""), (None, long("c")), (6, "x"), (6, "x")]
+    df = spark.createDataFrame([(i, t, 1, "g", "r") for i, t in rows], "doc_id long, text string, _gone int, gone string, root string")
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect())
+    assert got == Counter([(2, 2, True), (3, 2, False), (5, 2, False), (5, 2, False), (7, 7, True), (8, 7, False), (8, 7, False), (9, 9, True), (9, 9, True), (None, None, True), (6, 6, True), (6, 6, True)])
+    kept = neardup.representatives(df)
+    assert kept.columns == df.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([2, 7, 9, 9, None, 6, 6])
+    assert neardup.representatives(df.limit(0)).collect() == []
+
+
 def test_components_by_rounds(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(100 + i, 101 + i) for i in range(30)]
@@ -104,14 +116,14 @@ def test_shingles_of_long_texts_do_not_depend_on_segments(monkeypatch):
     assert len(shingles.shingle_set(raw, 4)) == len(whole)
 
 
-@pytest.mark.parametrize("block", [4096, 3])
+@pytest.mark.parametrize("block", [1 << 20, 200])
 def test_top_k(spark, block):
     rng = np.random.default_rng(3)
     x = rng.normal(0, 0.3, (240, 10)).astype("float32")
     x[7] = x[3]
     x[50] = 0
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, None), (350, [1.0, None]), (400, [float("nan")] * 10), (450, []), (None, x[0].tolist()), (500, [float("inf")] * 10), (550, [1e30] * 10)]
-    got = sorted(map(tuple, topk.top_k(spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, norm2 int"), query_block=block).collect()))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, None), (350, [1.0, None]), (400, [float("nan")] * 10), (450, []), (None, x[0].tolist()), (500, [float("inf")] * 10)]
+    got = sorted(map(tuple, topk.top_k(spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, norm2 int"), query_bytes=block).collect()))
     v = np.floor(256 * x.astype(float)).astype(int)
     want = [(q, n, c, s) for q in range(0, 240, 50) for n, (s, c) in enumerate(sorted(((int(v[q] @ v[c]), c) for c in range(240) if c != q), key=lambda t: (-t[0], t[1]))[:5], 1)]
     assert got == want
@@ -130,11 +142,44 @@ def test_top_k_of_large_components(spark):
     assert got == [(q, n, c, s) for q in (0, 50, 100) for n, (s, c) in enumerate(sorted(((score(q, c), c) for c in range(120) if c != q), key=lambda t: (-t[0], t[1]))[:3], 1)]
 
 
+def test_top_k_of_vectors_beyond_a_long(spark):
+    """Huge components are scored in whole numbers; only an answer that does not fit fails."""
+    huge = [(50, [1e13, 0.0]), (51, [-1e13, 3.0]), (52, [1e300, -1e300]), (53, [0.5, 1e16])]
+    rows = [(i, [float(i % 7) - 3.5, i / 8]) for i in range(40)] + huge
+    schema = "vec_id long, embedding array<double>"
+    whole = lambda v: [int(c) * 256 if abs(c) >= 2**53 else math.floor(c * 256) for c in v]
+
+    def want(rows):
+        out = []
+        for q, v in rows:
+            if q % 50 == 0:
+                scores = sorted((-sum(a * b for a, b in zip(whole(v), whole(w))), c) for c, w in rows if c != q)[:3]
+                out += [(q, n, c, -s) for n, (s, c) in enumerate(scores, 1)]
+        return sorted(out)
+
+    fits = [r for r in rows if r[0] not in (50, 52, 53)] + [(100, [1e12, 0.0])]
+    assert all(abs(r[3]) < 2**63 for r in want(fits))
+    assert sorted(map(tuple, topk.top_k(spark.createDataFrame(fits, schema), k=3).collect())) == want(fits)
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.top_k(spark.createDataFrame(rows, schema), k=3).collect()
+
+
+def test_top_k_of_repeated_rows(spark):
+    """A repeated candidate row counts each time; a query id is asked once, with its smallest vector."""
+    rows = [(0, [1.0, 0.0]), (0, [2.0, 0.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [0.5, 9.0])]
+    got = sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=3).collect()))
+    assert got == [(0, 1, 1, 65536), (0, 2, 1, 65536), (0, 3, 2, 32768)]
+
+
 PAGES = [
     ("<html><body><nav><a>Home</a></nav><article><h1>T &amp; x</h1><p>One <b>bo</b>ld.<p>Two\n  lines<br>more<ul><li>a<li>b</ul></article><div class='ad'>Buy</div><footer>F</footer></body></html>", "T & x One bold. Two lines more a b"),
     ("<html><body><nav><a>Home</a><a>B</a></nav><article><h1>Z</h1><p>&eacute;&#233;</p><script>var t='</p>';</script><section class='comments'>no</section></article></body></html>", "Z éé"),
     ("<html><body><div class=sidebar>s</div><main><p>Only main</p><aside>x</aside></main></body></html>", "Only main"),
     ("<p>bare text<!-- c --> and 1 < 2</p>", "bare text and 1 < 2"),
+    ("<article>real" + "<div>" * 70 + "<nav>menu</nav><div class=ad>buy</div>" + "</div>" * 70 + " end</article><nav>x</nav>", "real end"),
+    ("<div>" * 80 + "<nav>m</nav><article><header>H</header>deep<nav>n</nav></article>" + "</div>" * 80, "H deep"),
+    ("<article><div class='search-results'>a</div><div class=related-work>b</div><div class=notice-period>c</div><div class=cookie-banner>d</div><div class='related-posts'>e</div><p id=comments>f</article>", "a b c"),
+    ("<table><tr><td>a<td>b<tr><th>c</table><nav>m</nav><script>İİİ</script><p>x", "a b c x"),
     ("<article><header><h1>T</h1></header><p>a <span class='ad'>b <span>c</span> d</span>e</p><ol class=commentlist><li>no</ol></article>", "T a e"),
     ("<article>cut off <b>here", "cut off here"),
     ("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "after</article><footer>f</footer>", "deep after"), ("<b>" * 5000 + "<p>" * 5000 + "x" + "<" * 3000, "x" + "<" * 3000),
@@ -185,6 +230,64 @@ def test_wrappers_fit_the_pages_they_come_from():
             assert html.main_text(p, parser)[0] == html.main_text(p, own)[0]
 
 
+def test_long_periods_and_many_optional_siblings():
+    names = [f"x{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    period = "".join(f"<{n}>t</{n}>" for n in names)
+    assert html.expression(html.tree(html.stream(f"<body>{period * 3}</body>")[0])) == html.expression([["body", [["()", [[n, [["#", [], False, False]], False, False] for n in names], False, True]], False, False]])
+    a, b = ("".join(f"<div class=k{n}>{n}</div>" for n in order) for order in (names, names[::-1]))
+    parser = html.Parser(wrapper_of([a, b]))
+    assert all(parser.parse(html.stream(p)[0]) for p in (a, b)) and len(parser.labels) <= 4 * 3 * len(names)
+
+
+def test_runs_against_all_squares():
+    """The shortest run that comes twice at the end, by comparing all of them."""
+    rng = random.Random(3)
+    for _ in range(300):
+        run, keys = html._Run(), []
+        for _ in range(rng.randrange(1, 25)):
+            keys.append(rng.choice("abc"))
+            run.push([keys[-1], [], False, False])
+            if rng.random() < 0.2:
+                n = rng.randrange(1, len(keys) + 1)
+                if n < len(keys):
+                    run.cut(n)
+                    del keys[-n:]
+        want = next((n for n in range(1, len(keys) // 2 + 1) if keys[-n:] == keys[-2 * n : -n]), None)
+        assert run.again() == want
+
+
+def planted_pages(rng, hosts=4, pages=9):
+    """(page_id, url, html, main text): hosts with their own unmarked menus, notices and article layouts."""
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 9)))
+    out = []
+    for h in range(hosts):
+        menu = [word() for _ in range(4)]
+        box, tag, notice = word(), rng.choice(["div", "section"]), " ".join(word() for _ in range(5))
+        for i in range(pages):
+            texts = [" ".join(word() for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(1, 6))]
+            shown = [t.replace(" ", "\n  ", 1) if rng.random() < 0.3 else t for t in texts]
+            body = "".join(rng.choice(["<p>{}</p>", "<p>{}", "<div>{}</div>", "<p><b>{}</b></p>"]).format(t) for t in shown)
+            top = f"<div class=k{h}><ul>{''.join(f'<li><a>{m}</a>' for m in menu)}</ul></div>"
+            page = f"<html><head><title>{word()}</title></head><body>{top}<{tag} class={box}>{body}</{tag}>{'<aside>' + word() + '</aside>' * (i % 2)}<div>{notice}</div><script>{word()}</script></body></html>"
+            out.append((100 * h + i, f"https://h{h}.example/{i}", page, " ".join(texts)))
+    return out
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_planted_pages(spark, monkeypatch, small):
+    """Unmarked menus and notices go because the host's wrapper tells them; also with the ways for large hosts and wrappers."""
+    if small:
+        for name, value in (("FOLD", 2), ("HOST_PAGES", 2), ("BROADCAST_BYTES", 0)):
+            monkeypatch.setattr(html, name, value)
+    rows = planted_pages(random.Random(15))
+    extra = [(None, None, None, ""), (None, rows[0][1], "", ""), (7, rows[0][1], rows[0][2], rows[0][3])]
+    df = spark.createDataFrame([(i, u, p, "x", "x", 1) for i, u, p, _ in rows + extra], "page_id long, url string, html string, host string, wrapper string, n int")
+    got = html.extract(df).collect()
+    assert Counter((r["page_id"], r["text"]) for r in got) == Counter((i, t) for i, _, _, t in rows + extra)
+    # without what the wrapper says the menus stay
+    assert all(html.main_text(p, html.Parser(html.tree(html.stream(p)[0])))[0] != t for _, _, p, t in rows)
+
+
 def test_template_texts_of_a_host_are_told_from_its_data(spark):
     page = lambda i: f"<body><div class=box7><ul><li>Home<li>About us</ul></div><div class=box7><h2>Opening</h2><p>story {i}</p><p>more {i}</p></div><div class=z9>Buy our book!</div></body>"
     rows = [(i, f"http://a.example/{i}", page(i)) for i in range(4)]
@@ -235,10 +338,10 @@ def test_packing(spark, tokens, segments, loss):
     from tokenizers import Tokenizer
 
     rng = random.Random(5)
-    texts = ["".join(rng.choices("ab c Ü字1.\n", k=rng.choice([0, 1, 5, 40, 900]))) for _ in range(150)] + [None, "<|endoftext|> x", "long word " * 900]
+    texts = ["".join(rng.choices("ab c Ü字1.\n", k=rng.choice([0, 1, 5, 40, 900]))) for _ in range(150)] + [None, "<|endoftext|> x", "字<|endoftext|>", "long word " * 900]
     tokenizer = Tokenizer.from_file(tokenizer_paths()[0])
-    tokenizer.encode_special_tokens = True
     ids = {i: tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
+    assert 50256 in ids[len(texts) - 3] and 50256 in ids[len(texts) - 2]
     rows = packing.pack(plain(spark, texts).repartition(3), *tokenizer_paths(), tokens=tokens, segments=segments, loss=loss).collect()
     assert {r["doc_id"] for r in rows} == set(ids)
     padding = packed(rows, ids, tokens, segments, loss or tokens)
@@ -247,6 +350,61 @@ def test_packing(spark, tokens, segments, loss):
     assert packing.pack(plain(spark, []), *tokenizer_paths()).collect() == []
 
 
+def test_packing_of_repeated_rows_and_null_ids(spark):
+    rows = packing.pack(docs(spark, [(None, "a b", "en"), (1, "x y z", "en"), (1, "x y z", "en"), (None, None, "en")]), *tokenizer_paths()).collect()
+    total = {i: sum(r["length"] for r in rows if r["doc_id"] == i) for i in (None, 1)}
+    own = {(r["doc_id"], r["doc_tokens"]) for r in rows}
+    assert total[1] == 2 * next(n for i, n in own if i == 1) and total[None] == sum(n for i, n in own if i is None) and (None, 1) in own
+
+
+def test_packing_of_conversations_keeps_three_limits(spark):
+    rng = random.Random(11)
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_paths()[0])
+    said = {}
+    for c in range(60):
+        for t in range(rng.randrange(1, 9)):
+            said[c, t] = ("assistant" if t % 2 else "user", " ".join(rng.choices(["ab", "cde", "Ü", "fgh."], k=rng.randrange(90))))
+    rows = [(c, t, r, x, "n") for (c, t), (r, x) in said.items()] + [(None, 3, "user", "alone", "n"), (5, None, "assistant", None, "n")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part string").repartition(3)
+    packing_turns = 4
+    old, packing.TURNS = packing.TURNS, packing_turns
+    try:
+        got = packing.pack_conversations(df, *tokenizer_paths(), tokens=64, segments=5, loss=24).collect()
+        assert packing.pack_conversations(df.limit(0), *tokenizer_paths()).collect() == []
+    finally:
+        packing.TURNS = old
+    ids, bears = {}, {}
+    for (c, t), (r, x) in sorted(said.items()):
+        own = tokenizer.encode(x, add_special_tokens=False).ids + [0]
+        ids.setdefault((c, t // packing_turns), []).extend(own)
+        bears.setdefault((c, t // packing_turns), []).extend([r == "assistant"] * len(own))
+    ids |= {(None, None): tokenizer.encode("alone", add_special_tokens=False).ids + [0], (5, None): [0]}
+    bears |= {k: [k[0] == 5] * len(ids[k]) for k in ((None, None), (5, None))}
+    seen, sequences = {k: [] for k in ids}, {}
+    for r in got:
+        seen[r["doc_id"], r["part"]].append(r)
+        sequences.setdefault(r["sequence_id"], []).append(r)
+    for k, own in seen.items():
+        at = 0
+        for r in sorted(own, key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids[k])
+            assert r["ids_crc32"] == zlib.crc32(np.array(ids[k][at : at + r["length"]], "<u4").tobytes())
+            at += r["length"]
+        assert at == len(ids[k])
+    full = 0
+    for own in sequences.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        bearing = sum(sum(bears[r["doc_id"], r["part"]][r["start"] : r["start"] + r["length"]]) for r in own)
+        assert at <= 64 and len(own) <= 5 and bearing <= 24
+        full += bearing == 24
+    assert full > 10  # the limit on loss binds
+
+
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
@@ -288,12 +446,30 @@ def test_reliabilities_find_the_better_labeler():
     for _ in range(4000):
         y = rng.random() < 0.5
         vote = lambda right: int(y) if rng.random() < right else 1 - int(y)
-        counts[(0, vote(0.95), vote(0.9), vote(0.9), -1, vote(0.6), 0)] += 1
+        counts[(0, vote(0.95), vote(0.9), vote(0.9), -1, -1, vote(0.6))] += 1
     table, belief = pii.reliabilities(sorted(counts.items()))
-    quality_of = [table[0, j][0] - table[0, j][1] for j in (0, 1, 4)]
+    quality_of = [table[0, j][0][1] - table[0, j][1][1] for j in (0, 1, 5)]
     assert quality_of[0] > quality_of[1] > quality_of[2]
-    w = pii.train(sorted(counts.items()), belief)
-    assert all((sum(a * b for a, b in zip(w, pii._inputs(k))) > 0) == (q > 0.5) for (k, _), q in zip(sorted(counts.items()), belief) if abs(q - 0.5) > 0.3)
+    rows, n = [(*k, 0, 0, 0) for k, _ in sorted(counts.items())], [c for _, c in sorted(counts.items())]
+    w = pii.train(rows, n, belief)
+    places, values = pii._design(rows)
+    assert all((z > 0) == (q > 0.5) for z, q in zip((w[places] * values).sum(1), belief) if abs(q - 0.5) > 0.3)
+
+
+def test_pii_proposals_are_told_apart(spark):
+    """Numbers in the form of local phones: cues and neighbours decide, also where a labeler has no opinion."""
+    rng = random.Random(6)
+    number = lambda: f"{rng.randrange(200, 899)}-{rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}"
+    filler = lambda: " ".join("".join(rng.choices("abcdeilmnorst", k=5)) for _ in range(6))
+    true = ["please call {}", "phone: {}", "my mobile {} is on", "tel. {} ext 5", "{} call after six"]
+    false = ["order {} was shipped", "invoice no. {}", "build {} release", "ref #{}", "lot {} units"]
+    made = [(y, f"{filler()}. {t.format(number())} {filler()}") for _ in range(30) for y, kind in ((1, true), (0, false)) for t in kind]
+    secrets = [(1, f'{filler()} password = "a8d7f6a5s4d3{i}" {filler()}') for i in range(40)] + [(0, f"{filler()} secret: somebody {filler()}") for _ in range(40)]
+    mails = [(1, f"{filler()} write to jo{i} [at] mail [dot] com {filler()}") for i in range(20)]
+    rows = made + secrets + mails
+    got = {r["doc_id"]: r["s"] for r in pii.personal_data(plain(spark, [t for _, t in rows])).select("doc_id", pii.named(F.col("spans")).alias("s")).collect()}
+    wrong = [(y, t) for i, (y, t) in enumerate(rows) if bool(got[i]) != bool(y)]
+    assert len(wrong) <= 0.02 * len(rows), wrong[:5]
 
 
 ITEMS = [(1, "What is the name of the red planet near us. Mars it is said by all."), (2, "How many legs has a spider that walks at night. Eight legs it has."), (3, "tiny"), (4, ""), (5, "How many legs has a spider that walks at night. Six legs it had once.")]
@@ -339,6 +515,68 @@ def test_word_edits_against_the_whole_table():
         assert [decontam.within_edits(part, passage, m) for m in range(len(part) + 1)] == [least <= m for m in range(len(part) + 1)]
 
 
+def test_leaks_against_every_item_and_passage(spark):
+    """The whole search: every passage's BM25 against every item summed word by word, then shares of 5-grams or the edit distance by its table."""
+    rng = random.Random(23)
+    vocabulary = [f"w{i}" for i in range(400)]
+    say = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    items = [(i, say(rng.randrange(6, 14)) + ". " + say(rng.randrange(4, 9))) for i in range(40)] + [(90, "w1"), (91, "w2 w3")]
+
+    def damaged(text):
+        words = text.split()
+        for _ in range(rng.randrange(0, 6)):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice([[], [rng.choice(vocabulary)], [words[at], rng.choice(vocabulary)]])
+            words = words or ["w0"]
+        return " ".join(words)
+
+    texts = [" ".join([say(rng.randrange(150)), *(damaged(rng.choice(items)[1]) + " " + say(rng.randrange(60)) for _ in range(rng.randrange(3)))]) for _ in range(60)]
+    got = {r["doc_id"]: r["items"] for r in decontam.contamination(plain(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    searcher = decontam.Searcher(items)
+
+    def distance(part, passage):
+        row = list(range(len(part) + 1))
+        least = row[-1]
+        for w in passage:
+            new = [0]
+            for i, x in enumerate(part, 1):
+                new.append(min(row[i - 1] + (x != w), row[i] + 1, new[-1] + 1))
+            row, least = new, min(least, new[-1])
+        return least
+
+    def holds(item, passage):
+        for part in decontam.question_answer(item):
+            n = min(decontam.GRAM, len(part))
+            grams = Counter(tuple(part[i : i + n]) for i in range(len(part) - n + 1)) if n else Counter()
+            there = Counter(tuple(passage[i : i + n]) for i in range(len(passage) - n + 1))
+            if grams and sum((grams & there).values()) < 0.8 * sum(grams.values()) and distance(part, passage) > int(0.2 * len(part) + 1e-9):
+                return False
+        return True
+
+    for i, t in enumerate(texts):
+        words, want = decontam.words_of(t), set()
+        for index in searcher.indexes:
+            step = index.longest + int(0.2 * index.longest + 1e-9)
+            for at in range(0, max(1, len(words) - step), step):
+                passage = words[at : at + 2 * step] if at + 2 * step < len(words) else words[at:]
+                for n, item in enumerate(index.ids):
+                    score = sum(x for term in {searcher.terms[w] for w in passage if w in searcher.terms} for k, x in zip(index.items.get(term, ()), index.impacts.get(term, ())) if k == n)
+                    if score >= decontam.THRESHOLD and holds(dict(items)[item], passage):
+                        want.add(item)
+        assert got[i] == sorted(want), i
+
+
+def test_parts_of_the_index_give_the_rows_of_the_whole(spark):
+    texts = [ITEMS[1][1], "a tiny thing", None, "", ITEMS[4][1] + " " + ITEMS[0][1], "tiny " + ITEMS[1][1]]
+    bench = spark.createDataFrame(ITEMS + [(9, ITEMS[1][1])], "item_id long, text string")
+    df = docs(spark, [(i, t, "en") for i, t in enumerate(texts)] + [(1, "a tiny thing", "en"), (None, texts[0], "en")]).withColumn("_k1", F.lit(1)).withColumn("items", F.lit("x"))
+    one = sorted(map(str, decontam.contamination(df, bench).collect()))
+    assert sorted(map(str, decontam.contamination(df, bench, index_items=1).collect())) == one
+    for n in (1, 1000):
+        kept = decontam.clean(df, bench, index_items=n)
+        assert kept.columns == df.columns and [r["doc_id"] for r in kept.orderBy("doc_id").collect()] == [2, 3]
+
+
 def test_block_max_search_finds_all_above_threshold():
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(60)]
@@ -355,18 +593,67 @@ def test_block_max_search_finds_all_above_threshold():
         assert found == sorted(i for i, x in scores.items() if x + 1e-9 >= 0.6)
 
 
-def test_patience_alignment_and_scan(spark):
-    rng = random.Random(6)
-    for _ in range(200):
+def plain_alignment(a, b):
+    """Patience alignment as it is stated: common ends, unique words, their longest increasing subsequence by trying all, the gaps.
+
+    ValueError if there are several longest ones."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(0, 0)] + [(i + 1, j + 1) for i, j in plain_alignment(a[1:], b[1:])]
+    if a[-1] == b[-1]:
+        return plain_alignment(a[:-1], b[:-1]) + [(len(a) - 1, len(b) - 1)]
+    unique = [(b.index(w), i) for i, w in enumerate(a) if a.count(w) == 1 and b.count(w) == 1]
+    chains = [[]]
+    for pair in sorted(unique):
+        chains += [c + [pair] for c in chains if not c or c[-1][1] < pair[1]]
+    out, pa, pb = [], 0, 0
+    anchors = max(chains, key=len)
+    if sum(len(c) == len(anchors) for c in chains) > 1:
+        raise ValueError
+    if not anchors:
+        return []
+    for j, i in anchors + [(len(b), len(a))]:
+        out += [(x + pa, y + pb) for x, y in plain_alignment(a[pa:i], b[pb:j])] + [(i, j)] * (i < len(a))
+        pa, pb = i + 1, j + 1
+    return out
+
+
+def test_patience_alignment():
+    rng, compared = random.Random(6), 0
+    for _ in range(400):
         a, b = rng.choices("abcdefgh", k=rng.randrange(12)), rng.choices("abcdefgh", k=rng.randrange(12))
         pairs = licenses.align(a, b)
         assert all(a[i] == b[j] for i, j in pairs) and all(p < q and r < s for (p, r), (q, s) in zip(pairs, pairs[1:]))
         assert licenses.align(a, a) == [(i, i) for i in range(len(a))]
+        try:
+            assert pairs == plain_alignment(a, b)
+            compared += 1
+        except ValueError:
+            pass
+    assert compared > 200
+
+
+def test_license_scan(spark):
     whole = licenses.TEMPLATES["MIT-text"]
-    texts = ["x " * 5000 + "Licensed under CC BY-NC 4.0.\nmore", "Licensed under the Apache License, Version 2.0. All rights reserved.", "prose " * 50 + whole.replace("free of charge", "free of any charge"), "under the license of the version", None, whole[: len(whole) // 2]]
-    got = {r["doc_id"]: r for r in licenses.license_scan(plain(spark, texts)).collect()}
-    assert [got[i]["best"] for i in range(6)] == ["CC-BY-NC-4.0", "Apache-2.0", "MIT-text", None, None, None]
+    words = whole.split()
+    texts = [
+        "x " * 5000 + "Licensed under CC BY-NC 4.0.\nmore", "Licensed under the Apache License, Version 2.0. All rights reserved.",
+        "prose " * 50 + whole.replace("free of charge", "free of any charge"), "under the license of the version", None, whole[: len(whole) // 2],
+        "Licensed under the terms of the well known Apache License, Version 2.0", "all of us have the same rights, which the law long ago reserved to us",
+        "the of and to " * 300 + whole + " the of and to" * 300, (whole + " ") * 30, " ".join(w + " so it is" * (i % 9 == 4) for i, w in enumerate(words)),
+        (whole.replace("merge", "purge") + " and ") * 3 + whole, "Released under the MIT License. Licensed under CC BY 4.0",
+    ]
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(1, texts[1], "en")]
+    scanned = licenses.license_scan(docs(spark, rows)).collect()
+    assert len(scanned) == len(rows)
+    got = {r["doc_id"]: r for r in scanned}
+    assert [got[i]["best"] for i in range(len(texts))] == ["CC-BY-NC-4.0", "Apache-2.0", "MIT-text", None, None, None, "Apache-2.0", None, "MIT-text", "MIT-text", "MIT-text", "MIT-text", "MIT"]
     assert got[1]["n_licenses"] == 2 and got[0]["licenses"][0]["first"] == 5000
+    assert got[8]["coverage"] == got[9]["coverage"] == got[10]["coverage"] == got[11]["coverage"] == 1.0
+    last = [x for x in got[11]["licenses"] if x["license"] == "MIT-text"][0]
+    assert last["first"] == 3 * (len(licenses.words_of(whole)) + 1)  # the whole copy, not one of those with a changed word
+    assert got[12]["n_licenses"] == 2  # equal coverage and length: the later name
 
 
 def labelled(rng, n, mark):
@@ -394,10 +681,12 @@ def test_quality_scores_are_means_of_features():
     rng = np.random.default_rng(2)
     scorer = quality.Scorer(rng.normal(0, 1, quality.BUCKETS), 0.25)
     words = "ab c abc!! ÜÜ a😀b the the".split()
-    sizes, flat = quality.features(words)
+    sizes, flat, hashes = quality.features(words)
     ends = np.cumsum(sizes)
-    total = sum(scorer.buckets[flat[e - n : e]].mean() for n, e in zip(sizes, ends)) + scorer.buckets[quality.SAME]
-    assert math.isclose(scorer(" ".join(words)), 0.25 + total / (len(words) + 1), rel_tol=1e-9)
+    total = sum(scorer.buckets[flat[e - n : e]].mean() for n, e in zip(sizes, ends)) + scorer.buckets[quality.bigram_buckets(hashes[:-1], hashes[1:])].sum()
+    assert math.isclose(scorer(" ".join(words)), 0.25 + total / (2 * len(words) - 1), rel_tol=1e-9)
+    twice = quality.bigram_buckets(hashes, hashes)
+    assert len(set(twice.tolist())) == 1 and twice[0] >= quality.PARTS_OF_WORDS  # a word met twice, whatever the word
     text = " ".join(rng.choice(words, 5000))
     whole, part = scorer(text), quality.PART
     try:
@@ -418,10 +707,37 @@ def test_toxicity_held_out_and_grammar(spark):
     got = [r for r in toxicity.toxicity_scores(docs(spark, [(i, t, "en") for i, t, _ in rows]), labels).collect() if r["held_out"]]
     truth = {i: y for i, _, y in rows}
     assert sum(r["predicted"] == truth[r["doc_id"]] for r in got) >= 0.97 * len(got)
-    lexicon = toxicity.Lexicon({"zwonk": 2.0}, {})
-    outputs = lambda t: {k for k in lexicon.totals(t) if k != "clause"}
-    assert outputs("a zwonk") == {"I"} and outputs("you are a zwonk") == {"J"} and outputs("you are not a zwonk") == {"n"}
-    assert outputs("they said you zwonk") == {"r"} and outputs("he said so. a zwonk") == {"I"} and outputs("we will kill you") == {"T"} and outputs("hello") == set()
+    lexicon = toxicity.Lexicon({"zwonk": 2.0})
+    outputs = lambda t: [set(c) for c in lexicon.clauses(t)[0]]
+    assert outputs("a zwonk") == [{"i"}] and outputs("you zwonk") == [{"J"}] and outputs("you are such a zwonk") == [{"K"}]
+    assert outputs("you are not a zwonk") == [{"n"}] and outputs("they said you zwonk") == [{"r"}] and outputs('he wrote "zwonk you"') == [{"r"}]
+    assert outputs("he said so. a zwonk") == [{"i"}] and outputs("a zwonk. you zwonk") == [{"i"}, {"J"}]
+    assert outputs("we will kill you") == [{"U"}] and outputs("kill them") == [{"W"}] and outputs("we will not kill you") == [{"n"}] and outputs("they said we will kill you") == [{"r"}]
+    assert outputs("kill the process") == [] and outputs("we will burn wood") == [] and outputs("hello") == []
+
+
+def test_toxic_clauses_are_scored_by_their_patterns():
+    """Patterns beat the rule that any word of the lexicon is toxic: uses that are negated, reported or without target score less."""
+    rng = random.Random(9)
+    filler = lambda n: [w + rng.choice("klm") for w in rng.choices(["ora", "tene", "vilo", "sanu", "pemi"], k=n)]
+    direct = ["you are a {}", "you {}", "they are all {}"]
+    other = ["you are not a {}", "the paper said {}", "never a {}"]
+    sample = []
+    for i in range(600):
+        y, word = i % 3 == 0, rng.choice(["zwonk", "blarf"])
+        clauses = [" ".join(filler(6)) for _ in range(5)]
+        # toxic texts have two direct clauses, half of the others one that is not
+        clauses[1:3] = [rng.choice(direct).format(word), rng.choice(direct).format(word)] if y else [rng.choice(other).format(word)] * (i % 2) + clauses[1 : 3 - i % 2]
+        sample.append((". ".join(clauses), int(y)))
+    stems, kinds, sums, clean = toxicity.fit([(t, y) for t, y in sample[:400]])
+    assert stems
+    lexicon, scorer = toxicity.Lexicon(stems), toxicity.Scorer(kinds, sums, clean)
+    score = lambda t: scorer.one(*lexicon.clauses(t))
+    right = sum((score(t) >= 0) == bool(y) for t, y in sample[400:])
+    rule = sum(any(w in t for w in ("zwonk", "blarf")) == bool(y) for t, y in sample[400:])
+    assert right >= 0.97 * 200 and right > rule + 20
+    assert score("you are a zwonk") > score("you zwonk") > score("a zwonk") > max(score("you are not a zwonk"), score("they said you zwonk"))
+    assert score("we will kill you") > score("kill you") > score("we will not kill you")
 
 
 def test_copies_of_a_toxic_text_teach_nothing_more():
@@ -430,8 +746,7 @@ def test_copies_of_a_toxic_text_teach_nothing_more():
     copied = next(t for _, t, y in rows if y)
     sample = [(t, y) for _, t, y in rows] + [(copied + f" {i}", 1) for i in range(60)]
     assert len(toxicity.distinct(sample)) == 400
-    forms, stems, _, _ = toxicity.fit(sample)
-    assert set(forms) == {"zwonk"} and not stems
+    assert set(toxicity.fit(sample)[0]) == {"zwonk"}
 
 
 def test_language_held_out(spark):
@@ -445,6 +760,40 @@ def test_language_held_out(spark):
     assert got[1000]["lang_pred"] == got[1001]["lang_pred"] == "und"
 
 
+def test_letters_and_languages_of_long_texts(spark):
+    """Numbers that are no letters give und; a language of long texts only is learned from its shortest one; repeated rows and ties."""
+    rows = [(i, "abab baba abba", "aa") for i in range(40)] + [(100 + i, "cdcd dcdc " * (300 + i), "bb") for i in range(20)]
+    odd = [(200, "² ½ ① Ⅷ _ 7", "aa"), (201, "cdcd", None), (202, "x², abab", None), (203, "zzzz", None), (204, "cdcd", None), (204, "cdcd", None), (None, "abab", "aa")]
+    got = langid.identify(docs(spark, rows + odd), max_chars=500).collect()
+    by_id = {}
+    for r in got:
+        by_id.setdefault(r["doc_id"], []).append((r["lang_pred"], r["score"]))
+    assert by_id[200] == [("und", 0.0)] and by_id[201][0][0] == "bb" and by_id[202][0][0] == "aa" and len(by_id[204]) == 2
+    assert by_id[203] == [("aa", 0.5)]  # no language has any of it: the first name
+    with pytest.raises(ValueError, match="languages"):
+        langid.identify(docs(spark, rows), max_languages=1)
+
+
+def test_language_against_sets_of_n_grams():
+    """The filters against exact sets: each language's n-grams and counts without false positives."""
+    rng = random.Random(31)
+    syllables = {name: ["".join(rng.choices(letters, k=2)) for _ in range(12)] for name, letters in (("aa", "abcdefg"), ("bb", "cdefghi"), ("cc", "aeioumn"))}
+    text = lambda lang, n: " ".join("".join(rng.choices(syllables[lang], k=rng.randrange(1, 4))) for _ in range(n))
+    sample = [(text(lang, 60), lang) for lang in syllables for _ in range(20)]
+    grams_of = lambda t: [w[i : i + n] for x in t.lower().split() for w in [f" {x} "] for n in range(langid.SHORTEST, langid.LONGEST + 1) for i in range(len(w) - n + 1)]
+    counts = {lang: Counter(g for t, own in sample if own == lang for g in grams_of(t)) for lang in syllables}
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    rate = lambda lang, g: counts[lang][g] / total[lang]
+    sets = {lang: {g for g, n in c.items() if n >= langid.LEAST and rate(lang, g) >= langid.SHARE * max(rate(x, g) for x in counts)} for lang, c in counts.items()}
+    identifier = langid.Identifier(*langid.fit(sample))
+    for _ in range(200):
+        t = text(rng.choice(sorted(syllables)), rng.randrange(1, 30))
+        held = {lang: sum(g in s for g in grams_of(t)) for lang, s in sets.items()}
+        best, score = identifier(t)
+        share = held[best] / max(1, sum(held.values()))
+        assert held[best] >= max(held.values()) - 0.05 * len(grams_of(t)) and abs(score - share) < 0.03
+
+
 def test_more_than_64_languages():
     sample = [(chr(0x4E00 + 10 * i) * 4 + " " + chr(0x4E00 + 10 * i) * 3, f"l{i:03}") for i in range(70) for _ in range(3)]
     identifier = langid.Identifier(*langid.fit(sample))
@@ -459,6 +808,16 @@ def test_sample_is_bounded_and_balanced(spark):
     assert sample == scratch.labelled_sample(d.repartition(5), labels, "quality", F.lit(True), 20, 100)
 
 
+def test_long_rows_of_a_sample_are_replaced(spark):
+    d = docs(spark, [(i, "long " * 100 if i % 2 else f"t{i}", "en") for i in range(200)] + [(2, "a", "en")] * 3 + [(500, "long " * 90, "en"), (501, "long " * 80, "en")])
+    labels = spark.createDataFrame([(i, 1) for i in range(200)] + [(500, 0), (501, 0), (999, 0), (None, 0)], "doc_id long, quality int")
+    sample = scratch.labelled_sample(d, labels, "quality", F.lit(True), 30, 100)
+    assert Counter(y for _, y in sample) == {0: 1, 1: 30} and all(len(t) <= 100 for t, y in sample if y)
+    assert [t for t, y in sample if not y] == ["long " * 80]  # the shortest, as none is short enough
+    everything = scratch.labelled_sample(d, labels, "quality", F.lit(True), 150, 100)
+    assert Counter(y for _, y in everything) == {0: 1, 1: 100} and ("a", 1) in everything
+
+
 def test_tables_can_be_cleared(spark):
     written = scratch.table(spark.range(5), "some")
     path = written.inputFiles()[0]

@@ -49,3 +49,31 @@ def test_stages_and_run(spark):
     rows = corpus_pipeline.run(spark, DATA).collect()
     assert {r["doc_id"] for r in rows} == set(ids)
     assert ops.packed(rows, ids, 1024, 64, 1024) <= 0.02 * sum(map(len, ids.values()))
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_on_odd_rows(spark, name, stage):
+    """Nulls in any column, empty and very long texts, repeated rows, extra columns with clashing names, empty tables."""
+    columns = "doc_id long, text string, lang string, source string, n_chars long, gone string, kind int, _row string, spans string, items string, component_id long, sketch string"
+    texts = [*ops.ODD, "write to a.b@c.de or +1 (555) 123-4567", "word " * 200_000]
+    rows = [(i, t, "en" if i % 2 else None, None, len(t or ""), "x", 1, "r", "s", "i", 7, None) for i, t in enumerate(texts)]
+    rows += [rows[10], rows[10], (None, "no id here", None, None, None, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, columns)
+    got = stage(spark, df, DATA).collect()
+    if name == "packing":
+        assert {r["doc_id"] for r in got} == {r[0] for r in rows}
+        assert sum(r["length"] for r in got if r["doc_id"] is None) == 5 and stage(spark, df.limit(0), DATA).collect() == []
+        return
+    made = stage(spark, df, DATA)
+    assert made.dtypes == df.dtypes and stage(spark, df.limit(0), DATA).collect() == []
+    kept = [tuple(r) for r in got]
+    if name == "personal_data":
+        changed = [r for r in kept if r[0] == 10]
+        assert len(kept) == len(rows) and sorted(map(str, (r for r in kept if r[0] != 10))) == sorted(map(str, (r for r in rows if r[0] != 10)))
+        assert len(changed) == 3 and all(r[1] == "write to [EMAIL] or [PHONE]" and r[4] == len(r[1]) and r[5:] == rows[10][5:] for r in changed)
+    else:  # whole rows, as often as they are there
+        assert all(kept.count(r) in (0, rows.count(r)) for r in rows) and set(kept) <= set(rows)
+        if name == "near_duplicates":
+            assert {r[0] for r in kept} == {i for i in range(len(texts)) if i != 8} | {None}
+        elif name == "decontamination":
+            assert len(kept) == len(rows)
