@@ -1,4 +1,4 @@
-"""Command line: ``python -m linelark --archive FOLDER [--limit N] [--store PATH]``, then type; '#' starts anew, '/quit' ends."""
+"""Command line: ``python -m linelark --archive FOLDER [--limit N] [--store PATH] [--index]``, then type; '#' starts anew, '/quit' ends."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from .engine import Completer, display
+from .engine import Completer, display, metrics_line
 from .streaming.terminal import kept, step
 
 
@@ -15,14 +15,16 @@ def main() -> None:
     parser.add_argument("--archive", required=True)
     parser.add_argument("--limit", type=int)
     parser.add_argument("--store")
+    parser.add_argument("--index", action="store_true")
     args = parser.parse_args()
     if args.limit is not None and args.limit < 1:
         parser.error("--limit must be positive")
     spark = SparkSession.builder.appName("linelark").getOrCreate()
     try:
-        engine = Completer.from_directory(spark, args.archive, args.limit, args.store)
+        engine = Completer.from_directory(spark, args.archive, args.limit, args.store, args.index)
     except (FileNotFoundError, NotADirectoryError) as e:
         parser.error(str(e))
+    print("\n".join(f"{name}: {value:.6g}" for name, value in engine.statistics().items()))
     text = ""
     while True:
         try:
@@ -31,7 +33,9 @@ def main() -> None:
             return
         if taken.done:
             return
-        lines = [r["line"] for r in display(engine.complete(taken.query)).orderBy("rank").collect()] if taken.query else []
+        lines = display(engine.best(taken.query)) if taken.query else []
+        if taken.query:
+            print(metrics_line(engine.last_query_metrics))
         print("\n".join(lines) if lines else "No line matches.")
         text = kept(taken, len(lines))
 

@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.score import best_match_score
 from .search import may_match
 
-# Upper ends of the query length classes.
+# Upper ends of the query length classes, words of synthetic sentences, kinds and numbers of an experiment's queries.
 LENGTH_CLASSES = [(2, "1-2"), (5, "3-5"), (10, "6-10"), (20, "11-20")]
-WORDS = "data structures algorithms and machine learning computer science programming language system network memory search index text query engine parallel design".split()
+WORDS = (
+    "apple bridge cloud data engine forest green happy index journey language machine network object pattern python query river science search "
+    "simple system table useful vector window yellow"
+).split()
+EXPERIMENT = [("exact", 35), ("substitution", 35), ("insertion", 35), ("deletion", 35), ("no-match", 35), ("short-query", 25)]
+KINDS = ["exact", "substitution", "insertion", "deletion", "no-match", "short"]
 
 
 def corpus_stats(records: DataFrame) -> DataFrame:
@@ -80,22 +85,50 @@ def _pick(key: Column, salt: str, n: Column | int) -> Column:
     return F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(n) if isinstance(n, int) else n.cast("long")).cast("int")
 
 
-def generated_queries(records: DataFrame, seed: str = "20260812") -> DataFrame:
-    """(sentence_id, kind, query): one benchmark query from every record of 8 or more characters: kinds exact, substitution, insertion, deletion, no-match and short in turn."""
-    n, i = F.col("normalized_sentence"), F.col("sentence_id")
-    rows = records.where(F.length(n) >= 8).withColumn("_size", F.least(F.length(n), 8 + _pick(i, seed + "l", 13)))
-    rows = rows.withColumn("_at", _pick(i, seed + "s", F.length(n) - F.col("_size") + 1))
-    rows = rows.withColumn("_cut", F.substring(n, F.col("_at") + 1, F.col("_size"))).withColumn("_p", _pick(i, seed + "p", F.col("_size")))
+def _with_query(rows: DataFrame, key: Column, kind: Column, digits: int, seed: str) -> DataFrame:
+    """``rows`` with a ``query`` of its ``kind`` cut from normalized_sentence.
+
+    A run of 8 to 20 characters at a random place as it is, with one character replaced by x (or z, where it is x), with an x
+    put in, or less one character; 999999 and the key in ``digits`` digits for no match; one letter or digit for the short kinds.
+    """
+    n = F.col("normalized_sentence")
+    letters = F.regexp_replace(n, r"[^\p{L}\p{N}]", "")
+    rows = rows.withColumn("_size", F.least(F.length(n), 8 + _pick(key, seed + "l", 13))).withColumn("_at", _pick(key, seed + "s", F.length(n) - F.col("_size") + 1))
+    rows = rows.withColumn("_cut", F.substring(n, F.col("_at") + 1, F.col("_size"))).withColumn("_p", _pick(key, seed + "p", F.greatest(F.col("_size"), F.lit(1))))
+    rows = rows.withColumn("_letter", F.substring(letters, _pick(key, seed + "c", F.greatest(F.length(letters), F.lit(1))) + 1, F.lit(1)))
     cut, p = F.col("_cut"), F.col("_p")
-    head, tail = F.substring(cut, F.lit(1), p), F.substring(cut, p + 2, F.length(cut))
-    same = F.substring(cut, p + 1, F.lit(1))
-    kinds = ["exact", "substitution", "insertion", "deletion", "no-match", "short"]
-    kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), (i % 6 + 1).cast("int"))
+    head, tail, same = F.substring(cut, F.lit(1), p), F.substring(cut, p + 2, F.length(cut)), F.substring(cut, p + 1, F.lit(1))
     query = (
-        F.when(i % 6 == 0, cut).when(i % 6 == 1, F.concat(head, F.lit("x"), tail)).when(i % 6 == 2, F.concat(head, F.lit("x"), same, tail))
-        .when(i % 6 == 3, F.concat(head, tail)).when(i % 6 == 4, F.concat(F.lit("999999"), F.lpad(i.cast("string"), 6, "0"))).otherwise(F.substring(cut, 1, 2))
+        F.when(kind == "exact", cut).when(kind == "substitution", F.concat(head, F.when(same == "x", "z").otherwise("x"), tail))
+        .when(kind == "insertion", F.concat(head, F.lit("x"), same, tail)).when(kind == "deletion", F.concat(head, tail))
+        .when(kind == "no-match", F.concat(F.lit("999999"), F.lpad(key.cast("string"), digits, "0"))).otherwise(F.col("_letter"))
     )
-    return rows.select("sentence_id", kind.alias("kind"), query.alias("query"))
+    return rows.withColumn("kind", kind).withColumn("query", query)
+
+
+def generated_queries(records: DataFrame, seed: str = "20260812") -> DataFrame:
+    """(sentence_id, kind, query): one benchmark query from every record of 8 or more characters, of each of KINDS in turn."""
+    i = F.col("sentence_id")
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (i % len(KINDS) + 1).cast("int"))
+    return _with_query(records.where(F.length("normalized_sentence") >= 8), i, kind, 6, seed).select("sentence_id", "kind", "query")
+
+
+def experiment_queries(records: DataFrame, n: int = 200, seed: str = "20260811") -> DataFrame:
+    """(number, sentence_id, kind, query): the first ``n`` of an experiment's queries, so many of each kind, each from a record drawn for it.
+
+    ``records`` have sentence_ids from 0 on without gaps. The few queries are the broadcast side.
+    """
+    spark = records.sparkSession
+    total = records.agg(F.coalesce(F.max("sentence_id") + 1, F.lit(1)).alias("n")).first()["n"]
+    kinds = [k for k, size in EXPERIMENT for _ in range(size)][:n]
+    drawn = spark.createDataFrame(list(enumerate(kinds)), "number int, _kind string").withColumn("sentence_id", _pick(F.col("number"), seed + "i", F.lit(total)).cast("long"))
+    rows = records.join(F.broadcast(drawn), "sentence_id")
+    return _with_query(rows, F.col("number"), F.col("_kind"), 4, seed).select("number", "sentence_id", "kind", "query")
+
+
+def slowest(timed: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` rows of the highest total_seconds, ties by query."""
+    return timed.orderBy(F.desc("total_seconds"), "query").limit(k)
 
 
 def synthetic_sentences(spark, n: int, seed: str = "20260811") -> DataFrame:

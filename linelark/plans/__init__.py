@@ -13,20 +13,23 @@ from pyspark.sql import functions as F
 
 from ..functions import score
 from ..functions.text import casefold, normalize
+from ..engine import Completer
 from ..operators import metrics, search, suffix
+from ..operators.postings import Postings
 from ..sources import corpus
-from ..sources.store import stored
+from ..sources.store import stored, version
 from .sql import oracle_sql
 
 __all__ = ["oracle_sql", "queries"]
 
-_built: dict[tuple[str, str], DataFrame] = {}
+_built: dict[tuple, DataFrame | Postings] = {}
 
 #: Texts of the compared queries: all kinds of edits, short ones, one of messy case and signs, and one without a match.
 EXACT, SUBSTITUTED, INSERTED, DELETED = "and the", "anb the", "thzat the", "hat te"
+LONG = "thtion of thxe"
 BATCH = [(1, "and the"), (2, "anb the"), (3, "de la"), (4, "z"), (5, "zq"), (6, "qqqqqq"), (7, "Und DIE!")]
 MEASURED = ["z", "zq", "and", "and the", "anb the", "de la que", "thtion of the", "inthe and thestion", "qqqqqqqq", "reading and the same thing over"]
-PATTERN, SCORED = "edit", ["red bolt", "bult", "ring", "gear", "x"]
+PATTERN, SCORED = "ander", ["red bolt", "bult", "ring", "gear", "x"]
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,13 +37,25 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored corpus of the documents in ``sf_dir``."""
-    key = spark.sparkContext.applicationId, sf_dir
+    """The stored corpus of the documents in ``sf_dir``, built anew if they change."""
+    key = spark.sparkContext.applicationId, sf_dir, version(spark, f"{sf_dir}/documents.parquet")
     if key not in _built:
         _built[key] = stored(corpus.document_records(_read(spark, sf_dir, "documents")), "records")
     return _built[key]
 
 
+def index(spark: SparkSession, sf_dir: str) -> Postings:
+    """The stored trigrams of the corpus in ``sf_dir``."""
+    key = spark.sparkContext.applicationId, sf_dir, version(spark, f"{sf_dir}/documents.parquet"), "index"
+    if key not in _built:
+        _built[key] = Postings.build(records(spark, sf_dir))
+    return _built[key]
+
+
+def _indexed(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: Completer(records(spark, sf_dir), index=index(spark, sf_dir)).complete(text)
+
+
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "part").select("p_partkey", "p_name")
 
@@ -113,13 +128,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top5_deletion": _top(DELETED),
         "top5_one_char": _top("z"),
         "top5_two_chars": _top("zq"),
+        "indexed_top5_long": _indexed(LONG),
+        "indexed_top5_substitution": _indexed(SUBSTITUTED),
+        "indexed_top5_short": _indexed("zq"),
+        "index_grams": lambda s, d: index(s, d).counts,
+        "top5_long": _top(LONG),
         "top5_no_match": _top("qqqqqqqq"),
         "top5_messy_text": _top("  AND,   the!"),
         "top5_empty_text": _top(" ?! "),
         "top5_brute_force": _top(SUBSTITUTED, brute=True),
         "indexed_minus_brute": lambda s, d: search.differences(_top(DELETED)(s, d), _top(DELETED, brute=True)(s, d)),
+        "result_differences": lambda s, d: search.differences(_top(EXACT)(s, d), _top(SUBSTITUTED)(s, d)),
+        "verified_matches": lambda s, d: search.verified_matches(records(s, d), SUBSTITUTED),
         "batch_top5": lambda s, d: search.batch_completions(records(s, d), BATCH),
-        "batch_candidates": lambda s, d: search.batch_candidates(records(s, d), BATCH[:3]),
+        "batch_candidates": lambda s, d: search.batch_candidates(records(s, d), BATCH),
         "corpus_stats": lambda s, d: metrics.corpus_stats(records(s, d)),
         "index_memory": lambda s, d: metrics.index_memory(records(s, d)),
         "lines_per_source": lambda s, d: metrics.lines_per_source(records(s, d)),
@@ -127,9 +149,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "candidate_summary": lambda s, d: metrics.candidate_summary(_metrics(s, d)),
         "length_classes": lambda s, d: metrics.by_length(_metrics(s, d)),
         "filter_modes": lambda s, d: metrics.by_mode(_metrics(s, d)),
-        "most_candidates": lambda s, d: metrics.most_candidates(_metrics(s, d), 3),
+        "most_candidates": lambda s, d: metrics.most_candidates(_metrics(s, d)),
         "pearson": lambda s, d: metrics.pearson(_metrics(s, d), "length", "candidates").select(F.round("correlation", 9).alias("correlation")),
         "generated_queries": lambda s, d: metrics.generated_queries(records(s, d)),
+        "experiment_queries": lambda s, d: metrics.experiment_queries(records(s, d)),
         "synthetic_sentences": lambda s, d: metrics.synthetic_sentences(s, 10_000),
         "suffix_array": lambda s, d: suffix.suffix_array(_nations(s, d)),
         "position_to_sentence": _located,

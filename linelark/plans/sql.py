@@ -45,13 +45,36 @@ def _score(query: str, n: str) -> str:
 _FOLD = "replace(lower(completed_sentence), 'ß', 'ss')"
 
 
-def _top(query: str) -> str:
+def _top(query: str, where: str = "TRUE") -> str:
     order = f"score DESC, {_FOLD}, completed_sentence, source_text, source_offset"
-    return f"""{_LINES}, scored AS (SELECT *, {_score(query, 'normalized_sentence')} AS score FROM records)
+    return f"""{_LINES}, scored AS (SELECT *, {_score(query, 'normalized_sentence')} AS score FROM records WHERE {where})
 SELECT completed_sentence, source_text, source_offset AS "offset", score, CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS rank
 FROM scored WHERE score IS NOT NULL QUALIFY rank <= 5"""
 
 
+def _both_ways(left: str, right: str) -> str:
+    return f"SELECT *, 'left' AS side FROM ({left} EXCEPT ALL {right}) UNION ALL SELECT *, 'right' AS side FROM ({right} EXCEPT ALL {left})"
+
+
+def _verified_records(query: str) -> str:
+    """Window by window over the sentences that hold the query with some edit."""
+    size = len(query)
+    edits = {query[:p] + "_" + query[p + 1 :] for p in range(size)} | {query[:p] + query[p + 1 :] for p in range(size)} | {query[:p] + "_" + query[p:] for p in range(size + 1)}
+    some = " OR ".join(_like(e, "normalized_sentence") for e in sorted(edits))
+    kinds = {
+        "exact": f"substr(n, w + 1, {size}) = '{query}'",
+        "substitution": f"length(substr(n, w + 1, {size})) = {size} AND len(list_filter(range(1, {size + 1}), lambda i: substr(n, CAST(w + i AS BIGINT), 1) <> substr('{query}', CAST(i AS BIGINT), 1))) = 1",
+        "insertion": " OR ".join(f"substr(n, w + 1, {size - 1}) = '{query[:p] + query[p + 1 :]}'" for p in range(size)),
+        "deletion": f"length(substr(n, w + 1, {size + 1})) = {size + 1} AND (" + " OR ".join(f"substr(n, w + 1, {p}) = '{query[:p]}' AND substr(n, w + {p + 2}, {size - p}) = '{query[p:]}'" for p in range(size + 1)) + ")",
+    }
+    least = ", ".join(f"min(w) FILTER ({sql}) AS {kind}_at" for kind, sql in kinds.items())
+    kind = "CASE " + " ".join(f"WHEN {k}_at IS NOT NULL THEN '{k}'" for k in kinds) + " END"
+    first = "coalesce(" + ", ".join(f"{k}_at" for k in kinds) + ")"
+    return f"""{_LINES}, windows AS (SELECT sentence_id, normalized_sentence AS n, unnest(range(length(normalized_sentence))) AS w FROM records WHERE {some}),
+placed AS (SELECT sentence_id, {least} FROM windows GROUP BY sentence_id)
+SELECT sentence_id, CAST({first} AS INTEGER) AS match_offset, {kind} AS edit_type FROM placed WHERE {first} IS NOT NULL"""
+
+
 def _parts(queries: list[str]) -> str:
     return "WITH q AS (SELECT unnest([" + ", ".join(f"'{q}'" for q in queries) + "]) AS query), pairs AS (SELECT p_partkey, query, p_name AS s, length(query) AS l FROM part, q)\n"
 
@@ -100,8 +123,17 @@ def _pick(key: str, salt: str, n: str) -> str:
     return f"CAST(CAST('0x' || substr(md5({key} || '-{salt}'), 1, 8) AS BIGINT) % ({n}) AS INTEGER)"
 
 
+def _queries_of(seed: str, digits: int) -> str:
+    """made: each of picked (i, kind, n) with a query, by the rule of its kind."""
+    k = "CAST(i AS VARCHAR)"
+    return f"""sized AS (SELECT *, least(length(n), 8 + {_pick(k, seed + 'l', '13')}) AS size, list_filter(string_split(n, ''), lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]')) AS letters FROM picked),
+placed AS (SELECT *, {_pick(k, seed + 's', 'length(n) - size + 1')} AS o, {_pick(k, seed + 'p', 'size')} AS p, letters[{_pick(k, seed + 'c', 'len(letters)')} + 1] AS letter FROM sized), cuts AS (SELECT *, substr(n, o + 1, size) AS c FROM placed),
+made AS (SELECT *, CASE kind WHEN 'exact' THEN c WHEN 'substitution' THEN substr(c, 1, p) || CASE WHEN substr(c, p + 1, 1) = 'x' THEN 'z' ELSE 'x' END || substr(c, p + 2) WHEN 'insertion' THEN substr(c, 1, p) || 'x' || substr(c, p + 1)
+  WHEN 'deletion' THEN substr(c, 1, p) || substr(c, p + 2) WHEN 'no-match' THEN '999999' || lpad({k}, {digits}, '0') ELSE letter END AS query FROM cuts)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    from . import BATCH, DELETED, EXACT, INSERTED, MEASURED, PATTERN, SCORED, SUBSTITUTED
+    from . import BATCH, DELETED, EXACT, INSERTED, LONG, MEASURED, PATTERN, SCORED, SUBSTITUTED
     from ..functions.text import normalize_text
     from ..operators.metrics import WORDS
 
@@ -112,7 +144,6 @@ def oracle_sql() -> dict[str, str]:
     order = f"score DESC, {_FOLD}, completed_sentence, source_text, source_offset"
     batch = " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS query_id, '{normalize_text(q)}' AS query, *, {_score(normalize_text(q), 'normalized_sentence')} AS score FROM records" for i, q in BATCH)
     nations = f"WITH named AS (SELECT CAST(n_nationkey AS BIGINT) AS sentence_id, {_normal('n_name')} AS n FROM nation), starts AS (SELECT sentence_id, n, CAST(coalesce(sum(length(n) + 1) OVER (ORDER BY sentence_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM named)"
-    cut = "substr(n, o + 1, size)"
     seed = "20260812"
     words = "[" + ", ".join(f"'{w}'" for w in WORDS) + "]"
     k = "CAST(i AS VARCHAR)"
@@ -123,7 +154,11 @@ def oracle_sql() -> dict[str, str]:
         "casefolded_lines": f"{_LINES} SELECT sentence_id, {_FOLD} AS folded FROM records",
         "sentence_ids": f"{_LINES} SELECT * FROM records",
         "first_n_records": f"{_LINES} SELECT * FROM records WHERE sentence_id < 500",
-        "corpus_violations": "SELECT CAST(0 AS BIGINT) AS empty, CAST(0 AS BIGINT) AS nul, CAST(0 AS BIGINT) AS gaps",
+        "corpus_violations": f"{_LINES} SELECT count(*) FILTER (normalized_sentence = '') AS empty, count(*) FILTER (contains(normalized_sentence, chr(0))) AS nul, CAST(greatest(coalesce(max(sentence_id) + 1, 0), count(*)) - count(DISTINCT sentence_id) AS BIGINT) AS gaps FROM records",
+        "verified_matches": _verified_records(SUBSTITUTED),
+        "top5_empty_text": _top(""),
+        "indexed_minus_brute": _both_ways(f"SELECT * FROM ({_top(DELETED, _halves(DELETED, 'normalized_sentence'))})", f"SELECT * FROM ({_top(DELETED)})"),
+        "result_differences": _both_ways(f"SELECT * FROM ({_top(EXACT)})", f"SELECT * FROM ({_top(SUBSTITUTED)})"),
         "exact_sentence_ids": ids(f"contains(normalized_sentence, '{PATTERN}')"),
         "exact_occurrences": f"{_LINES} SELECT sentence_id, CAST(o AS INTEGER) AS match_offset FROM (SELECT sentence_id, normalized_sentence AS n, unnest(range(length(normalized_sentence))) AS o FROM records WHERE contains(normalized_sentence, 'thth')) WHERE substr(n, o + 1, 4) = 'thth'",
         "anchor_candidates": ids(_halves(SUBSTITUTED, "normalized_sentence")),
@@ -140,12 +175,17 @@ def oracle_sql() -> dict[str, str]:
         "top5_insertion": _top(INSERTED),
         "top5_deletion": _top(DELETED),
         "top5_one_char": _top("z"),
+        "top5_long": _top(LONG),
+        "indexed_top5_long": _top(LONG),
+        "indexed_top5_substitution": _top(SUBSTITUTED),
+        "indexed_top5_short": _top("zq"),
+        "index_grams": f"{_LINES}, grams AS (SELECT DISTINCT sentence_id, unnest(list_transform(range(1, length(normalized_sentence) - 1), lambda i: substr(normalized_sentence, CAST(i AS BIGINT), 3))) AS gram FROM records WHERE length(normalized_sentence) >= 3) SELECT gram, count(*) AS n FROM grams GROUP BY gram",
         "top5_two_chars": _top("zq"),
         "top5_no_match": _top("qqqqqqqq"),
         "top5_messy_text": _top("and the"),
         "top5_brute_force": _top(SUBSTITUTED),
         "batch_top5": f'{_LINES}, scored AS ({batch}) SELECT query_id, query, completed_sentence, source_text, source_offset AS "offset", score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS INTEGER) AS rank FROM scored WHERE score IS NOT NULL QUALIFY rank <= 5',
-        "batch_candidates": _LINES + " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS query_id, sentence_id FROM records WHERE {_halves(normalize_text(q), 'normalized_sentence')}" for i, q in BATCH[:3]),
+        "batch_candidates": _LINES + " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS query_id, sentence_id FROM records WHERE {_halves(normalize_text(q), 'normalized_sentence')}" for i, q in BATCH),
         "corpus_stats": f"{_LINES} SELECT count(*) AS sentences, count(DISTINCT source_text) AS sources, CAST(sum(length(normalized_sentence) + 1) - 1 AS BIGINT) AS corpus_chars FROM records",
         "index_memory": f"{_LINES}, s AS (SELECT count(*) AS n, CAST(sum(length(normalized_sentence) + 1) - 1 AS BIGINT) AS c FROM records) SELECT 4 * c AS suffix_array_bytes, 4 * n AS sentence_starts_bytes, 12 * c AS workspace_bytes, 16 * c + 4 * n AS build_peak_bytes FROM s",
         "lines_per_source": f"{_LINES} SELECT source_text, count(*) AS lines FROM records GROUP BY source_text",
@@ -153,11 +193,13 @@ def oracle_sql() -> dict[str, str]:
         "candidate_summary": f"{metrics} SELECT avg(candidates) AS mean_candidates, median(candidates) AS median_candidates, list_sort(list(candidates))[greatest(1, CAST(floor(0.95 * count(*)) AS BIGINT))] AS p95_candidates, 100 * (1 - avg(candidates) / max(total)) AS reduction_percent FROM metrics",
         "length_classes": f"{metrics} SELECT length_class, count(query) AS queries, avg(candidates) AS mean_candidates, median(candidates) AS median_candidates, avg(matches) AS mean_matches FROM (SELECT unnest(['1-2', '3-5', '6-10', '11-20', '21+']) AS length_class) LEFT JOIN (SELECT *, {classes} AS length_class FROM metrics) USING (length_class) GROUP BY length_class",
         "filter_modes": f"{metrics} SELECT mode, count(*) AS queries, avg(candidates) AS mean_candidates, avg(matches) AS mean_matches FROM metrics GROUP BY mode",
-        "most_candidates": f"{metrics} SELECT query, candidates FROM metrics ORDER BY candidates DESC, query LIMIT 3",
+        "most_candidates": f"{metrics} SELECT query, candidates FROM metrics ORDER BY candidates DESC, query LIMIT 10",
         "pearson": f"{metrics} SELECT round(coalesce(corr(length, candidates), 0), 9) AS correlation FROM metrics",
-        "generated_queries": f"""{_LINES}, sized AS (SELECT sentence_id AS i, normalized_sentence AS n, least(length(normalized_sentence), 8 + {_pick('CAST(sentence_id AS VARCHAR)', seed + 'l', '13')}) AS size FROM records WHERE length(normalized_sentence) >= 8),
-placed AS (SELECT *, {_pick(k, seed + 's', 'length(n) - size + 1')} AS o, {_pick(k, seed + 'p', 'size')} AS p FROM sized), cuts AS (SELECT *, {cut} AS c FROM placed)
-SELECT i AS sentence_id, ['exact', 'substitution', 'insertion', 'deletion', 'no-match', 'short'][i % 6 + 1] AS kind, CASE i % 6 WHEN 0 THEN c WHEN 1 THEN substr(c, 1, p) || 'x' || substr(c, p + 2) WHEN 2 THEN substr(c, 1, p) || 'x' || substr(c, p + 1) WHEN 3 THEN substr(c, 1, p) || substr(c, p + 2) WHEN 4 THEN '999999' || lpad(CAST(i AS VARCHAR), 6, '0') ELSE substr(c, 1, 2) END AS query FROM cuts""",
+        "generated_queries": f"""{_LINES}, picked AS (SELECT sentence_id AS i, sentence_id, ['exact', 'substitution', 'insertion', 'deletion', 'no-match', 'short'][sentence_id % 6 + 1] AS kind, normalized_sentence AS n FROM records WHERE length(normalized_sentence) >= 8),
+{_queries_of(seed, 6)} SELECT sentence_id, kind, query FROM made""",
+        "experiment_queries": f"""{_LINES}, numbers AS (SELECT range AS i, CASE WHEN range < 35 THEN 'exact' WHEN range < 70 THEN 'substitution' WHEN range < 105 THEN 'insertion' WHEN range < 140 THEN 'deletion' WHEN range < 175 THEN 'no-match' ELSE 'short-query' END AS kind FROM range(200)),
+drawn AS (SELECT *, CAST({_pick(k, '20260811i', '(SELECT count(*) FROM records)')} AS BIGINT) AS sentence_id FROM numbers), picked AS (SELECT i, sentence_id, kind, normalized_sentence AS n FROM drawn JOIN records USING (sentence_id)),
+{_queries_of('20260811', 4)} SELECT CAST(i AS INTEGER) AS number, sentence_id, kind, query FROM made""",
         "synthetic_sentences": f"""WITH ids AS (SELECT range AS i FROM range(10000)), picked AS (SELECT i, {words} AS words, list_transform(range(1, 4 + {_pick(k, '20260811', '3')}), lambda j: CAST('0x' || substr(md5(i || '-' || j || '-20260811'), 1, 8) AS BIGINT) % {len(WORDS)} + 1) AS js FROM ids),
 said AS (SELECT i, array_to_string(list_transform(js, lambda j: words[j]), ' ') AS t FROM picked) SELECT i AS sentence_id, upper(substr(t, 1, 1)) || substr(t, 2) AS sentence FROM said""",
         "suffix_array": f"{nations}, joined AS (SELECT string_agg(n, chr(0) ORDER BY sentence_id) AS c FROM named) SELECT CAST(row_number() OVER (ORDER BY substr(c, p + 1)) - 1 AS INTEGER) AS rank, CAST(p AS INTEGER) AS position FROM (SELECT c, unnest(range(length(c))) AS p FROM joined)",

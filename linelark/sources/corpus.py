@@ -6,7 +6,9 @@ source_text, source_offset (the line's number from 0, blank lines counted).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,36 +16,82 @@ from pyspark.sql import types as T
 
 from ..functions.text import normalize, strip
 from ..operators.ordering import with_running_total
-from .store import path_kind, qualified, stored
+from .store import hidden_names, path_kind, qualified, read_bytes, stored
 
 SCHEMA = T.StructType([T.StructField("sentence_id", T.LongType(), False), *[T.StructField(n, T.StringType(), False) for n in ("completed_sentence", "normalized_sentence", "source_text")], T.StructField("source_offset", T.IntegerType(), False)])
 
 
-def text_files(spark: SparkSession, root: str) -> DataFrame:
-    """path, modificationTime, length, content of every ``*.txt`` file below ``root``; FileNotFoundError or NotADirectoryError otherwise.
+#: Rows of a table of splits up to which it is broadcast.
+BROADCAST_SPLITS = 500_000
+#: Bytes of files with hidden names, which the driver reads itself, at most.
+HIDDEN_BYTES = 256 << 20
 
-    Files and folders are as Spark lists them: names that start with '.' or '_' are left out.
+
+class TextFiles(NamedTuple):
+    """Where the ``*.txt`` files below a root are: folders to be listed by Spark, and hidden files with their size and time, which it leaves out."""
+
+    root: str
+    folders: list[str]
+    hidden: list[tuple[str, int, float]]
+
+
+def text_files(spark: SparkSession, root: str) -> TextFiles:
+    """Every ``*.txt`` file below ``root``, in folders and under names that begin with '.' or '_' too.
+
+    FileNotFoundError or NotADirectoryError if ``root`` is missing or a file; ValueError if hidden files have over HIDDEN_BYTES.
     """
     kind = path_kind(spark, root)
     if kind == "missing":
         raise FileNotFoundError(root)
     if kind == "file":
         raise NotADirectoryError(root)
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(root)
-
-
-def file_lines(files: DataFrame, root: str) -> DataFrame:
-    """source_text (path below ``root``), source_offset and line of each physical line.
-
-    UTF-8 with bad bytes replaced, a leading byte-order mark dropped, lines ended by \\n, \\r\\n or \\r only.
+    folders, hidden = [root], []
+    for path, is_folder, size, changed in hidden_names(spark, root):
+        if is_folder:
+            folders.append(path)
+        elif path.endswith(".txt"):
+            hidden.append((path, size, changed))
+    if sum(size for _, size, _ in hidden) > HIDDEN_BYTES:
+        raise ValueError(f"files with hidden names have over {HIDDEN_BYTES} bytes")
+    return TextFiles(root, folders, hidden)
+
+
+def file_times(spark: SparkSession, files: TextFiles) -> DataFrame:
+    """modificationTime of each file; no contents are read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(files.folders).select("modificationTime")
+    seconds = spark.createDataFrame([(t,) for _, _, t in files.hidden], "t double").select(F.timestamp_seconds("t").alias("modificationTime"))
+    return listed.unionAll(seconds)
+
+
+def file_lines(spark: SparkSession, files: TextFiles) -> DataFrame:
+    """source_text (path below the root), block (a split's first byte), source_offset and line of each physical line.
+
+    UTF-8 with bad bytes replaced, a leading byte-order mark dropped, lines ended by \\n, \\r\\n or \\r only. Files are split by bytes,
+    so one of any size is read by many tasks: lines are counted a split, and a split's first line has the number of all
+    lines in the splits before it.
     """
-    spark = files.sparkSession
-    prefix = qualified(spark, root).rstrip("/") + "/"
-    plain = prefix.replace("file:///", "file:/")
-    path = F.col("path")
-    relative = F.when(path.startswith(prefix), F.substring(path, len(prefix) + 1, 1 << 30)).when(path.startswith(plain), F.substring(path, len(plain) + 1, 1 << 30)).otherwise(path)
-    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "^\ufeff", "")
-    return files.select(relative.alias("source_text"), F.posexplode(F.split(text, "\r\n|\r|\n")).alias("source_offset", "line"))
+    prefix = qualified(spark, files.root).rstrip("/") + "/"
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(files.folders)
+    # a file's name comes as a URI
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    rows = raw.select(path.alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.make_valid_utf8("value").alias("line"))
+    rows = stored(rows, "split")
+    splits = rows.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = stored(splits.withColumn("before", before), "splits")
+    splits = F.broadcast(splits) if splits.count() <= BROADCAST_SPLITS else splits
+    source = F.col("path")
+    for p in (prefix, prefix.replace("file:///", "file:/")):
+        source = F.when(F.col("path").startswith(p), F.substring(F.col("path"), len(p) + 1, 1 << 30)).otherwise(source)
+    offset = (F.col("id") - F.col("first") + F.col("before")).cast("int")
+    lines = rows.join(splits, ["path", "block"]).select(source.alias("source_text"), "block", offset.alias("source_offset"), "line")
+    lines = lines.withColumn("line", F.when(F.col("source_offset") == 0, F.regexp_replace("line", "^\ufeff", "")).otherwise(F.col("line")))
+    own = []
+    for path, _, _ in files.hidden:
+        text = read_bytes(spark, path).decode("utf-8-sig", "replace")
+        name = path.removeprefix(prefix).removeprefix(prefix.replace("file:///", "file:/"))
+        own += [(name, 0, i, line) for i, line in enumerate(re.split("\r\n|\r|\n", text))]
+    return lines.unionAll(spark.createDataFrame(own, lines.schema)) if own else lines
 
 
 def document_lines(documents: DataFrame) -> DataFrame:
@@ -65,7 +113,7 @@ def searchable(lines: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, unit: list[str], order: list[Column]) -> DataFrame:
-    """``rows`` with contiguous sentence_ids: by ``order`` of their ``unit`` (file or document), then by line.
+    """``rows`` with contiguous sentence_ids: by ``order`` of their ``unit`` (a file's split or a document), then by line.
 
     Lines are counted a unit, units get the count of all lines before them, and lines are numbered within a unit.
     """
@@ -82,7 +130,7 @@ def path_order(column: str = "source_text") -> list[Column]:
 
 
 def directory_records(spark: SparkSession, root: str, limit: int | None = None) -> DataFrame:
-    rows = numbered(searchable(file_lines(text_files(spark, root), root)), ["source_text"], path_order())
+    rows = numbered(searchable(file_lines(spark, text_files(spark, root))), ["source_text", "block"], [*path_order(), F.col("block")])
     return first_records(rows, limit)
 
 

@@ -43,6 +43,38 @@ def path_kind(spark: SparkSession, path: str) -> str:
     return "directory" if fs.getFileStatus(p).isDirectory() else "file"
 
 
+def hidden_names(spark: SparkSession, root: str) -> list[tuple[str, bool, int, float]]:
+    """(path, whether it is a folder, bytes, modification time in seconds) of all below ``root`` whose name begins with '.' or '_'.
+
+    Level by level, by the file system's own patterns: only what is found reaches the driver.
+    """
+    fs, p = _file_system(spark, root)
+    level = "".join("\\" + c if c in "{}[]*?\\" else c for c in fs.makeQualified(p).toString().rstrip("/"))
+    path, found = spark._jvm.org.apache.hadoop.fs.Path, []
+    while True:
+        found += [(f.getPath().toString(), f.isDirectory(), f.getLen(), f.getModificationTime() / 1000) for f in fs.globStatus(path(f"{level}/[._]*")) or []]
+        level += "/*"
+        if not fs.globStatus(path(f"{level}/*")):
+            return found
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    """A small file's contents, on the driver."""
+    fs, p = _file_system(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def version(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """(files, bytes, latest modification) of a file or folder: it changes when the files do."""
+    fs, p = _file_system(spark, path)
+    found = [fs.getFileStatus(p), *(fs.listStatus(p) if fs.getFileStatus(p).isDirectory() else [])]
+    return len(found), sum(f.getLen() for f in found), max(f.getModificationTime() for f in found)
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     fs, p = _file_system(spark, path)
     return fs.makeQualified(p).toString()
@@ -54,14 +86,26 @@ def signature(files: DataFrame) -> tuple[int, float]:
     return int(r["n"]), float(r["at"] or 0.0)
 
 
-def cached_records(spark: SparkSession, path: str, files: DataFrame, limit: int | None, build) -> tuple[DataFrame, bool]:
-    """(records, whether they came from the store at ``path``). A hit needs the same signature and limit; anything unreadable is rebuilt."""
-    now = [*signature(files), limit]
+def cached_records(spark: SparkSession, path: str, files: DataFrame, limit: int | None, build) -> tuple[DataFrame, str, bool]:
+    """(records, their folder, whether they came from the store at ``path``). A hit needs the same signature and limit; anything unreadable is rebuilt.
+
+    Records are written to a folder of their own, which the meta table then names: a run that ends in between leaves the
+    store as it was. The folder that the store named before stays for those who still read it; older ones are deleted.
+    """
+    now, before = [*signature(files), limit], None
     try:
-        if json.loads(spark.read.parquet(f"{path}/meta").first()["meta"]) == now:
-            return spark.read.parquet(f"{path}/records"), True
+        meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
+        before = meta["records"]
+        if meta["of"] == now:
+            return spark.read.parquet(f"{path}/{before}"), f"{path}/{before}", True
     except Exception:  # noqa: BLE001  a missing or broken store is built anew, as any cache
         pass
-    made = stored(build(), "records", f"{path}/records")
-    spark.createDataFrame([(json.dumps(now),)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
-    return made, False
+    name = f"records-{uuid.uuid4().hex}"
+    made = stored(build(), "records", f"{path}/{name}")
+    spark.createDataFrame([(json.dumps({"of": now, "records": name}),)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    fs, p = _file_system(spark, path)
+    for f in fs.listStatus(p):
+        own = f.getPath().getName()
+        if own.startswith("records") and own.removesuffix("-index") not in (name, before):
+            fs.delete(f.getPath(), True)
+    return made, f"{path}/{name}", False

@@ -1,25 +1,34 @@
+import random
+
 import pytest
 
 from linelark import benchmark, engine
 from linelark.functions.text import normalize_text
 from linelark.operators import metrics
-from linelark.sources import corpus
+from linelark.sources import corpus, store
 from linelark.streaming.terminal import kept, step
 
 
 def _folder(tmp_path):
+    # The first file is a case of the interface's golden values.
     files = {
         "nested/sample.txt": b"\nHello, WORLD!\ncomp@uter sci$ence\n",
         "a-b.txt": b"\xef\xbb\xbfFirst\r\nsecond\rthird \x0b same\n\n?!\nbad \xff byte",
         "a/b.txt": "Straße eins\n".encode(),
         "a.txt": b"only",
-        "with blank %41.txt": b"named",
+        "with blank %41 + é.txt": b"named",
         "skip.md": b"no",
+        "_hidden.txt": b"\xef\xbb\xbfhid\r\n\nden \xfe",
+        ".dot.txt": b"dotted",
+        "_folder/deep/plain.txt": b"in a folder",
+        "nested/.x/_y.txt": b"deep\rhidden",
+        "nested/.x/z.txt": b"",
+        "_folder/_skip.md": b"no",
     }
     for name, data in files.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(data)
-    return sorted((p for p in tmp_path.rglob("*.txt")), key=lambda p: p.relative_to(tmp_path).parts)
+    return sorted((p for p in tmp_path.rglob("*.txt") if p.is_file()), key=lambda p: p.relative_to(tmp_path).parts)
 
 
 def _expected(tmp_path, files):
@@ -41,6 +50,33 @@ def test_directory(spark, tmp_path):
     assert corpus.violations(corpus.directory_records(spark, str(tmp_path))).first().asDict() == {"empty": 0, "nul": 0, "gaps": 0}
 
 
+def test_files_are_read_by_splits(spark, tmp_path):
+    """Lines of files that many tasks read have the numbers of the whole file, whatever ends them and wherever a split falls."""
+    rng = random.Random(4)
+    for f in range(3):
+        (tmp_path / f"f{f}.txt").write_bytes(b"".join(rng.choice([b"word", b"some words here", b"", b"x\xff", "ü€😀".encode()]) + rng.choice([b"\n", b"\r\n", b"\r", b"\n\n"]) for _ in range(400)))
+    want = _expected(tmp_path, sorted(tmp_path.glob("*.txt")))
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    before = {n: spark.conf.get(n, None) for n in names}
+    try:
+        for n, v in zip(names, ("333", "0", "1")):
+            spark.conf.set(n, v)
+        lines = corpus.file_lines(spark, corpus.text_files(spark, str(tmp_path)))
+        assert lines.select("source_text", "block").distinct().count() > 20
+        got = sorted(map(tuple, corpus.directory_records(spark, str(tmp_path)).collect()))
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+    assert got == want
+
+
+def test_hidden_files_are_bounded(spark, tmp_path, monkeypatch):
+    _folder(tmp_path)
+    monkeypatch.setattr(corpus, "HIDDEN_BYTES", 10)
+    with pytest.raises(ValueError, match="hidden"):
+        corpus.text_files(spark, str(tmp_path))
+
+
 def test_missing_directory_and_file(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         corpus.text_files(spark, str(tmp_path / "none"))
@@ -63,6 +99,31 @@ def test_store_follows_files_and_limit(spark, tmp_path):
     assert made.offline_metrics["from_store"] == 0 and made.records.count() == 2
 
 
+def test_store_survives_a_run_that_dies(spark, tmp_path):
+    """Until the new records are complete the store gives the old ones; then it gives the new."""
+    root, at = tmp_path / "in", f"file://{tmp_path}/store"
+    root.mkdir()
+    (root / "a.txt").write_text("one\ntwo\nthree")
+    load = lambda limit=None, index=False: engine.Completer.from_directory(spark, str(root), limit, at, index)
+    load()
+    times = corpus.file_times(spark, corpus.text_files(spark, str(root)))
+
+    def dies():
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        store.cached_records(spark, at, times, 2, dies)
+    kept = load()
+    assert kept.offline_metrics["from_store"] == 1 and kept.records.count() == 3
+    assert load(2).records.count() == 2 and load(2).offline_metrics["from_store"] == 1
+    made = load(2, index=True)
+    assert made.offline_metrics["from_store"] == 1 and made.offline_metrics["build_seconds"] > 0
+    assert [r["completed_sentence"] for r in load(2, index=True).best("two")] == ["two"]
+    for limit in (1, 3):
+        load(limit)
+    assert sum(p.name.startswith("records") for p in (tmp_path / "store").iterdir()) <= 3
+
+
 def test_module_interface(spark, tmp_path):
     engine._engine = None
     with pytest.raises(RuntimeError):
@@ -71,8 +132,12 @@ def test_module_interface(spark, tmp_path):
     engine.initialize(spark, str(tmp_path))
     rows = engine.get_best_k_completions("hello")
     assert rows[0]["source_text"] == "nested/sample.txt" and rows[0]["offset"] == 1
-    assert engine.display(engine._engine.complete("hello wor")).first()["line"] == "1. Hello, WORLD! (sample 1, score 18)"
-    assert engine._engine.statistics()["sentences"] == 9
+    assert engine.display(engine._engine.best("hello wor")) == ["1. Hello, WORLD! (sample 1, score 18)"]
+    assert engine._engine.statistics()["sentences"] == 15
+    figures = engine._engine.last_query_metrics
+    assert figures["candidate_count"] == 1 and figures["candidate_seconds"] + figures["ranking_seconds"] == figures["total_seconds"]
+    assert engine.metrics_line(figures).endswith("1 candidates")
+    assert engine._engine.best("?!") == [] and engine._engine.last_query_metrics["candidate_count"] == 0
 
 
 def test_documents_with_gaps(spark):
@@ -96,12 +161,17 @@ def test_metrics(spark):
     assert {r["length_class"]: r["queries"] for r in metrics.by_length(m).collect()} == {"1-2": 1, "3-5": 1, "6-10": 1, "11-20": 0, "21+": 0}
     assert metrics.pearson(m.where("length = 4"), "length", "candidates").first()[0] == 0.0
     assert [r[0] for r in metrics.most_candidates(m, 2).collect()] == ["a", "abcdef"]
+    timed = spark.createDataFrame([("b", 0.5), ("a", 0.5), ("c", 0.9)], "query string, total_seconds double")
+    assert [r["query"] for r in metrics.slowest(timed, 2).collect()] == ["c", "a"]
     assert metrics.synthetic_sentences(spark, 50).where("sentence rlike '^[A-Z][a-z]+( [a-z]+){2,4}$'").count() == 50
 
 
 def test_benchmark(spark):
     records = corpus.from_records(spark, [(i, f"words of line {i} here", f"words of line {i} here", "s.txt", i) for i in range(60)]).cache()
-    figures = benchmark.run(records, queries=6, checked=3)
-    assert figures["records"] == 60 and figures["queries"] == 6 and figures["checked"] == 3 and figures["p95_seconds"] > 0
+    figures, slow = benchmark.run(records, queries=12, checked=3)
+    assert len(slow) == 10 and [r["total_seconds"] for r in slow] == sorted((r["total_seconds"] for r in slow), reverse=True)
+    assert benchmark.run(records, queries=2, checked=2, index=True)[0]["build_seconds"] > 0
+    assert benchmark.shown(engine.Completer(records), "Line 59 hexe")[-1] == "  59: offset 9, substitution: words of line 59 here"
+    assert figures["records"] == 60 and figures["queries"] == 12 and figures["checked"] == 3 and figures["p95_seconds"] > 0
     with pytest.raises(ValueError):
         benchmark.run(records.limit(0), 5, 1)

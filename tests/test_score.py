@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from linelark.functions import score as S
 
+# Golden cases of the interface.
 GOLDEN = [("or not", "to be or not to be", 12), ("to pe", "to be", 6), ("or knot", "or not", 8), ("or nt", "or not", 8), ("zz be", "to be", None)]
 VERIFIED = [
     ("cat", "cat", True, 0, "exact"), ("bat", "cat", True, 0, "substitution"), ("caat", "cat", True, 0, "insertion"), ("abcd", "abxcd", True, 0, "deletion"),
