@@ -25,7 +25,7 @@ MOST_LANGUAGES = 1000
 #: An n-gram enters a language's filter if its rate there is at least this share of its highest rate.
 SHARE, LEAST = 0.25, 2
 #: Characters looked up at once.
-PART = 1 << 20
+PART = 1 << 18
 
 
 @functools.cache

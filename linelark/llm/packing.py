@@ -127,12 +127,21 @@ def encoder(json_path: str, ranks_path: str | None):
     classes every Unicode version agrees, go through it because it takes a third of the time; all others, and those in
     which the string of an added token occurs, go through the json.
     """
-    from tokenizers import Tokenizer
+    import functools
+
+    @functools.cache
+    def tokenizer():  # takes much memory, and most tasks do without
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        return Tokenizer.from_file(json_path)
+
+    def plain(text: str) -> np.ndarray:
+        return np.array(tokenizer().encode(text, add_special_tokens=False).ids, "<u4")
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tokenizer = Tokenizer.from_file(json_path)
     if not ranks_path:
-        return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return plain
+    import json
     import re
 
     import public_tokenizers
@@ -141,11 +150,13 @@ def encoder(json_path: str, ranks_path: str | None):
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    other = re.compile("|".join(["[^\x00-ſ]", *(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values())]))
+    with open(json_path, encoding="utf-8") as f:
+        added = [t["content"] for t in json.load(f)["added_tokens"]]
+    other = re.compile("|".join(["[^\x00-ſ]", *map(re.escape, added)]))
 
     def encode(text: str) -> np.ndarray:
         if other.search(text):
-            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+            return plain(text)
         return np.array(fast.encode_ordinary(text), "<u4")
 
     return encode

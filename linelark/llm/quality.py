@@ -25,7 +25,7 @@ BUCKETS = 2 * PARTS_OF_WORDS
 #: Labelled documents of each class, and characters of one, used for fitting at most.
 SAMPLE_PER_CLASS, SAMPLE_CHARS = 1500, 40_000
 #: Characters scored at once; longer texts are scored in parts of whole words.
-PART = 1 << 20
+PART = 1 << 18
 _SHIFT = np.uint32(32 - BITS)
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed at once; longer texts are cut at white space.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
 _rng = np.random.default_rng(20240229)
