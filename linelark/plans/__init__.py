@@ -17,7 +17,7 @@ from ..engine import Completer
 from ..operators import metrics, search, suffix
 from ..operators.postings import Postings
 from ..sources import corpus
-from ..sources.store import stored, version
+from ..sources.store import path_kind, stored, version
 from .sql import oracle_sql
 
 __all__ = ["oracle_sql", "queries"]
@@ -39,7 +39,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored corpus of the documents in ``sf_dir``, built anew if they change."""
     key = spark.sparkContext.applicationId, sf_dir, version(spark, f"{sf_dir}/documents.parquet")
-    if key not in _built:
+    if key not in _built or path_kind(spark, _built[key].inputFiles()[0]) == "missing":
         _built[key] = stored(corpus.document_records(_read(spark, sf_dir, "documents")), "records")
     return _built[key]
 
@@ -47,7 +47,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index(spark: SparkSession, sf_dir: str) -> Postings:
     """The stored trigrams of the corpus in ``sf_dir``."""
     key = spark.sparkContext.applicationId, sf_dir, version(spark, f"{sf_dir}/documents.parquet"), "index"
-    if key not in _built:
+    if key not in _built or path_kind(spark, _built[key].counts.inputFiles()[0]) == "missing":
         _built[key] = Postings.build(records(spark, sf_dir))
     return _built[key]
 

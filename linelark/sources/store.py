@@ -22,14 +22,31 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{spark._linelark_store}"
 
 
+_made: list[str] = []
+
+
 def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` written and read back: plans on it start from files."""
     spark = df.sparkSession
-    path = path or f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if path is None:
+        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        _made.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Deletes the tables in the shared folder that this process has written, and says how many: call it when no result that reads them is needed any more.
+
+    Tables at paths of the caller's own, such as a store's, stay.
+    """
+    n = len(_made)
+    while _made:
+        fs, p = _file_system(spark, _made.pop())
+        fs.delete(p, True)
+    return n
+
+
 def _file_system(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p

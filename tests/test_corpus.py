@@ -124,6 +124,13 @@ def test_store_survives_a_run_that_dies(spark, tmp_path):
     assert sum(p.name.startswith("records") for p in (tmp_path / "store").iterdir()) <= 3
 
 
+def test_tables_in_the_shared_folder_can_be_cleared(spark, tmp_path):
+    kept = store.stored(spark.range(3), "x", f"file://{tmp_path}/own")
+    gone = store.stored(spark.range(3), "x").inputFiles()[0]
+    assert store.clear(spark) >= 1 and store.clear(spark) == 0 and kept.count() == 3
+    assert store.path_kind(spark, gone) == "missing"
+
+
 def test_module_interface(spark, tmp_path):
     engine._engine = None
     with pytest.raises(RuntimeError):
