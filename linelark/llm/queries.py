@@ -55,6 +55,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], digest, pii.named(F.col("spans")).alias("spans"))
 
 
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8_pii that follow from the base patterns alone, which SQL can express."""
+    return op8_pii(spark, sf_dir).drop("spans")
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_read(spark, sf_dir, "documents"))
 
@@ -64,7 +69,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_topk, op3_html, op4_packing, op5_toxicity, op6_neardup, op7_decontam, op8_pii, op9_langid, op10_licenses)}
+    return {f.__name__: f for f in (op1_quality, op2_topk, op3_html, op4_packing, op5_toxicity, op6_neardup, op7_decontam, op8_pii, op9_langid, op10_licenses, pii_base)}
 
 
 OP2_SQL = """
@@ -102,5 +107,39 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, root AS component_id, doc_i
 """
 
 
+# leftmost matches of each base pattern, placed by the texts between them, then what makes them valid
+PII_BASE_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+cut AS (
+  SELECT row, 0 AS k, 'email' AS kind, regexp_extract_all(text, '{email}') AS m, regexp_split_to_array(text, '{email}') AS g FROM docs WHERE contains(text, '@')
+  UNION ALL SELECT row, 1, 'ip', regexp_extract_all(text, '{ip}'), regexp_split_to_array(text, '{ip}') FROM docs
+  UNION ALL SELECT row, 2, 'card', regexp_extract_all(text, '{card}'), regexp_split_to_array(text, '{card}') FROM docs
+  UNION ALL SELECT row, 3, 'phone', regexp_extract_all(text, '{phone}'), regexp_split_to_array(text, '{phone}') FROM docs WHERE contains(text, '+')
+), placed AS (
+  SELECT row, k, kind, m, g, unnest(range(1, len(m) + 1)) AS i FROM cut WHERE len(m) > 0
+), spans AS (
+  SELECT row, k, kind, m[i] AS m, regexp_replace(m[i], '[^0-9]', '', 'g') AS d,
+    CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+  FROM placed
+), valid AS (
+  SELECT row, k, kind, start, start + length(m) AS stop FROM spans WHERE CASE kind WHEN 'email' THEN TRUE
+    WHEN 'ip' THEN len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST(x AS INTEGER), 256) > 255)) = 0
+    WHEN 'phone' THEN length(d) BETWEEN 10 AND 15
+    ELSE length(d) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda j:
+      CASE WHEN j % 2 = 1 THEN CAST(substr(d, length(d) + 1 - j, 1) AS INTEGER) ELSE 2 * CAST(substr(d, length(d) + 1 - j, 1) AS INTEGER) - CASE WHEN substr(d, length(d) + 1 - j, 1) >= '5' THEN 9 ELSE 0 END END)) % 10 = 0 END
+), sums AS (
+  SELECT row, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) AS spans
+  FROM valid GROUP BY row
+)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(spans, '')) AS base_sha256
+FROM docs LEFT JOIN sums USING (row)
+"""
+for _kind, _pattern in {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}.items():
+    PII_BASE_SQL = PII_BASE_SQL.replace("{" + _kind + "}", _pattern)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": OP2_SQL, "op6_neardup": OP6_SQL}
+    return {"op2_topk": OP2_SQL, "op6_neardup": OP6_SQL, "pii_base": PII_BASE_SQL}

@@ -716,6 +716,24 @@ def test_toxicity_held_out_and_grammar(spark):
     assert outputs("kill the process") == [] and outputs("we will burn wood") == [] and outputs("hello") == []
 
 
+def test_the_composed_grammar_is_its_transducers_one_after_another():
+    rng = random.Random(12)
+    for _ in range(500):
+        symbols, state = rng.choices(toxicity.INPUTS, k=rng.randrange(1, 30)), toxicity._BEGIN
+        made = []
+        for x in symbols:
+            state, y = toxicity.GRAMMAR[state, x]
+            made.append(y)
+        want = symbols
+        for machine in (toxicity.THREAT, toxicity.INSULT, toxicity.NEGATION, toxicity.REPORT):
+            s, out = "", []
+            for x in want:
+                s, y = machine.get((s, x), (s, x))
+                out.append(y)
+            want = out
+        assert made == want
+
+
 def test_toxic_clauses_are_scored_by_their_patterns():
     """Patterns beat the rule that any word of the lexicon is toxic: uses that are negated, reported or without target score less."""
     rng = random.Random(9)
