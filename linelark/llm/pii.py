@@ -78,7 +78,7 @@ VOTES = list(ACCURACY)
 #: Share of proposals thought to be personal data before any vote.
 PROPOSED = 0.6
 #: Buckets of hashed shapes and of hashed neighbour words, and feature rows that the classifier is fitted on at most.
-SHAPES, WORDS, SAMPLE_ROWS = 64, 128, 20_000
+SHAPES, WORDS, SAMPLE_ROWS = 64, 128, 10_000
 #: Characters looked at on either side of a span.
 CONTEXT = 40
 
@@ -312,9 +312,11 @@ def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
     """The classifier's weights: reliabilities come from all spans, the classifier from at most ``sample_rows`` kinds of feature rows by smallest hash."""
     counted = patterns(rows)
     belief = {key: q for (key, _), q in zip(counted, reliabilities(counted)[1])}
-    each = rows.select(F.explode("spans").alias("s")).select(*[F.col(f"s.{k}").alias(k) for k in FEATURES]).groupBy(*FEATURES).count()
-    # the hash first: proposals of all kinds have the same chance
-    sample = [tuple(r) for r in each.orderBy(F.xxhash64(*FEATURES), *FEATURES).limit(sample_rows).collect()]
+    each = table(rows.select(F.explode("spans").alias("s")).select(*[F.col(f"s.{k}").alias(k) for k in FEATURES]).groupBy(*FEATURES).count(), "features")
+    # thinned by hash before they are ranked by it, so that no task sends many: proposals of all kinds have the same chance
+    span, h = 1 << 40, F.xxhash64(*FEATURES)
+    cut = min(span, int(span * 1.5 * sample_rows / max(1, each.count())) + 1)
+    sample = [tuple(r) for r in each.where(F.pmod(h, F.lit(span)) < cut).orderBy(F.pmod(h, F.lit(span)), *FEATURES).limit(sample_rows).collect()]
     return train([r[:-1] for r in sample], [r[-1] for r in sample], [belief[r[: 1 + len(VOTES)]] for r in sample])
 
 
