@@ -52,9 +52,10 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, scale: int = 256,
     """
     spark = embeddings.sparkSession
     small_batches(spark)
-    every_row = quantised(embeddings, scale)
+    # x is kept where there is no v only, before rows are dealt
+    every_row = quantised(embeddings, scale).withColumn("x", F.when(F.col("v").isNull(), F.col("x")))
     sorted_rows = every_row.repartitionByRange(F.desc_nulls_first("norm2"), F.col("vec_id")).sortWithinPartitions(F.desc_nulls_first("norm2"), "vec_id")
-    all_rows = table(sorted_rows.withColumn("x", F.when(F.col("v").isNull(), F.col("x"))), "vectors")
+    all_rows = table(sorted_rows, "vectors")
     vectors, huge = all_rows.where(F.col("v").isNotNull()), all_rows.where(F.col("v").isNull())
     asked = all_rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct(F.coalesce("x", F.transform("v", lambda c: c.cast("double"))).alias("order"), "v", "x")).alias("q"))
     asked = table(asked.select("vec_id", "q.v", "q.x", F.size(F.coalesce("q.v", "q.x")).alias("size")), "queries")
