@@ -7,7 +7,6 @@ the false positives expected at that filter's fill, and the largest corrected co
 
 from __future__ import annotations
 
-import functools
 import re
 
 import numpy as np
@@ -28,11 +27,17 @@ SHARE, LEAST = 0.25, 2
 PART = 1 << 18
 
 
-@functools.cache
-def _letters() -> re.Pattern:
-    """Runs of letters as str.isalpha() knows them: word characters but digits, underscores and the numbers (such as ² or Ⅷ) among them."""
-    numbers = [c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
-    return re.compile(rf"[^\W\d_{''.join(numbers)}]+")
+#: Runs of word characters other than digits and underscores: letters, and numbers such as ² or Ⅷ.
+_RUNS = re.compile(r"[^\W\d_]+")
+
+
+def _words(text: str):
+    """Runs of letters as str.isalpha() knows them."""
+    for run in _RUNS.findall(text):
+        if run.isalpha():
+            yield run
+        else:
+            yield from "".join(c if c.isalpha() else " " for c in run).split()
 
 
 def _grams(words: list[str]):
@@ -57,7 +62,7 @@ def _masks(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _parts(text: str):
     words, size = [], 0
-    for w in _letters().findall(text.lower()):
+    for w in _words(text.lower()):
         words.append(w)
         size += len(w) + 1
         if size > PART:
