@@ -80,8 +80,9 @@ class _Open:
     @property
     def path(self) -> tuple[str, ...]:
         if self._path is None:
-            deeper = sorted(x for x in (self.article, self.chrome) if x)
-            self._path = (*self.shown, *(element for _, element in deeper))
+            self._path = tuple(self.shown)
+            if self.article or self.chrome:
+                self._path += tuple(element for _, element in sorted(x for x in (self.article, self.chrome) if x))
         return self._path
 
     def top(self) -> str:
@@ -178,9 +179,9 @@ def stream(page: str) -> tuple[list[str], list[list[str]]]:
     texts: list[list[str]] = []
     before: tuple[str, ...] = ()
     for path, text in blocks(page):
-        if path != before:
-            common = 0
-            while common < min(len(before), len(path)) and before[common] == path[common]:
+        if path is not before and path != before:
+            common, shorter = 0, min(len(before), len(path))
+            while common < shorter and before[common] == path[common]:
                 common += 1
             out += [">" + x for x in reversed(before[common:])] + ["<" + x for x in path[common:]]
             before = path
