@@ -1,10 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexicon turns the words of a clause into symbols: insult I, threat verb T, target P (who is addressed), copula C,
-intent M (modal words), negation N, reported speech R, other O. Four transducers read a clause one after another:
-threats (intent, threat verb, target), insults (target, copula, insult), negation and reported speech. Each rewrites what
-it matches and passes on the rest; they are composed into one machine. A clause's score is the weighted sum of the
-patterns that it ends up with, by kind; words that take part in no pattern score nothing. A document's score is a logistic
+A lexicon turns the words of a clause into symbols: insult I, threat verb T, target P (who is addressed), target as an object
+Q, which may come before its verb, copula C, intent M (modal words), negation N, reported speech R, other O. Four
+transducers read a clause one after another: threats (intent, threat verb, target), insults (target, copula, insult),
+negation and reported speech. Each rewrites what it matches and passes on the rest; they are composed into one machine. A
+clause's score is the weighted sum of the patterns that it ends up with, by kind; words that take part in no pattern score
+nothing, but for bare insults, which are the weakest pattern. A document's score is a logistic
 function of its clauses' scores: their sum, the highest one, and the sum against what clean text of that length has by
 chance. Labels fit the lexicon, the weights of the kinds and those of the sums.
 """
@@ -31,23 +32,24 @@ LEAST, RATIO = 3, 4.0
 CACHE = 200_000
 
 # Closed-class words of the grammar in English, German, French and Spanish.
-TARGETS = "you your yours yourself u ur they them he him she her these those du dich dir dein deine ihr euch sie tu te toi ton ta tes vous votre vos ils elles tú ti usted ustedes vosotros ellos ellas".split()
+TARGETS = "you your yours yourself u ur they them he him she her these those du dein deine ihr sie tu toi ton ta tes votre vos ils elles tú ti usted ustedes vosotros ellos ellas".split()
+OBJECTS = "dich dir euch te vous os les los".split()
 COPULAS = "are is was were be being been am re bist ist seid sind war waren es êtes est sont étais eres son sois fue fueron".split()
 INTENTS = "will ll shall gonna going must should would can want werde werden wird will muss soll sollte vais va vont veux doit faut voy va van quiero debe".split()
 NEGATIONS = "not no never none nobody isn aren wasn weren don won nicht kein keine nie niemals pas jamais aucun ne nunca jamás ningún tampoco".split()
 REPORTS = "said says say told called wrote quoted claimed according alleged sagte sagt nannte schrieb laut zitiert dit disait selon appelé écrit dijo dice llamó según escribió".split()
-THREATS = "kill killed killing hurt murder shoot stab destroy burn hang die töten umbringen erschießen sterben tuer frapper brûler mourir matar golpear quemar morir".split()
+THREATS = "kill killed killing hurt murder shoot stab destroy burn hang töten umbringen erschießen sterben tuer frapper brûler mourir matar golpear quemar morir".split()
 INSULTS = "idiot moron stupid loser scum trash pathetic worthless disgusting".split()
 
 _TOKEN = re.compile(r"\w+|[.!?;:\n]+|[\"“”«»„]")
 _WORD = re.compile(r"\w+")
 
-INPUTS = "ITPCMNRO"
+INPUTS = "ITPQCMNRO"
 #: Kinds of patterns: a bare insult i, one with its target in reach J, one said of its target K, a threat verb with its
 #: target W, the same announced U, any of these negated n or reported r.
 KINDS = "iJKWUnr"
 #: How many words later a target, a predicate, an intent, a threat verb or a negation still counts.
-REACH = {"P": 4, "C": 5, "M": 4, "T": 3, "N": 4}
+REACH = {"P": 4, "Q": 4, "C": 5, "M": 4, "T": 3, "N": 4}
 
 
 def _fading(marks: str) -> dict:
@@ -65,12 +67,13 @@ def _states(mark: str) -> list[str]:
 
 
 #: Transducers: {(state, symbol): (next state, output)}; a symbol without an entry passes and keeps the state.
-THREAT = _fading("MtT") | {("", "M"): (f"M{REACH['M']}", "M"), ("", "T"): (f"t{REACH['T']}", "O")}
+THREAT = _fading("MqtT") | {("", "M"): (f"M{REACH['M']}", "M"), ("", "T"): (f"t{REACH['T']}", "O")}
 THREAT |= {(s, "M"): (f"M{REACH['M']}", "M") for s in _states("M")} | {(s, "T"): (f"T{REACH['T']}", "O") for s in _states("M") + _states("T")}
-THREAT |= {(s, "T"): (f"t{REACH['T']}", "O") for s in _states("t")} | {(s, "P"): ("", "W") for s in _states("t")} | {(s, "P"): ("", "U") for s in _states("T")}
+THREAT |= {(s, "T"): (f"t{REACH['T']}", "O") for s in _states("t")} | {(s, x): ("", "W") for s in _states("t") for x in "PQ"} | {(s, x): ("", "U") for s in _states("T") for x in "PQ"}
+THREAT |= {(s, "Q"): (f"q{REACH['Q']}", "Q") for s in _states("M") + _states("q")} | {(s, "T"): ("", "U") for s in _states("q")} | {(s, "M"): (f"M{REACH['M']}", "M") for s in _states("q")}
 
 INSULT = _fading("PC") | {("", "I"): ("", "i")}
-INSULT |= {(s, x): (f"P{REACH['P']}", x if x in "WU" else "O") for s in ("", *_states("P"), *_states("C")) for x in "PWU"}
+INSULT |= {(s, x): (f"P{REACH['P']}", x if x in "WU" else "O") for s in ("", *_states("P"), *_states("C")) for x in "PQWU"}
 INSULT |= {(s, "C"): (f"C{REACH['C']}", "O") for s in _states("P")}
 INSULT |= {(s, "I"): (s, "J") for s in _states("P")} | {(s, "I"): (s, "K") for s in _states("C")}
 
@@ -105,7 +108,7 @@ class Lexicon:
     """word -> (symbol, weight); learned stems first, the longest that fits, then the closed-class words."""
 
     def __init__(self, stems: dict[str, float]) -> None:
-        fixed = [("T", THREATS), ("P", TARGETS), ("N", NEGATIONS), ("R", REPORTS), ("C", COPULAS), ("M", INTENTS)]
+        fixed = [("T", THREATS), ("P", TARGETS), ("Q", OBJECTS), ("N", NEGATIONS), ("R", REPORTS), ("C", COPULAS), ("M", INTENTS)]
         closed = {w: (s, 1.0) for s, words in reversed(fixed) for w in words}
         stems = {**{w: 1.0 for w in INSULTS if not stems}, **stems}
 

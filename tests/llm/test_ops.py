@@ -713,6 +713,8 @@ def test_toxicity_held_out_and_grammar(spark):
     assert outputs("you are not a zwonk") == [{"n"}] and outputs("they said you zwonk") == [{"r"}] and outputs('he wrote "zwonk you"') == [{"r"}]
     assert outputs("he said so. a zwonk") == [{"i"}] and outputs("a zwonk. you zwonk") == [{"i"}, {"J"}]
     assert outputs("we will kill you") == [{"U"}] and outputs("kill them") == [{"W"}] and outputs("we will not kill you") == [{"n"}] and outputs("they said we will kill you") == [{"r"}]
+    assert outputs("die Katze, die sie sah") == [] and outputs("can you kill the process") == []
+    assert outputs("wir werden dich umbringen") == [{"U"}] and outputs("je vais te tuer") == [{"U"}] and outputs("wir werden dich nicht umbringen") == [{"n"}]
     assert outputs("kill the process") == [] and outputs("we will burn wood") == [] and outputs("hello") == []
 
 
