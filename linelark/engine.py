@@ -33,7 +33,7 @@ class Completer:
         if store_path:
             records, name, hit = store.cached_records(spark, store_path, corpus.file_times(spark, files), limit, build)
         else:
-            records, name, hit = store.stored(build(), "records"), None, False
+            records, name, hit = build(), None, False
         loaded = time.perf_counter() - began
         if index:
             began, at = time.perf_counter(), name and f"{name}-index"
@@ -50,7 +50,7 @@ class Completer:
 
     @classmethod
     def from_documents(cls, documents: DataFrame, limit: int | None = None) -> Completer:
-        return cls(store.stored(corpus.document_records(documents, limit), "records"))
+        return cls(corpus.document_records(documents, limit))
 
     @classmethod
     def from_records(cls, spark: SparkSession, rows) -> Completer:

@@ -17,7 +17,7 @@ from ..engine import Completer
 from ..operators import metrics, search, suffix
 from ..operators.postings import Postings
 from ..sources import corpus
-from ..sources.store import path_kind, stored, version
+from ..sources.store import path_kind, version
 from .sql import oracle_sql
 
 __all__ = ["oracle_sql", "queries"]
@@ -40,7 +40,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored corpus of the documents in ``sf_dir``, built anew if they change."""
     key = spark.sparkContext.applicationId, sf_dir, version(spark, f"{sf_dir}/documents.parquet")
     if key not in _built or path_kind(spark, _built[key].inputFiles()[0]) == "missing":
-        _built[key] = stored(corpus.document_records(_read(spark, sf_dir, "documents")), "records")
+        _built[key] = corpus.document_records(_read(spark, sf_dir, "documents"))
     return _built[key]
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from itertools import accumulate
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import normalize, strip
-from ..operators.ordering import with_running_total
 from .store import hidden_names, path_kind, qualified, read_bytes, stored
 
 SCHEMA = T.StructType([T.StructField("sentence_id", T.LongType(), False), *[T.StructField(n, T.StringType(), False) for n in ("completed_sentence", "normalized_sentence", "source_text")], T.StructField("source_offset", T.IntegerType(), False)])
@@ -23,6 +23,8 @@ SCHEMA = T.StructType([T.StructField("sentence_id", T.LongType(), False), *[T.St
 
 #: Rows of a table of splits up to which it is broadcast.
 BROADCAST_SPLITS = 500_000
+#: Bytes of input in a part that one task sorts, about.
+PART_BYTES = 32 << 20
 #: Bytes of files with hidden names, which the driver reads itself, at most.
 HIDDEN_BYTES = 256 << 20
 
@@ -100,28 +102,32 @@ def document_lines(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", name.alias("source_text"), F.posexplode(F.split("text", "\r\n|\r|\n")).alias("source_offset", "line"))
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` dealt to all cores if the input has fewer splits than there are cores, as one small file has; else as they are."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+def parts(rows: DataFrame) -> int:
+    """Into how many parts to deal ``rows`` of files: about PART_BYTES of input each, and one a core at least. A task's memory doesn't grow with the input."""
+    spark = rows.sparkSession
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return max(spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions() * max(1, round(split / PART_BYTES)))
 
 
 def searchable(lines: DataFrame) -> DataFrame:
     """``lines`` with completed_sentence and normalized_sentence; blank lines and lines without a letter or digit go."""
-    rows = lines.withColumn("completed_sentence", strip("line")).where(F.col("completed_sentence") != "")
-    return rows.withColumn("normalized_sentence", normalize("completed_sentence")).where(F.col("normalized_sentence") != "").drop("line")
+    # the same as to ask whether the normalised text is empty, which would be made twice for that
+    rows = lines.where(F.lower("line").rlike(r"[\p{L}\p{N}]")).withColumn("completed_sentence", strip("line"))
+    return rows.withColumn("normalized_sentence", normalize("completed_sentence")).drop("line")
 
 
-def numbered(rows: DataFrame, unit: list[str], order: list[Column]) -> DataFrame:
-    """``rows`` with contiguous sentence_ids: by ``order`` of their ``unit`` (a file's split or a document), then by line.
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows``, which are in order within partitions and from one to the next, with contiguous sentence_ids.
 
-    Lines are counted a unit, units get the count of all lines before them, and lines are numbered within a unit.
+    They are written once, each with its partition's number and its own in there. A partition's lines follow on those of
+    all before it: what the driver sees and the plan of the result holds is one count a partition.
     """
-    rows = stored(rows, "lines")
-    counts = rows.groupBy(*unit).agg(F.count("*").alias("_n"))
-    first = with_running_total(counts, order, "_n", "_first").select(*unit, "_first")
-    inside = F.row_number().over(Window.partitionBy(*unit).orderBy("source_offset")) - 1
-    return rows.withColumn("_own", inside).join(first, unit).withColumn("sentence_id", (F.col("_first") + F.col("_own")).cast("long")).select(*SCHEMA.names)
+    rows = stored(rows.withColumn("_id", F.monotonically_increasing_id()), "lines")
+    part, own = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = dict(rows.groupBy(part.cast("int").alias("part")).agg(F.count("*").alias("n")).collect())
+    before = [0, *accumulate(counts.get(i, 0) for i in range(max(counts, default=0)))]
+    first = F.element_at(F.lit(before).cast("array<bigint>"), (part + 1).cast("int"))
+    return rows.withColumn("sentence_id", first + own).select(*SCHEMA.names)
 
 
 def path_order(column: str = "source_text") -> list[Column]:
@@ -130,12 +136,16 @@ def path_order(column: str = "source_text") -> list[Column]:
 
 
 def directory_records(spark: SparkSession, root: str, limit: int | None = None) -> DataFrame:
-    rows = numbered(searchable(file_lines(spark, text_files(spark, root))), ["source_text", "block"], [*path_order(), F.col("block")])
-    return first_records(rows, limit)
+    order = [*path_order(), F.col("block"), F.col("source_offset")]
+    lines = file_lines(spark, text_files(spark, root)).repartitionByRange(*order).sortWithinPartitions(*order)
+    return first_records(numbered(searchable(lines)), limit)
 
 
 def document_records(documents: DataFrame, limit: int | None = None) -> DataFrame:
-    return first_records(numbered(searchable(document_lines(spread(documents))), ["doc_id"], [F.col("doc_id")]), limit)
+    """Documents are dealt to ranges of doc_id before their lines are cut; each text moves once."""
+    order = F.asc_nulls_last("doc_id")
+    dealt = documents.select("doc_id", "source", "text").repartitionByRange(parts(documents), order)
+    return first_records(numbered(searchable(document_lines(dealt).sortWithinPartitions(order, "source_offset"))), limit)
 
 
 def load_records(spark: SparkSession, root: str) -> list:

@@ -31,7 +31,7 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     if path is None:
         path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         _made.append(path)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -154,6 +154,25 @@ def test_documents_with_gaps(spark):
     assert corpus.document_records(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+def test_records_are_written_once_and_in_order(spark, monkeypatch):
+    """One table whatever the number of parts, in id order within files, its parts as many as the input asks for; doc_ids may be in any order, occur twice or be null."""
+    monkeypatch.setattr(corpus, "PART_BYTES", 16 << 20)
+    docs = spark.createDataFrame([(i * 37 % 101, f"line {i}\n!\n\u00a0 other\u2003 {i}\tx", "s") for i in range(101)] + [(5, "A\nB", "t"), (None, "last", "u")], "doc_id long, text string, source string").repartition(3)
+    assert corpus.parts(docs) >= 3 * 8
+    made = len(store._made)
+    got = corpus.document_records(docs)
+    assert len(store._made) == made + 1
+    text = got._sc._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
+    assert "Exchange" not in text and "Window" not in text and "Sort" not in text
+    rows = sorted(map(tuple, got.collect()))
+    assert [r[0] for r in rows] == list(range(101 * 2 + 3)) and rows[-1][1:] == ("last", "last", None, 0)
+    places = [(int(r[3][2:-4]), r[4]) for r in rows[:-1]]
+    assert places == sorted(places) and rows[1][1:3] == ("other\u2003 0\tx", "other 0 x")
+    for f in got.inputFiles():
+        ids = [r["_id"] for r in spark.read.parquet(f).collect()]
+        assert ids == list(range(min(ids), min(ids) + len(ids)))
+
+
 def test_terminal_steps():
     assert step("x /quit ").done
     assert step("?!") == (None, "", False, False)
