@@ -99,6 +99,30 @@ def best_match_score(query: str, sentence: Column | str) -> Column:
     return out.cast("int")
 
 
+def within_one_edit(query: str, sentence: Column | str) -> Column:
+    """Whether ``best_match_score`` is a number: the sentence holds the query with at most one edit.
+
+    An edit leaves one half of the query whole and beside what the edit made of the other. Only a sentence that holds a half
+    is searched for edits of the other one.
+    """
+    n, size = column(sentence), len(query)
+    if not size:
+        return F.lit(False)
+
+    def edited(text: str, first: int, last: int) -> str:
+        """Alternatives: ``text`` with one character replaced, missing, or added at a place from ``first`` to ``last``."""
+        every = [quoted(text[:p]) + "." + quoted(text[p + 1 :]) for p in range(len(text))] + [quoted(text[:p] + text[p + 1 :]) for p in range(len(text))]
+        every += [quoted(text[:p]) + "." + quoted(text[p:]) for p in range(first, last + 1)]
+        return "(?:" + "|".join(dict.fromkeys(every)) + ")"
+
+    left, right = query[: size // 2], query[size // 2 :]
+    # nothing is added before or behind the query, as it is then there itself
+    found = n.contains(query) | (n.contains(left) & n.rlike(f"(?s){quoted(left)}{edited(right, 0 if left else 1, len(right) - 1)}"))
+    if left:
+        found = found | (n.contains(right) & n.rlike(f"(?s){edited(left, 1, len(left) - 1)}{quoted(right)}"))
+    return (F.length(n) > 0) & found
+
+
 def verify_one_edit(query: str, sentence: Column | str) -> Column:
     """struct(matched, match_offset, edit_type): exact, then substitution, insertion (the query has one more character), deletion; the earliest offset of the first kind that fits."""
     n, size = column(sentence), len(query)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.score import best_match_score
+from ..functions.score import within_one_edit
 from .search import may_match
 
 # Upper ends of the query length classes, words of synthetic sentences, kinds and numbers of an experiment's queries.
@@ -37,7 +37,7 @@ def lines_per_source(records: DataFrame) -> DataFrame:
 def query_metrics(records: DataFrame, queries: list[str]) -> DataFrame:
     """One row a normalised query: query, length, mode, candidates, matches, from one scan of the corpus."""
     n = F.col("normalized_sentence")
-    sums = [F.count_if(may_match(q)).alias(f"c{i}") for i, q in enumerate(queries)] + [F.count_if(may_match(q) & best_match_score(q, n).isNotNull()).alias(f"m{i}") for i, q in enumerate(queries)] + [F.count("*").alias("total")]
+    sums = [F.count_if(may_match(q)).alias(f"c{i}") for i, q in enumerate(queries)] + [F.count_if(within_one_edit(q, n)).alias(f"m{i}") for i, q in enumerate(queries)] + [F.count("*").alias("total")]
     one = records.agg(*sums)
     rows = F.array(*[F.struct(F.lit(q).alias("query"), F.lit(len(q)).alias("length"), F.lit("all" if len(q) < 4 else "halves").alias("mode"), F.col(f"c{i}").alias("candidates"), F.col(f"m{i}").alias("matches"), F.col("total")) for i, q in enumerate(queries)])
     return one.select(F.explode(rows).alias("r")).select("r.*")

@@ -46,6 +46,17 @@ def test_random_pairs_against_the_definitions(spark):
     df.unpersist()
 
 
+def test_whether_an_edit_fits_is_whether_there_is_a_score(spark):
+    rng = random.Random(7)
+    make = lambda low, high: "".join(rng.choices("aab c😀", k=rng.randrange(low, high)))
+    sentences = [make(0, 14) for _ in range(300)] + [None]
+    df = spark.createDataFrame([(s,) for s in sentences], "s string").cache()
+    for q in [make(n, n + 1) for n in range(1, 9) for _ in range(3)] + ["a.b", ""]:
+        for r in df.select("s", S.best_match_score(q, "s").alias("x"), S.within_one_edit(q, "s").alias("w")).collect():
+            assert bool(r["w"]) == (r["x"] is not None) == (r["s"] is not None and brute.score(q, r["s"]) is not None), (q, r)
+    df.unpersist()
+
+
 def test_penalties(spark):
     rows = spark.range(8).select("id", S.replacement_penalty_of("id").alias("a"), S.add_or_delete_penalty_of("id").alias("b")).collect()
     assert [(r["a"], r["b"]) for r in rows] == [(S.replacement_penalty(i), S.add_or_delete_penalty(i)) for i in range(8)] == [(5, 10), (4, 8), (3, 6), (2, 4), (1, 2), (1, 2), (1, 2), (1, 2)]
