@@ -63,7 +63,7 @@ class Completer:
     def complete(self, text: str, k: int = 5, brute_force: bool = False) -> DataFrame:
         query = normalize_text(text)
         if self.index and query and not brute_force:
-            return search.best_completions(self.index.candidates(query), text, k, brute_force=True)
+            return search.best_completions(self.index.candidates(query), text, k)
         return search.best_completions(self.records, text, k, brute_force)
 
     def best(self, text: str, k: int = 5) -> list:
@@ -79,7 +79,7 @@ class Completer:
             candidates = self.index.candidates(query) if self.index else self.records.where(search.may_match(query))
             looked_up = time.perf_counter() - began if self.index else 0.0
             candidates = candidates.observe(seen, F.count("*").alias("candidates"))
-            rows = sorted(search.best_completions(candidates, text, k, brute_force=True).collect(), key=lambda r: r["rank"])
+            rows = sorted(search.best_completions(candidates, text, k).collect(), key=lambda r: r["rank"])
         total = time.perf_counter() - began
         self.last_query_metrics = {"candidate_count": float(seen.get["candidates"]) if query else 0.0, "results": float(len(rows)), "candidate_seconds": looked_up, "ranking_seconds": total - looked_up, "total_seconds": total}
         return rows

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.score import best_match_score, quoted, verify_one_edit
+from ..functions.score import best_match_score, quoted, verify_one_edit, within_one_edit
 from ..functions.text import casefold, column, normalize_text
 
 #: Queries that are broadcast at once; queries scored in one scan.
@@ -85,9 +85,10 @@ def best_completions(records: DataFrame, text: str, k: int = 5, brute_force: boo
     """
     query = normalize_text(text)
     rows = records.where(F.lit(bool(query)))
-    if not brute_force:
-        rows = rows.where(may_match(query))
-    scored = rows.withColumn("score", best_match_score(query, "normalized_sentence")).where(F.col("score").isNotNull())
+    if not brute_force:  # the halves are pushed to the scan
+        rows = rows.where(may_match(query) & within_one_edit(query, "normalized_sentence"))
+    scored = rows.withColumn("score", best_match_score(query, "normalized_sentence"))
+    scored = scored.where(F.col("score").isNotNull()) if brute_force else scored
     top = scored.orderBy(*result_order()).limit(k)
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*result_order())))  # k rows
     return ranked.withColumnRenamed("source_offset", "offset").select(*RESULT)
@@ -103,10 +104,10 @@ def batch_completions(records: DataFrame, texts: Iterable[tuple[int, str]], k: i
     n, out = F.col("normalized_sentence"), None
     best = Window.partitionBy("query_id").orderBy(*result_order())
     for at in range(0, max(1, len(queries)), SCAN_QUERIES):
-        each = [F.struct(F.lit(i).cast("long").alias("query_id"), F.lit(q).alias("query"), F.when(may_match(q), best_match_score(q, n)).alias("score")) for i, q in queries[at : at + SCAN_QUERIES]]
+        each = [F.struct(F.lit(i).cast("long").alias("query_id"), F.lit(q).alias("query"), F.when(within_one_edit(q, n), best_match_score(q, n)).alias("score")) for i, q in queries[at : at + SCAN_QUERIES]]
         if not each:
             return records.limit(0).select(F.lit(0).cast("long").alias("query_id"), F.lit("").alias("query"), "completed_sentence", "source_text", F.col("source_offset").alias("offset"), F.lit(0).alias("score"), F.lit(0).alias("rank"))
-        scored = records.select(*[c for c in records.columns if c not in ("query_id", "query", "score")], F.explode(F.filter(F.array(*each), lambda x: x["score"].isNotNull())).alias("_q")).select("*", "_q.*")
+        scored = records.select(*[c for c in records.columns if c not in ("query_id", "query", "score")], F.explode(F.array(*each)).alias("_q")).select("*", "_q.*").where(F.col("score").isNotNull())
         ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         ranked = ranked.withColumnRenamed("source_offset", "offset").select("query_id", "query", *RESULT)
         out = ranked if out is None else out.unionAll(ranked)
@@ -126,7 +127,9 @@ def batch_candidates(records: DataFrame, texts: Iterable[tuple[int, str]]) -> Da
 
 def differences(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows that only one side has, with ``side``; empty if both hold the same rows as often."""
-    return left.exceptAll(right).withColumn("side", F.lit("left")).unionAll(right.exceptAll(left).withColumn("side", F.lit("right")))
+    both = left.withColumn("_n", F.lit(1).cast("long")).unionAll(right.withColumn("_n", F.lit(-1).cast("long")))
+    more = both.groupBy(*[F.col(f"`{c}`") for c in left.columns]).agg(F.sum("_n").alias("_n")).where("_n <> 0")  # each side is made once
+    return more.withColumn("side", F.when(F.col("_n") > 0, "left").otherwise("right")).withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("_n")))).drop("_n")
 
 
 def same_rows(left: DataFrame, right: DataFrame) -> bool:

@@ -42,6 +42,17 @@ def test_statistics_aggregate_before_the_shuffle(records):
     assert "partial_count" in text and text.count("Scan parquet") == 2
 
 
+def test_matches_are_counted_by_two_patterns_a_query(records):
+    """Not by one a score: a line without a match would be searched for each."""
+    text = plan(metrics.query_metrics(records, ["the text"]))
+    assert max(line.count("RLIKE") for line in text.splitlines()) == 2
+
+
+def test_differences_read_each_side_once(records):
+    text = plan(search.differences(records, records.where("sentence_id > 3")))
+    assert text.count("Scan parquet") == 4  # two operators and their details
+
+
 def test_candidate_joins_broadcast_the_queries(records):
     text = plan(search.batch_candidates(records, [(1, "the text")]))
     assert "BroadcastNestedLoopJoin" in text and "BuildRight" in text
