@@ -85,8 +85,8 @@ def tier_patterns(query: str) -> list[tuple[int, str]]:
     return [(s, "(?s)(?:" + "|".join(dict.fromkeys(tiers[s])) + ")") for s in sorted(tiers, reverse=True)]
 
 
-def best_match_score(query: str, sentence: Column | str) -> Column:
-    """2 * length if the sentence contains the query, else the best score of one edit; null if none fits or either is empty.
+def best_match_score(query: str, sentence: Column | str, least: int | None = None) -> Column:
+    """2 * length if the sentence contains the query, else the best score of one edit; null if none fits, it is below ``least`` or either is empty.
 
     Give it a stored column: an expression would be repeated in every branch.
     """
@@ -95,7 +95,8 @@ def best_match_score(query: str, sentence: Column | str) -> Column:
         return F.lit(None).cast("int")
     out = F.when(F.length(n) == 0, F.lit(None)).when(n.contains(query), F.lit(2 * len(query)))
     for score, pattern in tier_patterns(query):
-        out = out.when(n.rlike(pattern), F.lit(score))
+        if least is None or score >= least:
+            out = out.when(n.rlike(pattern), F.lit(score))
     return out.cast("int")
 
 

@@ -94,20 +94,52 @@ def best_completions(records: DataFrame, text: str, k: int = 5, brute_force: boo
     return ranked.withColumnRenamed("source_offset", "offset").select(*RESULT)
 
 
+def _scored(records: DataFrame, queries: list[tuple[int, str, int | None]]) -> DataFrame:
+    """``records`` with number, query and score, a row for each query (number, text, least score) that fits."""
+    n = F.col("normalized_sentence")
+
+    def score(q: str, least: int | None) -> Column:
+        best = best_match_score(q, n, least)
+        return best if least == 2 * len(q) else F.when(within_one_edit(q, n), best)
+
+    each = [F.struct(F.lit(i).cast("int").alias("_number"), F.lit(q).alias("query"), score(q, least).alias("score")) for i, q, least in queries]
+    kept = [c for c in records.columns if c not in ("_number", "query", "score")]
+    return records.select(*kept, F.explode(F.array(*each)).alias("_q")).select(*kept, "_q.*").where(F.col("score").isNotNull())
+
+
+def kth_scores(records: DataFrame, queries: list[str], k: int) -> list[int]:
+    """For each query the score that its ``k`` best lines reach at least: its lowest score, if fewer fit, and that of the query itself, if none does.
+
+    One scan; the driver sees a count for each query and score.
+    """
+    counts = _scored(records, [(i, q, None) for i, q in enumerate(queries)]).groupBy("_number", "score").agg(F.count("*").alias("n")).collect()
+    out = [2 * len(q) for q in queries]
+    seen = [0] * len(queries)
+    for r in sorted(counts, key=lambda r: -r["score"]):
+        i = r["_number"]
+        if seen[i] < k:
+            out[i] = r["score"]
+        seen[i] += r["n"]
+    return out
+
+
 def batch_completions(records: DataFrame, texts: Iterable[tuple[int, str]], k: int = 5) -> DataFrame:
     """``best_completions`` of many (query_id, text) at once, with query_id and the normalised query.
 
     Each scan of the corpus scores SCAN_QUERIES queries as literals: a pattern joined in from a table would be compiled
-    anew for every line. Nothing is shuffled before the best k of each task and query are known.
+    anew for every line. A first one counts scores, so that the second keeps and sorts only lines that have the score of the
+    ``k``-th one or more. Nothing is shuffled before the best k of each task and query are known.
     """
     queries = [(i, q) for i, t in texts if (q := normalize_text(t))]
-    n, out = F.col("normalized_sentence"), None
+    out = None
     best = Window.partitionBy("query_id").orderBy(*result_order())
     for at in range(0, max(1, len(queries)), SCAN_QUERIES):
-        each = [F.struct(F.lit(i).cast("long").alias("query_id"), F.lit(q).alias("query"), F.when(within_one_edit(q, n), best_match_score(q, n)).alias("score")) for i, q in queries[at : at + SCAN_QUERIES]]
-        if not each:
+        some = queries[at : at + SCAN_QUERIES]
+        if not some:
             return records.limit(0).select(F.lit(0).cast("long").alias("query_id"), F.lit("").alias("query"), "completed_sentence", "source_text", F.col("source_offset").alias("offset"), F.lit(0).alias("score"), F.lit(0).alias("rank"))
-        scored = records.select(*[c for c in records.columns if c not in ("query_id", "query", "score")], F.explode(F.array(*each)).alias("_q")).select("*", "_q.*").where(F.col("score").isNotNull())
+        least = kth_scores(records, [q for _, q in some], k)
+        scored = _scored(records, [(j, q, x) for j, ((_, q), x) in enumerate(zip(some, least))])
+        scored = scored.withColumn("query_id", F.element_at(F.lit([i for i, _ in some]).cast("array<bigint>"), F.col("_number") + 1))
         ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         ranked = ranked.withColumnRenamed("source_offset", "offset").select("query_id", "query", *RESULT)
         out = ranked if out is None else out.unionAll(ranked)

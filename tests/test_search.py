@@ -84,6 +84,17 @@ def test_the_index_gives_what_the_scan_gives(spark, monkeypatch, listed, share,
     records.unpersist()
 
 
+def test_batches_sort_only_what_reaches_the_kth_score(spark):
+    lines = ["and the end"] * 7 + ["anb the", "zz"] + ["ant hill"] * 40
+    records = _records(spark, lines)
+    queries = ["and the", "anb the", "zz", "qqqqqq", "z"]
+    assert search.kth_scores(records, queries, 5) == [14, brute.score("anb the", "and the"), brute.score("zz", "zz"), 12, brute.score("z", "ant hill")]
+    assert search.kth_scores(records, ["anb the", "ant hint"], 1) == [14, brute.score("ant hint", "ant hill") or 16]
+    batch = search.batch_completions(records, list(enumerate(queries)))
+    for i, q in enumerate(queries):
+        assert _rows(batch.where(f"query_id = {i}")) == _expected(lines, q), q
+
+
 def test_the_index_has_a_row_a_block_and_gram(spark, monkeypatch):
     """Bits of all longs and blocks, whatever the number of parts; much fewer rows than grams of lines."""
     monkeypatch.setattr(postings, "PART_SENTENCES", 100)
